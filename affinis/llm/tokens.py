@@ -10,7 +10,9 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, settled
@@ -18,7 +20,7 @@ from .common import scratch, settled
 #: Folder of the vocabulary files; any other path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH, SHARD = 1024, 2048
+LENGTH, SHARD = 2048, 2048
 _cached: dict[str, object] = {}
 
 
@@ -68,83 +70,73 @@ class Feistel:
 
 
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, tokens (little-endian uint16, or uint32 for a larger vocabulary, the end mark included) for each row of docs."""
-    wide = "<u2"
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
+    """doc_id, part, run, n_tokens, tokens (little-endian uint16, or uint32 for a larger vocabulary, the end mark included) for each row of docs.
+
+    part is the partition that made the row, run the tokens of the partition's rows before it.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("run", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 
     def work(batches):
         coder, end = encoder(vocabulary)
-        kind = wide if end < 1 << 16 else "<u4"
+        kind = "<u2" if end < 1 << 16 else "<u4"
+        part, run = TaskContext.get().partitionId(), 0
         for batch in batches:
             got = [np.array([*coder.encode_ordinary(t.as_py() or ""), end], kind) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], schema=schema)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(work, "doc_id long, text_hash long, n_tokens long, tokens binary")
+            sizes = np.array([len(x) for x in got], np.int64)
+            runs = run + np.cumsum(sizes) - sizes
+            run += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(got), part, np.int32)), pa.array(runs), pa.array(sizes), pa.array([x.tobytes() for x in got], pa.binary())], schema=schema)
 
-
-def placed(lengths: DataFrame) -> DataFrame:
-    """offset added to (doc_id, text_hash, n_tokens, n): where the row's tokens start in the stream of all documents in order of id.
-
-    Ranges of ids are summed apart; only a sum for each range comes to the driver, and goes out again as a small table.
-    Rows alike in id and text are n copies, side by side.
-    """
-    spark = lengths.sparkSession
-    ranged = settled(lengths.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text_hash")).withColumn("part", F.spark_partition_id()).withColumn("all", F.col("n_tokens") * F.col("n")))
-    sums = sorted((r.part, r.s) for r in ranged.groupBy("part").agg(F.sum("all").alias("s")).collect())
-    bases = np.cumsum([0, *(s for _, s in sums)])
-    table = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(sums, bases, strict=False)], "part int, base long")
-    before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn("run", F.coalesce(F.sum("all").over(before), F.lit(0))).join(F.broadcast(table), "part").select("doc_id", "text_hash", "n_tokens", "n", (F.col("base") + F.col("run")).alias("offset"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(work, "doc_id long, part int, run long, n_tokens long, tokens binary")
 
 
 def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Writes shards to folder and returns what they hold: slot, shard, position, path, sequence, n_tokens, doc_ids, sha256 for each sequence.
 
-    The tokens of all documents, each with an end mark, form one stream in order of id, cut into sequences of `length`
-    (the last is filled with end marks; n_tokens leaves those out). Sequence i goes to slot Feistel(i). Shard s is a file with
-    the slots s * shard to (s + 1) * shard - 1 at a fixed stride, so slot k is read at k % shard * stride of file k // shard,
-    and a reader can go on from any slot. Null and empty texts give an end mark alone; repeated rows are written as
-    often as they come; an empty table gives no shards. A task writes a shard under another name and renames it.
+    The tokens of all documents, each with an end mark, form one stream in the order in which docs are stored, cut into sequences of
+    `length` (the last is filled with end marks; n_tokens leaves those out). Sequence i goes to slot Feistel(i). Shard s is a file
+    with the slots s * shard to (s + 1) * shard - 1 at a fixed stride, so slot k is read at k % shard * stride of file
+    k // shard, and a reader can go on from any slot. Null and empty texts give an end mark alone; repeated rows are
+    written as often as they come; an empty table gives no shards. A task writes a shard under another name and renames it.
+    Tokens are written to the shared folder once, with their place in their partition; only a sum for each partition comes to
+    the driver. They are then shuffled once, compressed, to their shards.
     """
     _, end = encoder(vocabulary)
     kind = "<u2" if end < 1 << 16 else "<u4"
     wide = np.dtype(kind).itemsize
     rows = settled(tokenized(docs, vocabulary))
-    counted = placed(rows.groupBy("doc_id", "text_hash", "n_tokens").agg(F.count(F.lit(1)).alias("n")))
-    counted = settled(counted)
-    total = counted.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("n")), F.lit(0))).first()[0]
-    n = -(-total // length)
+    sums = sorted((r.part, r.s) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("s")).collect())
+    ends = np.cumsum([s for _, s in sums], dtype=np.int64)
+    base = {part: int(e) - s for (part, s), e in zip(sums, ends, strict=True)}
+    n = -(-int(ends[-1]) // length) if sums else 0
     order = Feistel(n, key)
-    ids = counted.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "n", "offset")
-    # Copies get numbers only where there are any, so that no window is needed for the rest.
-    joined = rows.join(ids, rows["doc_id"].eqNullSafe(ids["i"]) & (rows["text_hash"] == ids["h"])).select("doc_id", "text_hash", "n_tokens", "tokens", "n", "offset")
-    several = joined.filter("n > 1").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("offset")) - 1)
-    joined = joined.filter("n = 1").withColumn("copy", F.lit(0)).unionByName(several).withColumn("offset", F.col("offset") + F.col("copy") * F.col("n_tokens"))
     piece = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int32()), ("sequence", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def cut(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             out: list[tuple[int, int, int | None, bytes]] = []
-            for doc, offset, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("offset").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                size, k = len(tokens) // wide, 0
+            for doc, part, run, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "run", "tokens")), strict=True):
+                size, k, offset = len(tokens) // wide, 0, base[part] + run
                 while k < size:
                     sequence, at = divmod(offset + k, length)
                     take = min(length - at, size - k)
-                    out.append((sequence, at, doc, tokens[k * wide : (k + take) * wide]))
+                    out.append((sequence, at, doc, pack.compress(tokens[k * wide : (k + take) * wide])))
                     k += take
             if out:
                 sequence, at, doc, tokens = zip(*out, strict=True)
                 slot = order.slot(np.array(sequence, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot), pa.array(at, pa.int32()), pa.array(sequence, pa.int64()), pa.array(doc, pa.int64()), pa.array(tokens, pa.binary())], schema=piece)
 
-    pieces = joined.select("doc_id", "offset", "tokens").mapInArrow(cut, "shard long, slot long, at int, sequence long, doc_id long, tokens binary")
+    pieces = rows.select("doc_id", "part", "run", "tokens").mapInArrow(cut, "shard long, slot long, at int, sequence long, doc_id long, tokens binary")
     report = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("position", pa.int32()), ("path", pa.string()), ("sequence", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sha256", pa.string())])
 
     def put(batches):
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         state: dict = {"shard": None}
+        unpack = zstandard.ZstdDecompressor()
         done: list[tuple] = []
 
         def end_sequence():
@@ -171,7 +163,7 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
                 if slot != state["slot"]:
                     end_sequence()
                     state |= {"slot": slot, "sequence": sequence, "parts": [], "docs": []}
-                state["parts"].append(tokens)
+                state["parts"].append(unpack.decompress(tokens))
                 state["docs"].append(doc)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), report, strict=True)], schema=report)
