@@ -25,10 +25,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: computed once, and safe from lost executors."""
+def settled(df: DataFrame, level: int = 3) -> DataFrame:
+    """df, written to the shared folder and read back: computed once, and safe from lost executors. level: of the compression."""
     path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -105,7 +105,7 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
     _, end = encoder(vocabulary)
     kind = "<u2" if end < 1 << 16 else "<u4"
     wide = np.dtype(kind).itemsize
-    rows = settled(tokenized(docs, vocabulary))
+    rows = settled(tokenized(docs, vocabulary), level=9)
     sums = sorted((r.part, r.s) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("s")).collect())
     ends = np.cumsum([s for _, s in sums], dtype=np.int64)
     base = {part: int(e) - s for (part, s), e in zip(sums, ends, strict=True)}
@@ -114,7 +114,7 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
     piece = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int32()), ("sequence", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def cut(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             out: list[tuple[int, int, int | None, bytes]] = []
             for doc, part, run, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "run", "tokens")), strict=True):
