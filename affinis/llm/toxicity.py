@@ -23,6 +23,8 @@ _KEPT = bytes(i for i in range(256) if not _CODE[i])
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0d])(?:[a-z][\x20\x09-\x0d]+){3,}[a-z](?![^\x20\x09-\x0d])")
 _SENTENCE = re.compile(rb"[.!?]+(?=[\x20\x09-\x0d])|\n+")
 DIM, GAP = 32**3, 0.6
+#: Length of a word that is looked at, its start mark included.
+SHORTEST = 5
 
 
 def letters(token: bytes) -> bytes:
@@ -46,14 +48,14 @@ def triples(words: np.ndarray, reach: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (words[:, at[:, 0]] * 32 + words[:, at[:, 1]]) * 32 + words[:, at[:, 2]], weight
 
 
-def by_length(words: list[bytes]):
+def by_length(words: list[bytes], most: int = 400_000):
     """Index arrays and (n, length) code arrays of the words of each length (four letters or more; shorter ones tell nothing)."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if len(w) >= 5:
+        if len(w) >= SHORTEST:
             groups.setdefault(len(w), []).append(i)
     for length, at in groups.items():
-        for k in range(0, len(at), step := max(1, 400_000 // length)):
+        for k in range(0, len(at), step := max(1, most // length)):
             part = at[k : k + step]
             yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(-1, length).astype(np.int64)
 
@@ -73,7 +75,7 @@ def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def project(words: list[bytes], onto: np.ndarray) -> np.ndarray:
     """Inner products of the words' features, scaled to norm 1, with the columns of onto (DIM, m)."""
     out = np.zeros((len(words), onto.shape[1]))
-    for at, codes in by_length(words):
+    for at, codes in by_length(words, 400_000 // onto.shape[1]):
         code, weight = triples(codes)
         got = np.einsum("ntm,t->nm", onto[code], weight) if onto.shape[1] > 1 else (onto[:, 0][code] @ weight)[:, None]
         out[at] = got / norms(code, weight)[:, None]
@@ -107,54 +109,61 @@ class InsultMachine:
         if len(y) == 0 or y.min() == y.max():
             self.offset = 0.0 if len(y) == 0 else (6.0 if y[0] else -6.0)
             return
-        bags = [[[letters(w) for w in dict.fromkeys(tokens(s))] for s in _SENTENCE.split(lower(t))] for t in texts]
-        bags = [[[w for w in s if len(w) >= 5] for s in b] for b in bags]
-        sentences = [s for b, k in zip(bags, y, strict=True) if k for s in b if s]
-        times = [Counter(w for w in map(letters, tokens(lower(t))) if len(w) >= 5) for t in texts]
-        bags = [sorted(b) for b in times]
-        seen = [Counter(w for b, k in zip(bags, y, strict=True) if k == c for w in b) for c in (0, 1)]
-        n = [max(1, int((y == c).sum())) for c in (0, 1)]
-        words = sorted(seen[0] | seen[1])
-        odds = {w: np.log((seen[1][w] + 0.5) / n[1]) - np.log((seen[0][w] + 0.5) / n[0]) for w in words}
-        index = {w: i for i, w in enumerate(words)}
-        at = [np.array([index[w] for w in b], np.int64) for b in bags]
-        margin = np.array([odds[w] * np.log1p(seen[1][w]) for w in words])
+        index: dict[bytes, int] = {}
+        bags, sentences = [], []  # (ids, times) of each text's words; ids of each sentence of a positive text
+        for t, k in zip(texts, y, strict=True):
+            raw = lower(t)
+            ids = [index.setdefault(w, len(index)) for w in map(letters, tokens(raw)) if len(w) >= SHORTEST]
+            bags.append(np.unique(np.array(ids, np.int64), return_counts=True))
+            if k:
+                found = (np.array([index[w] for w in map(letters, tokens(s)) if w in index], np.int64) for s in _SENTENCE.split(raw))
+                sentences += [x for x in found if len(x)]
+        words = list(index)
+        if not words:
+            self.offset = float(np.log(y.mean() / (1 - y.mean())))
+            return
+        of = lambda c: np.bincount(np.concatenate([b[0] for b, k in zip(bags, y, strict=True) if k == c]), minlength=len(words)).astype(float)
+        clean, toxic = of(0), of(1)
+        n_clean, n_toxic = int((y == 0).sum()), int((y == 1).sum())
+        odds = np.log((toxic + 0.5) / n_toxic) - np.log((clean + 0.5) / n_clean)
         # The labels are noisy, and words are many: only those that positives have far too often (a G test) can stand for one.
-        one, both = np.array([seen[1][w] for w in words], float), np.array([seen[1][w] + seen[0][w] for w in words], float)
-        share = n[1] / sum(n)
-        g = one * np.log(np.maximum(one, 1) / (share * both)) + (both - one) * np.log(np.maximum(both - one, 1) / ((1 - share) * both))
-        telling = (2 * g > 20) & (np.array([odds[w] for w in words]) > 1)
-        strong = [words[i] for i in np.argsort(-np.where(telling, g, 0), kind="stable")[: landmarks // 3] if telling[i]]
-        common = sorted(words, key=lambda w: (-seen[0][w], w))[: landmarks // 3]
-        mapped = lambda onto: np.concatenate([project(words[k : k + 2000], onto) for k in range(0, len(words), 2000)]) if words else np.zeros((0, onto.shape[1]))
-        alike = mapped(features(strong).T).max(axis=1, initial=0) * np.log1p([seen[0][w] for w in words]) * ~telling
-        near = [words[i] for i in np.argsort(-alike, kind="stable")[: landmarks // 3]]
-        marks = list(dict.fromkeys(strong + near + common))
-        phi = features(marks)
+        share, both = n_toxic / len(y), toxic + clean
+        g = toxic * np.log(np.maximum(toxic, 1) / (share * both)) + clean * np.log(np.maximum(clean, 1) / ((1 - share) * both))
+        telling = (2 * g > 20) & (odds > 1)
+        third = landmarks // 3
+        strong = [i for i in np.argsort(-np.where(telling, g, 0), kind="stable")[:third].tolist() if telling[i]]
+        common = np.argsort(-clean, kind="stable")[:third].tolist()
+        alike = np.zeros(len(words))
+        if strong:
+            onto = features([words[i] for i in strong]).T
+            for k in range(0, len(words), 4000):
+                alike[k : k + 4000] = project(words[k : k + 4000], onto).max(axis=1)
+        close = np.argsort(-alike * np.log1p(clean) * ~telling, kind="stable")[:third].tolist()
+        phi = features([words[i] for i in dict.fromkeys(strong + close + common)])
         value, vector = np.linalg.eigh(phi @ phi.T)
         keep = value > 1e-6 * value.max()
         basis = phi.T @ (vector[:, keep] / np.sqrt(value[keep]))  # (DIM, m): Nystroem map
-        z = mapped(basis)
-        seen0 = np.array([max(1, seen[0][w]) for w in words], float)
-        negatives = np.array(sorted({index[w] for b, k in zip(bags, y, strict=True) if not k for w in b}), np.int64)
+        margin = odds * np.log1p(toxic)
+        negatives = np.flatnonzero(clean)
+        often = np.maximum(clean, 1)
         kept = np.zeros(0, np.int64)
         for _ in range(rounds):
-            stands = Counter(index[max(s, key=lambda w: margin[index[w]])] for s in sentences)
-            best = sorted(i for i in stands if telling[i]) or sorted(stands)
-            lost = np.maximum(margin[negatives] + 0.5, 0) * np.sqrt(seen0[negatives])
+            stands = np.bincount([s[margin[s].argmax()] for s in sentences], minlength=len(words)) if sentences else np.zeros(len(words))
+            best = np.flatnonzero((stands > 0) & telling)
+            best = best if len(best) else np.flatnonzero(stands)
+            lost = np.maximum(margin[negatives] + 0.5, 0) * np.sqrt(often[negatives])
             hard = kept = np.union1d(kept, negatives[np.argsort(-lost, kind="stable")[:300]])
             rest = np.setdiff1d(negatives[:: max(1, len(negatives) // 2000)], hard)
-            weigh = np.r_[np.sqrt(seen0[hard]) / np.sqrt(seen0[hard]).sum(), 0.5 * seen0[rest] / max(1.0, seen0[rest].sum())]
-            hard = np.r_[hard, rest]
+            weigh = np.r_[np.sqrt(often[hard]) / max(1.0, np.sqrt(often[hard]).sum()), 0.5 * often[rest] / max(1.0, often[rest].sum())]
             bent = [v for i in best for v in altered(words[i])]
-            x = np.concatenate([z[best], project(bent, basis), z[hard]])
-            target = np.r_[np.ones(len(best) + len(bent)), -np.ones(len(hard))]
-            often = np.minimum([stands[i] for i in best], 30.0)
-            cost = np.r_[often / max(1.0, often.sum()), np.full(len(bent), 0.7 / max(1, len(bent))), 1.5 * weigh]
+            x = project([words[i] for i in best] + bent + [words[i] for i in hard] + [words[i] for i in rest], basis)
+            target = np.r_[np.ones(len(best) + len(bent)), -np.ones(len(hard) + len(rest))]
+            times = np.minimum(stands[best], 30.0)
+            cost = np.r_[times / max(1.0, times.sum()), np.full(len(bent), 0.7 / max(1, len(bent))), 1.5 * weigh]
             w, self.bias = svm(x, target, cost)
-            margin = z @ w + self.bias
-        self.weight = basis @ w
-        self.slope, self.offset = _platt(np.array([pooled((margin[index[w]], k) for w, k in b.items()) for b in times]), y)
+            self.weight = basis @ w
+            margin = self.margins(words)
+        self.slope, self.offset = _platt(np.array([pooled(zip(margin[ids].tolist(), times.tolist(), strict=True)) for ids, times in bags]), y)
         self.slope = max(self.slope, 0.0)
 
     def margins(self, words: list[bytes]) -> np.ndarray:
