@@ -20,7 +20,7 @@ from .common import scratch, settled
 #: Folder of the vocabulary files; any other path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH, SHARD = 2048, 2048
+LENGTH, SHARD = 4096, 1024
 _cached: dict[str, object] = {}
 
 
