@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,3 +54,24 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, wanted, per_
     if most_chars:
         docs = docs.filter(F.length("text") <= most_chars)
     return docs.join(F.broadcast(ids), "doc_id")
+
+
+def row_and_text(docs: DataFrame, keep: list[str] | None, *more: Column) -> DataFrame:
+    """row (a struct of the columns of docs, or of keep), text where the row doesn't have it, and more."""
+    names = keep or docs.columns
+    text = [] if "text" in names else ["text"]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *text, *more)
+
+
+def portions(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with about `most` bytes of text, and their texts (null: empty), so that what is made of them stays small."""
+    for batch in batches:
+        names = batch.schema.names
+        texts = batch.column("text") if "text" in names else batch.column("row").field("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start), [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+            start = stop

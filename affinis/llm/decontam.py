@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions, row_and_text
+
 Q, EDITS = 8, 0.08
 #: Benchmark text that is held in a worker at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
@@ -160,25 +162,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
 
     def work(batches):
         index = [Items(x) for x in plain]
-        for batch in batches:
-            hits: list[list[dict]] = []
-            group, held = [], 0
-
-            def flush():
-                found = [[] for _ in group]
-                for items in index:
-                    for one, more in zip(found, items.find(group), strict=True):
-                        one += [{"item_id": items.ids[i], "edits": d, "begin": a, "end": b} for i, d, a, b in more]
-                hits.extend(found)
-
-            for t in batch.column("text"):
-                group.append(normal(t.as_py()))
-                held += len(group[-1])
-                if held > 2 << 20:
-                    flush()
-                    group, held = [], 0
-            flush()
+        for batch, texts in portions(batches):
+            texts = [normal(t) for t in texts]
+            hits: list[list[dict]] = [[] for _ in texts]
+            for items in index:
+                for one, more in zip(hits, items.find(texts), strict=True):
+                    one += [{"item_id": items.ids[i], "edits": d, "begin": a, "end": b} for i, d, a, b in more]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(hits, pa.list_(hit))], names=["row", "hits"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), "text")
+    rows = row_and_text(docs, keep)
     return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, hits array<struct<item_id:long,edits:int,begin:long,end:long>>")

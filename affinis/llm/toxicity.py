@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sample_labelled
+from .common import fold, portions, row_and_text, sample_labelled
 from .qda import _platt
 
 #: Letters are a to z (1 to 26); characters outside ASCII share 27 to 31.
@@ -224,14 +224,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     def work(batches):
         known: dict[bytes, float] = {}
-        for batch in batches:
-            bags = [Counter(tokens(lower(t.as_py() or ""))) for t in batch.column("text")]
-            if len(known) > 1_500_000:
+        for batch, texts in portions(batches):
+            bags = [Counter(tokens(lower(t))) for t in texts]
+            if len(known) > 400_000:
                 known.clear()
-            new = list(set().union(*bags).difference(known)) if bags else []
+            new = list(set().union(*bags).difference(known))
             known.update(zip(new, machine.margins([letters(w) for w in new]).tolist(), strict=True))
             score = np.array([machine.score((known[w], k) for w, k in b.items()) for b in bags])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["row", *schema.names])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), "text", (fold(4) == 2).alias("held_out"))
+    rows = row_and_text(docs, keep, (fold(4) == 2).alias("held_out"))
     return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, held_out boolean, score double, predicted int")
