@@ -48,7 +48,7 @@ def triples(words: np.ndarray, reach: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (words[:, at[:, 0]] * 32 + words[:, at[:, 1]]) * 32 + words[:, at[:, 2]], weight
 
 
-def by_length(words: list[bytes], most: int = 400_000):
+def by_length(words: list[bytes], most: int = 100_000):
     """Index arrays and (n, length) code arrays of the words of each length (four letters or more; shorter ones tell nothing)."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -75,7 +75,7 @@ def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def project(words: list[bytes], onto: np.ndarray) -> np.ndarray:
     """Inner products of the words' features, scaled to norm 1, with the columns of onto (DIM, m)."""
     out = np.zeros((len(words), onto.shape[1]))
-    for at, codes in by_length(words, 400_000 // onto.shape[1]):
+    for at, codes in by_length(words, 100_000 // onto.shape[1]):
         code, weight = triples(codes)
         got = np.einsum("ntm,t->nm", onto[code], weight) if onto.shape[1] > 1 else (onto[:, 0][code] @ weight)[:, None]
         out[at] = got / norms(code, weight)[:, None]
@@ -83,7 +83,7 @@ def project(words: list[bytes], onto: np.ndarray) -> np.ndarray:
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(words), DIM))
+    out = np.zeros((len(words), DIM), np.float32)
     for at, codes in by_length(words):
         code, weight = triples(codes)
         np.add.at(out, (np.array(at)[:, None], code), weight[None, :] / norms(code, weight)[:, None])
@@ -138,11 +138,13 @@ class InsultMachine:
             onto = features([words[i] for i in strong]).T
             for k in range(0, len(words), 4000):
                 alike[k : k + 4000] = project(words[k : k + 4000], onto).max(axis=1)
+            del onto
         close = np.argsort(-alike * np.log1p(clean) * ~telling, kind="stable")[:third].tolist()
         phi = features([words[i] for i in dict.fromkeys(strong + close + common)])
-        value, vector = np.linalg.eigh(phi @ phi.T)
+        value, vector = np.linalg.eigh((phi @ phi.T).astype(float))
         keep = value > 1e-6 * value.max()
-        basis = phi.T @ (vector[:, keep] / np.sqrt(value[keep]))  # (DIM, m): Nystroem map
+        basis = phi.T @ (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)  # (DIM, m): Nystroem map
+        del phi
         margin = odds * np.log1p(toxic)
         negatives = np.flatnonzero(clean)
         often = np.maximum(clean, 1)
@@ -209,8 +211,9 @@ def lower(text: str) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 20_000) -> InsultMachine:
     """Of labelled documents whose crc32 of the id is not 2 modulo 4: at most per_class of either class, of at most most_chars, so what comes to the driver is bounded."""
-    got = sorted((r.doc_id, r.text, r.label) for r in sample_labelled(docs, labels, "toxic", fold(4) != 2, per_class, most_chars).collect())
-    return InsultMachine([r[1] for r in got], np.array([r[2] for r in got], float))
+    got = sample_labelled(docs, labels, "toxic", fold(4) != 2, per_class, most_chars).collect()
+    got.sort(key=lambda r: (r.doc_id, r.text, r.label))
+    return InsultMachine([r.text for r in got], np.array([r.label for r in got], float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: list[str] | None = None, **fitting) -> DataFrame:
