@@ -120,15 +120,13 @@ def links(fps: DataFrame) -> DataFrame:
     most 12 bits are free, so none can exceed 4096. All fingerprints stay in the search.
     """
     masks = _masks()
-    keyed = lambda df, at, found: df.select("fp", F.explode(F.array(*[F.struct(F.lit(at + i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(found)])).alias("k")).select("k.t", "k.key", "fp")
-    first = keyed(fps, 0, [m for m, _ in masks])
+    array = lambda found: F.array(*[F.lit(_signed(m)) for m in found])
+    keyed = lambda df, at, found: df.select("fp", F.explode(F.transform(found, lambda m, i: F.struct((at + i).cast("int").alias("t"), F.col("fp").bitwiseAND(m).alias("key")))).alias("k")).select("k.t", "k.key", "fp")
+    first = keyed(fps, F.lit(0), array([m for m, _ in masks]))
     size = first.groupBy("t", "key").count().filter("count > 1")
-    first = first.join(size, ["t", "key"])
-    hot = first.filter(F.col("count") > BLOCK)
-    again = None
-    for t, (_, more) in enumerate(masks):
-        part = keyed(hot.filter(F.col("t") == t), 100 * (t + 1), more)
-        again = part if again is None else again.unionByName(part)
+    first = settled(first.join(size, ["t", "key"]))
+    more = F.element_at(F.array(*[array(m) for _, m in masks]), F.col("t") + 1)
+    again = keyed(first.filter(F.col("count") > BLOCK), 100 * (F.col("t") + 1), more)
     blocks = first.filter(F.col("count") <= BLOCK).select("t", "key", "fp").unionByName(again)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -214,7 +212,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     group = F.when(F.col("doc_id").isNull(), F.col("fingerprint")).otherwise(F.lit(""))
     one = settled(counted.groupBy("doc_id", group.alias("g")).agg(F.min(F.struct("text_hash", "count")).alias("s")).select("doc_id", "s.text_hash", "s.count"))
     rows = docs.withColumn("__hash", F.xxhash64("text"))
-    match = lambda ids: rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["__hash"] == ids["text_hash"]), "left_semi")
+    match = lambda ids: rows.join(ids.hint("merge"), rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["__hash"] == ids["text_hash"]), "left_semi")
     out = match(one.filter("count = 1").select("doc_id", "text_hash"))
     many = one.filter("count > 1").select("doc_id", "text_hash")
     if not many.isEmpty():
