@@ -103,6 +103,25 @@ def tree(key: np.ndarray, count: np.ndarray, floor: int) -> tuple[np.ndarray, tu
     return p, (*below, n0, n1)
 
 
+class Finder:
+    """Places of keys in a sorted array: a hash table holds one key for each slot, the few others are searched for."""
+
+    def __init__(self, sorted_keys: np.ndarray):
+        self.keys = sorted_keys
+        self.shift = np.uint64(64 - max(10, len(sorted_keys).bit_length() + 2))
+        self.table = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.table[self._slot(sorted_keys)] = np.arange(len(sorted_keys))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(key)]
+        if len(other := np.flatnonzero(self.keys[at] != key) if len(self.keys) else ()):
+            at[other] = np.searchsorted(self.keys, key[other])
+        return at
+
+
 #: Depth of the subtrees that one task builds: they share their last two context bytes, so none has more than 2 ** 24 keys.
 SPLIT = 2
 
@@ -222,12 +241,13 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         key, val = right.column("key").drop_null().to_numpy(), right.column("value").to_numpy()
         order = np.argsort(key)
         key, key_val = key[order].astype(np.uint64), val[is_key][order]
+        find = Finder(key)
         seen = dict(zip(right.column("word").drop_null().to_pylist(), val[~is_key].tolist(), strict=True))
         logs = {w: math.log10(c + 1) for w, c in seen.items()}
         texts = [lower(t.as_py()) for t in left.column("text")]
         out = []
         for part in _portions(texts):
-            got = key_val[np.searchsorted(key, keys(part))]
+            got = key_val[find(keys(part))]
             ends = np.cumsum([len(t) for t in part])
             run = np.concatenate([[0.0], np.cumsum(got)])
             for t, e in zip(part, ends.tolist(), strict=True):
