@@ -445,7 +445,7 @@ def adduct_masses(spark, d):
     return rows.select("p_partkey", "adduct", r6(mass.neutral_mass(F.col("p_retailprice"), F.col("charge"), F.col("shift"), F.col("molecules")), "neutral"))
 
 
-@query(f"SELECT p_partkey, round((p_partkey % 9 + 1) * {mass.ELEMENTS['C']} + (p_size + 1) * {mass.ELEMENTS['H']} + {mass.ELEMENTS['Cl']}, 6) AS mass FROM part")
+@query(f"SELECT p_partkey, round((p_partkey % 9 + 1) * {mass.ELEMENTS['C']} + (p_size + 1) * {mass.ELEMENTS['H']} + {mass.ELEMENTS['Cl']}, 6)::DOUBLE AS mass FROM part")
 def formula_masses(spark, d):
     """C4."""
     f = F.concat(F.lit("C"), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit("H"), (F.col("p_size") + 1).cast("string"), F.lit("Cl"))
