@@ -16,7 +16,7 @@ _CANDIDATES = "(SELECT o_custkey AS query, l_partkey AS key, round(sum(l_extende
 _HITS = "(SELECT l_suppkey AS molecule, l_returnflag AS key, l_orderkey % 7 AS spectrum, l_discount * 10 AS score, l_orderkey AS library FROM lineitem)"
 _RANKED = f"(SELECT *, row_number() OVER (PARTITION BY query ORDER BY s1 DESC, key) AS rank FROM {_CANDIDATES})"
 _CHANNELS = f"(SELECT query, 'a' AS channel, key, s1 AS channel_score, row_number() OVER (PARTITION BY query ORDER BY s1 DESC, key) AS rank FROM {_CANDIDATES} UNION ALL SELECT query, 'b', key, s2, row_number() OVER (PARTITION BY query ORDER BY s2 DESC, key) FROM {_CANDIDATES} UNION ALL SELECT query, 'c', key, s3, row_number() OVER (PARTITION BY query ORDER BY s3 DESC, key) FROM {_CANDIDATES} WHERE n > 1 OR key % 3 = 0)"
-#: The last part that a customer ordered is the truth; customers with few candidates miss it.
+#: A number from 1 to 200 is each customer's truth, and candidates count modulo 200; customers with few candidates miss it.
 _TRUTH = "(SELECT c_custkey AS query, c_mktsegment AS segment, c_nationkey % 20 AS nation, 1 + c_custkey * 7 % 200 AS truth, c_custkey % 4 > 0 AS present FROM customer)"
 _RANKS = f"(SELECT t.*, r.rank FROM {_TRUTH} t LEFT JOIN (SELECT query, min(rank) AS rank, key % 200 AS key FROM {_RANKED} GROUP BY query, key % 200) r ON t.query = r.query AND t.truth = r.key)"
 
