@@ -12,9 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -22,7 +24,7 @@ def scratch(spark: SparkSession) -> str:
 
     Only a session without that setting (a test on one machine) gets a temporary folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = ship(spark).conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="affinis-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -58,6 +60,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, wanted, per_
 
 def row_and_text(docs: DataFrame, keep: list[str] | None, *more: Column) -> DataFrame:
     """row (a struct of the columns of docs, or of keep), text where the row doesn't have it, and more."""
+    ship(docs.sparkSession)
     names = keep or docs.columns
     text = [] if "text" in names else ["text"]
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *text, *more)
