@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from heapq import nlargest
@@ -211,18 +212,24 @@ def lower(text: str) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 20_000) -> InsultMachine:
     """Of labelled documents whose crc32 of the id is not 2 modulo 4: at most per_class of either class, of at most most_chars, so the one task that fits on them holds a bounded sample."""
-    schema = pa.schema([("weight", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64())])
+    schema = pa.schema([("weight", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64()), ("odds", pa.float64())])
 
     def work(batches):
         rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True))
         m = InsultMachine([r[1] for r in rows], np.array([r[2] for r in rows], float))
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((m.weight.astype(float).tobytes(), m.bias, m.slope, m.offset), schema, strict=True)], schema=schema)
+        toxic = sum(r[2] for r in rows)
+        odds = math.log(toxic / (len(rows) - toxic)) if 0 < toxic < len(rows) else None
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((m.weight.astype(float).tobytes(), m.bias, m.slope, m.offset, odds), schema, strict=True)], schema=schema)
 
     # The sample goes to one task, not to the driver, which only gets the weights.
-    found = sample_labelled(docs, labels, "toxic", fold(4) != 2, per_class, most_chars).repartition(1).mapInArrow(work, "weight binary, bias double, slope double, offset double").collect()
+    found = sample_labelled(docs, labels, "toxic", fold(4) != 2, per_class, most_chars).repartition(1).mapInArrow(work, "weight binary, bias double, slope double, offset double, odds double").collect()
     machine = InsultMachine([], np.zeros(0))
     if found:
         machine.weight, machine.bias, machine.slope, machine.offset = np.frombuffer(found[0].weight), found[0].bias, found[0].slope, found[0].offset
+        # The sample has more of the rarer class than the labels have; scores go by the labels' share.
+        share = labels.filter((fold(4) != 2) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
+        if found[0].odds is not None and share and 0 < share < 1:
+            machine.offset += math.log(share / (1 - share)) - found[0].odds
     return machine
 
 
