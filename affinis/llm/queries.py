@@ -24,7 +24,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=None).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: bit-sliced comparison inside exact blocks, then connected components."""
+"""Near-duplicates: SimHash with bit-sliced comparison inside exact blocks, or exact Jaccard inside MinHash blocks; then connected components."""
 
 from __future__ import annotations
 
@@ -11,25 +11,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import portions, settled
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Blocks of more fingerprints are divided again, by 6 more bits at least.
 BLOCK = 2048
+#: Words of a shingle where texts are linked by the Jaccard similarity of their shingles; the least that links in the pipeline.
+WORDS, SIMILAR = 5, 0.8
+#: Blocks hold what agrees in ROWS of BANDS * ROWS minima: at a similarity of 0.8 a pair has no block in common with probability (1 - 0.8^5)^40, 1e-7.
+#: Those in a block are compared by sets where a share of ALIKE of all minima is equal: seven standard deviations below 0.8.
+BANDS, ROWS, ALIKE = 40, 5, 0.6
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None) -> int:
-    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each run of `size` words, of all words where there are fewer; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     start = np.concatenate([[0], end[:-1] + 1])
-    k = min(SHINGLE, len(words)) - 1
+    k = min(size, len(words)) - 1
     digest = xxhash.xxh64_intdigest
     spans = zip(start[: len(words) - k].tolist(), end[k:].tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k)
+
+
+def fingerprint(text: str | None) -> int:
+    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+    h = shingles(text, SHINGLE)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 60_000):
         bits = np.unpackbits(h[i : i + 60_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -176,13 +189,120 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fingerprint, component_id for each row of docs.
+def set_hash(ordered: np.ndarray) -> int:
+    """Name of a set of shingles; 0 for none."""
+    return int(np.uint64(xxhash.xxh64_intdigest(ordered.tobytes(), SEED)).view(np.int64)) if len(ordered) else 0
 
-    component_id is the smallest doc_id among all rows whose fingerprints can be reached by steps of at most RADIUS bits. Null
-    and wordless texts have fingerprint zero. A null doc_id never names a component, unless all its rows' ids are null;
-    repeated rows come back repeated. Other columns are left aside. An empty table gives no rows.
+
+def signature(ordered: np.ndarray) -> bytes:
+    """A byte of each minimum of the shingles under BANDS * ROWS mixings."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(ordered), 256):
+        least = np.minimum(least, ((ordered[i : i + 256, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
+    return (least >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def reached(names: list[int], near_) -> list[tuple[int, int]]:
+    """(name, representative) of those reached breadth first; near_(at, left) marks the positions in left that are linked to at."""
+    left, out = np.arange(len(names)), []
+    while len(left):
+        root, left = left[0], left[1:]
+        open_ = [root]
+        while open_ and len(left):
+            linked = near_(open_.pop(), left)
+            open_.extend(left[linked].tolist())
+            out.extend((names[i], names[root]) for i in left[linked].tolist())
+            left = left[~linked]
+    return out
+
+
+def alike_in(names: list[int], signatures: list[bytes]) -> list[tuple[int, int]]:
+    """Links inside one block by the share of equal minima."""
+    of = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(names), -1)
+    return reached(names, lambda at, left: (of[left] == of[at]).mean(axis=1) >= ALIKE)
+
+
+def similar_in(names: list[int], sets: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links among the sets by steps of Jaccard similarity `least` or more."""
+    size = np.array([len(s) // 8 for s in sets])
+    _, code = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+
+    def near_(at, left):
+        own = np.zeros(len(code), np.int64)
+        own[code[start[at] : start[at] + size[at]]] = 1
+        both = np.add.reduceat(own[code], start)[left]
+        return both >= least * (size[left] + size[at] - both) - 1e-9
+
+    return reached(names, near_)
+
+
+def _in_groups(rows: DataFrame, keys: list[str], make) -> DataFrame:
+    """(u, v): make(names, values) of each group of rows; columns: keys, fp, value."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def work(batches):
+        now, names, values = None, [], []
+        for batch in batches:
+            out = []
+            for *key, fp, value in zip(*batch.columns, strict=True):
+                if (key := [k.as_py() for k in key]) != now:
+                    out += make(names, values) if len(names) > 1 else []
+                    now, names, values = key, [], []
+                names.append(fp.as_py())
+                values.append(value.as_py())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        if len(names) > 1 and (out := make(names, values)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+
+    return rows.select(*keys, "fp", "value").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(u, v): links at Jaccard similarity `least` or more between the sets of shingles in classes: fp, signature, text_hash of one text.
+
+    Blocks with the same members are searched once, by signatures. What these link is compared by the sets, which are
+    made anew for it, and moved once.
     """
+    keyed = classes.filter("fp <> 0").select("fp", "text_hash", "signature", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("t"))
+    keyed = keyed.withColumn("key", F.expr(f"substring(signature, {ROWS} * t + 1, {ROWS})"))
+    mark = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in (0, 1)]
+    size = keyed.select("t", "key", "fp").groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *mark).filter("n > 1")
+    once = settled(size.groupBy("n", "x0", "x1").agg(F.min(F.struct("t", "key")).alias("b")).select("b.t", "b.key"))
+    alike = components(_in_groups(keyed.join(once, ["t", "key"]).withColumn("value", F.col("signature")), ["t", "key"], alike_in))
+    group = settled(alike.unionByName(alike.select(F.col("root").alias("node"), "root").distinct()).join(classes.select(F.col("fp").alias("node"), "text_hash"), "node"))
+    schema = pa.schema([("fp", pa.int64()), ("value", pa.binary())])
+
+    def sets(batches):
+        for batch in batches:
+            for _, texts in portions([batch]):
+                made = [np.unique(shingles(t, WORDS)) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], schema=schema)
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(group.select("text_hash"), "text_hash", "left_semi")
+    made = settled(texts.dropDuplicates(["text_hash"]).select("text").mapInArrow(sets, "fp long, value binary"))
+    return _in_groups(group.select("root", F.col("node").alias("fp")).join(made, "fp"), ["root"], lambda names, values: similar_in(names, values, least))
+
+
+def _named(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with component_id, the smallest doc_id of all rows whose fp is reached over the edges."""
+    joined = components(edges)
+    reach = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    named = classes.join(reach, classes.fp == reach.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _hex(c: str):
+    return F.lpad(F.lower(F.hex(c)), 16, "0")
+
+
+def _fingerprints(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def work(batches):
@@ -190,26 +310,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = settled(rows.mapInArrow(work, "doc_id long, text_hash long, fp long"))
-    classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = components(links(classes.select("fp")))
-    reach = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
-    named = classes.join(reach, classes.fp == reach.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return settled(_hashed(docs).mapInArrow(work, "doc_id long, text_hash long, fp long"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """doc_id, text_hash, set_name, component_id for each row of docs, linked by the Jaccard similarity of their sets of WORDS-word shingles.
+
+    Texts of fewer words are one shingle. Null and wordless texts are linked to each other. Ids are treated as by near_duplicates.
+    """
+    if not SIMILAR <= similarity <= 1:
+        raise ValueError("the blocks are made for similarities of 0.8 and more")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("signature", pa.binary())])
+
+    def work(batches):
+        for part, texts in portions(batches):
+            made = [np.unique(shingles(t, WORDS)) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([set_hash(s) for s in made], pa.int64()), pa.array([signature(s) for s in made], pa.binary())], schema=schema)
+
+    rows = settled(_hashed(docs).mapInArrow(work, "doc_id long, text_hash long, fp long, signature binary"))
+    classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "signature")).alias("s")).select("fp", "first", "s.text_hash", "s.signature"))
+    found = _named(rows.select("doc_id", "text_hash", "fp"), classes.select("fp", "first"), similar_links(docs, classes, similarity))
+    return found.select("doc_id", "text_hash", _hex("fp").alias("set_name"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, similarity: float | None = SIMILAR) -> DataFrame:
+    """doc_id, text_hash, fingerprint, component_id for each row of docs.
+
+    component_id is the smallest doc_id among all rows that can be reached by steps of Jaccard similarity `similarity` or more
+    (similar_groups), or, with None, of fingerprints that differ in at most RADIUS bits. Null
+    and wordless texts have fingerprint zero. A null doc_id never names a component, unless all its rows' ids are null;
+    repeated rows come back repeated. Other columns are left aside. An empty table gives no rows.
+    """
+    rows = _fingerprints(docs)
+    if similarity is None:
+        classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        found = _named(rows, classes, links(classes.select("fp")))
+    else:
+        of = rows.groupBy("text_hash").agg(F.min("fp").alias("fp"))
+        found = similar_groups(docs, similarity).join(of, "text_hash")
+    return found.select("doc_id", "text_hash", _hex("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but one of each component: that of its smallest doc_id, once.
+def keep_one(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """The rows of docs without all but one of each component of similar_groups: that of its smallest doc_id, once.
 
     Of rows that share that id, those of the smallest text hash; of equal rows, one.
     """
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = similar_groups(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # The rows that bear a component's name are few, whatever its size, unless ids repeat; counting comes first.
-    counted = found.groupBy("doc_id", "text_hash", "fingerprint").count()
-    group = F.when(F.col("doc_id").isNull(), F.col("fingerprint")).otherwise(F.lit(""))
+    counted = found.groupBy("doc_id", "text_hash", "set_name").count()
+    group = F.when(F.col("doc_id").isNull(), F.col("set_name")).otherwise(F.lit(""))
     one = settled(counted.groupBy("doc_id", group.alias("g")).agg(F.min(F.struct("text_hash", "count")).alias("s")).select("doc_id", "s.text_hash", "s.count"))
     rows = docs.withColumn("__hash", F.xxhash64("text"))
     match = lambda ids: rows.join(ids.hint("merge"), rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["__hash"] == ids["text_hash"]), "left_semi")

@@ -305,3 +305,28 @@ def test_subsequence_kernel():
     k = lambda a, b: float((toxicity.features([toxicity.letters(a)]) @ toxicity.features([toxicity.letters(b)]).T)[0, 0])
     assert k(b"idiot", b"idiot") == pytest.approx(1, abs=1e-5)
     assert 1 > k(b"idiot", b"idxiot") > k(b"idiot", b"window") and k(b"idiot", b"zzzzz") == 0
+
+
+def test_similar_texts_are_linked(spark):
+    """Every pair of 5-word Jaccard 0.8 or more is linked, and nothing else; the query keeps to its own fingerprints."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: frozenset(simhash.shingles(r.text, 5).tolist()) for r in d.collect()}
+    sets = sorted(set(rows.values()), key=sorted)
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    shared = Counter(p for v in where.values() for p in combinations(v, 2))
+    close = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n) - 1e-9}
+    assert close
+    of = groups(range(len(sets)), lambda a, b: (a, b) in close)
+    first = {}
+    at = {s: of[i] for i, s in enumerate(sets)}
+    for i in sorted(rows):
+        first.setdefault(at[rows[i]], i)
+    want = {i: first[at[s]] for i, s in rows.items()}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()} == want
+    assert sorted(r.doc_id for r in simhash.keep_one(d).collect()) == sorted(set(want.values()))
+    query = simhash.near_duplicates(d, similarity=None).toPandas()
+    linked = query.groupby("component_id").fingerprint.agg(set)
+    assert all(min((int(a, 16) ^ int(b, 16)).bit_count() for b in x if b != a) <= 2 for x in linked if len(x) > 1 for a in x)
