@@ -58,6 +58,14 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, wanted, per_
     return docs.join(F.broadcast(ids), "doc_id")
 
 
+def odds_shift(labels: DataFrame, label: str, wanted, y: np.ndarray) -> float:
+    """What takes log odds in a balanced sample with labels y to those of all labels that satisfy wanted; 0 where either has one class."""
+    share = labels.filter(wanted & F.col(label).cast("int").isin(0, 1) & F.col("doc_id").isNotNull()).agg(F.avg(F.col(label).cast("int"))).first()[0]
+    if not len(y) or share is None or not (0 < share < 1 and 0 < y.mean() < 1):
+        return 0.0
+    return float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
+
+
 def row_and_text(docs: DataFrame, keep: list[str] | None, *more: Column) -> DataFrame:
     """row (a struct of the columns of docs, or of keep), text where the row doesn't have it, and more."""
     ship(docs.sparkSession)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sample_labelled
+from .common import fold, odds_shift, sample_labelled
 from .docstats import FEATURES, stats
 
 #: The kept verdict may only fall as these grow.
@@ -123,6 +123,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, pe
     """
     x, y = labelled_features(docs, labels, "quality", fold(5) != 0, per_class)
     model = fit(x, y, np.array([-1 if f in FALLING else 0 for f in FEATURES]))
+    # The sample has more of the rarer class than the labels have; scores go by the labels' share.
+    model.bias += odds_shift(labels, "quality", fold(5) != 0, y)
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in BASE), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("probability", pa.float64())])
 
     def work(batches):

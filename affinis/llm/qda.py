@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, odds_shift
 from .docstats import FEATURES
 from .gbt import _rows, labelled_features
 
@@ -77,7 +77,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     statistics of the text alone. Null texts count as empty, a null id as empty text in the fold; empty tables give
     no rows, empty labels the score one half; repeated rows are scored alike, other columns are left aside.
     """
-    model = Discriminant(*labelled_features(docs, labels, "quality", fold(5) != 0, per_class))
+    x, y = labelled_features(docs, labels, "quality", fold(5) != 0, per_class)
+    model = Discriminant(x, y)
+    if model.constant is None:
+        model.offset += odds_shift(labels, "quality", fold(5) != 0, y)  # the sample has more of the rarer class than the labels have
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def work(batches):

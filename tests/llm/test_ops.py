@@ -330,3 +330,12 @@ def test_similar_texts_are_linked(spark):
     query = simhash.near_duplicates(d, similarity=None).toPandas()
     linked = query.groupby("component_id").fingerprint.agg(set)
     assert all(min((int(a, 16) ^ int(b, 16)).bit_count() for b in x if b != a) <= 2 for x in linked if len(x) > 1 for a in x)
+
+
+def test_scores_do_not_depend_on_the_sample_per_class(spark):
+    """Labels that the text doesn't tell: every score is near their share, however many of either class are drawn."""
+    d = spark.createDataFrame([(i, prose(100 + i, 60)) for i in range(700)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(700)], "doc_id long, quality int")
+    for f, score in ((gbt.quality_rules, "probability"), (qda.quality_scores, "score")):
+        means = [f(d, lab, per_class=n).agg(F.avg(score)).first()[0] for n in (8000, 60)]
+        assert all(abs(m - 6 / 7) < 0.08 for m in means), (f.__name__, means)
