@@ -24,8 +24,16 @@ def query_spectra(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def library_search(spark, d):
-    """Every order against all others in a 2000 ppm window, its own spectrum left out."""
-    hits = retrieval.search(query_spectra(spark, d), library_spectra(spark, d), ppm=2000.0, tolerance=5.0, most=50, top_n=10)
+    """Every order against all others in a 2000 ppm window, its own spectrum left out."""
+    hits = retrieval.search(query_spectra(spark, d), library_spectra(spark, d), ppm=2000.0, tolerance=5.0, top_n=10)
+    return hits.select("qid", "cid", "key", r6(F.col("direct"), "direct"), "matched", r6(F.col("score"), "score"))
+
+
+@query()
+def analog_search(spark, d):
+    """Every hundredth order against all others in +- 200, of which 5000 at equal steps of mass are compared, as in the reference."""
+    q = query_spectra(spark, d).filter("qid % 100 = 1")
+    hits = retrieval.search(q, library_spectra(spark, d), da=200.0, tolerance=5.0, most=5000, top_n=10)
     return hits.select("qid", "cid", "key", r6(F.col("direct"), "direct"), "matched", r6(F.col("score"), "score"))
 
 
@@ -33,7 +41,7 @@ def library_search(spark, d):
 def predict_evaluate(spark, d):
     """R2, F16: fit, predict, evaluate; the truth of a customer's spectra is the customer."""
     q = query_spectra(spark, d)
-    found = retrieval.predict(q, library_spectra(spark, d), ppm=2000.0, tolerance=5.0, most=50)
+    found = retrieval.predict(q, library_spectra(spark, d), ppm=2000.0, tolerance=5.0)
     return retrieval.evaluate(q.select("query", F.col("query").alias("truth")).distinct(), found)
 
 

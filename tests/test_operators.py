@@ -193,3 +193,21 @@ def test_batches(spark, tmp_path):
     for _ in range(2):
         batches.in_batches(spark, str(tmp_path / "in"), "id long", lambda d: d.filter("id > 4"), str(tmp_path / "out"), str(tmp_path / "cp"), files=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 15
+
+
+def test_every_candidate_in_the_window_is_scored(spark, monkeypatch):
+    """The like spectrum is found among 120 in the window, at whatever place; a bounded search draws from the window before polarity and own spectrum are looked at."""
+    from affinis.plans import composite
+
+    unlike = lambda i: [(100.0 + i, 1.0), (300.0 + i / 7, 2.0)]
+    rows = [(i, i, 1000 + i / 100, "a" if i else "b", [(7.0, 1.0), (9.0, 3.0)] if i in (1, 62) else unlike(i)) for i in range(120)]
+    lib = spark.createDataFrame(rows, "cid long, key long, mass double, mode string, peaks array<struct<mz: double, intensity: double>>")
+    monkeypatch.setattr(composite, "library_spectra", lambda s, d: lib)
+    monkeypatch.setattr(composite, "query_spectra", lambda s, d: lib.filter("cid = 1").withColumnRenamed("cid", "qid").withColumnRenamed("key", "query"))
+    hits = composite.library_search(spark, "").collect()
+    assert len(hits) == 10 and max(hits, key=lambda r: r.score).cid == 62
+    q = composite.query_spectra(spark, "")
+    found = retrieval.predict(q, lib, ppm=2000.0, tolerance=5.0, limit=1).first()
+    assert found.key == 62
+    drawn = retrieval.search(q, lib, da=50.0, tolerance=5.0, most=3, top_n=10)
+    assert {r.cid for r in drawn.collect()} == {59, 119}
