@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, settled
+from ..shipping import ship
+from .common import fold, portions, settled
 
 #: Bytes of context. A key is the context and the byte that follows it, first byte highest.
-DEPTH = 4
-#: Text that one task counts or scores at once.
-CHUNK_BYTES = 12 << 20
-_MASK = (1 << 8 * (DEPTH + 1)) - 1
+DEPTH = 5
+#: Text whose distinct keys one task holds.
+CHUNK_BYTES = 24 << 20
+#: Codes the end of a text; no byte of UTF-8.
+END = b"\xff"
 
 
 def lower(text: str | None) -> bytes:
@@ -122,10 +125,36 @@ class Finder:
         return at
 
 
-#: Depth of the subtrees that one task builds: they share their last two context bytes, so none has more than 2 ** 24 keys.
+#: Depth of the subtrees that one task builds: they share their last two context bytes.
 SPLIT = 2
 
 
+def subtree(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """tree(key, count, SPLIT), built by one further context byte at a time, so that what is held besides the keys is that of one part.
+
+    All keys share their SPLIT last context bytes, so there are 255 nodes of depth SPLIT, one for each beginning of a byte.
+    """
+    key = key.astype(np.int64)
+    part = key >> 8 * (SPLIT + 1) & 255
+    order = np.argsort(part, kind="stable")
+    p = np.zeros((len(key), 8), "<f4")
+    n0, n1, below = np.zeros(256), np.zeros(256), np.zeros(256)
+    edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(key)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        at = order[a:b]
+        p[at], (node, whole, zeros, ones) = tree(key[at], count[at], SPLIT + 1)
+        for total, x in ((n0, zeros), (n1, ones), (below, whole)):
+            total += np.bincount(node & 255, x, 256)
+    used = np.unique(np.stack([(1 << b) | ((key & 255) >> (8 - b)) for b in range(8)]))
+    whole, weight = mix(estimate(n0, n1), below)
+    for b in range(8):
+        prefix, bit = (1 << b) | ((key & 255) >> (8 - b)), key >> (7 - b) & 1
+        here = (np.where(bit == 1, n1[prefix], n0[prefix]) + 0.5) / (n0 + n1 + 1.0)[prefix]
+        p[:, b] = weight[prefix] * here + (1 - weight[prefix]) * p[:, b]
+    context = (key[0] >> 8 & ((1 << 8 * SPLIT) - 1)) << 8
+    return p, (context | used, whole[used], n0[used], n1[used])
+
+
 def top(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     """Weights and estimates of the nodes of depth 1 and 0, from the summed depth-SPLIT nodes (node, n0, n1, whole), of which depth 1 has at most 2 ** 16."""
     node, n0, n1, below = (rows[c].to_numpy() for c in ("node", "n0", "n1", "whole"))
@@ -153,53 +182,94 @@ def score_bits(p: np.ndarray, last: np.ndarray, byte: np.ndarray, upper: dict[st
     return total
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, held_out, h) with each row once in a partition, and times 0; then, for rows that the partition repeats, h and times, the text null.
+
+    A text that fills a third of the table so comes to its chunk once from each partition.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_()), ("h", pa.int64()), ("times", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            keep = []
+            for i, h in enumerate(batch.column("h").to_pylist()):
+                if h in seen:
+                    seen[h] += 1
+                else:
+                    seen[h] = 0
+                    keep.append(i)
+            part = batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.zeros(len(part), np.int64))], schema=schema)
+        again = [(h, n) for h, n in seen.items() if n]
+        if again:
+            k = len(again)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(schema)[:3]), *(pa.array(x, pa.int64()) for x in zip(*again, strict=True))], schema=schema)
+
+    return docs.mapInArrow(work, "doc_id long, text string, held_out boolean, h long, times long")
+
+
+def counted(texts: list[bytes], times: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the texts and how often they occur, each text so many times."""
+    found = [np.unique(keys([t + END for t, n in zip(texts, times, strict=True) if n == 1]), return_counts=True)] if 1 in times else []
+    for t, n in zip(texts, times, strict=True):
+        if n != 1:
+            key, k = np.unique(keys([t + END]), return_counts=True)
+            found.append((key, k * n))
+    return summed(found)
+
+
+def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, inverse = np.unique(np.concatenate([k for k, _ in found] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([x for _, x in found] or [np.zeros(0)]), len(key)).astype(np.int64)
+
+
 def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of docs.
 
-    Trained on the documents whose crc32 of the id is not 2 modulo 7. Texts are dealt into chunks by the hash of id and text; a chunk
-    counts its distinct keys and words once, so what is shuffled are counts, not occurrences. Keys are summed over all chunks;
-    subtrees of the context tree are built apart, by their last two context bytes; each chunk gets back the values of its own keys and words, and
-    scores its texts with them. Nothing is cut off: the model grows with the corpus, and no part of it is broadcast but
-    the estimates of depths 1 and 0, of fixed size.
-    Null texts count as empty: one token (the end), score 0. Repeated rows count, and are scored, each time. Other columns are left aside.
+    Trained on the documents whose crc32 of the id is not 2 modulo 7. A text is its bytes and an end, so the probabilities of all texts sum to 1.
+    Texts are dealt into chunks by the hash of id and text; a chunk counts its distinct keys and words once, so what is shuffled
+    are counts, not occurrences. Keys are summed over all chunks; subtrees of the context tree are built apart, by their last two context
+    bytes; each chunk gets back the values of its own keys and words, then reads its texts in portions and scores them. Nothing is
+    cut off: the model grows with the corpus, and no part of it is broadcast but the estimates of depths 1 and 0, of fixed size.
+    Null texts count as empty: one token (the end), and the end alone is coded. Repeated rows count, and are scored, each time. Very long texts
+    are read whole; a text is never split between tasks. Other columns are left aside; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold(7) == 2).alias("held_out"))
+    ship(docs.sparkSession)
+    id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    docs = docs.select(id_.alias("doc_id"), text.alias("text"), (fold(7) == 2).alias("held_out"), F.xxhash64(id_, text).alias("h"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_chunks = max(1, math.ceil(size / chunk_bytes))
-    spark = docs.sparkSession
-    deal = lambda df: df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int")).repartition(n_chunks, "chunk")
-    dealt = deal(docs)
+    dealt = once(docs).withColumn("chunk", F.pmod("h", F.lit(n_chunks)).cast("int"))
     found = pa.schema([("chunk", pa.int32()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
-    def count(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        texts, held = [lower(t.as_py()) for t in table.column("text")], table.column("held_out").to_pylist()
-        words: Counter = Counter()
-        for t, h in zip(texts, held, strict=True):
-            if not h:
-                words.update(t.split())
-        train, held_words = dict(words), {w for t, h in zip(texts, held, strict=True) if h for w in t.split()}
-        for w in held_words:
-            train.setdefault(w, 0)
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
-        for flag in (False, True):
-            group = [t for t, h in zip(texts, held, strict=True) if h == flag]
-            for part in _portions(group):
-                key, n = np.unique(keys(part), return_counts=True)
-                sums.append((key, n * (not flag)))
-        key, inverse = np.unique(np.concatenate([k for k, _ in sums] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([x for _, x in sums] or [np.zeros(0)]), len(key)).astype(np.int64)
-        # The empty word stands for the end of a text.
-        train[b""] = held.count(False)
-        k = len(key)
-        return pa.table(
-            [
-                pa.array(np.full(k + len(train), chunk, np.int32)), pa.concat_arrays([pa.array(key.astype(np.int64)), pa.nulls(len(train), pa.int64())]),
-                pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(list(train), pa.binary())]), pa.concat_arrays([pa.array(n), pa.array(list(train.values()), pa.int64())]),
-            ], schema=found,
-        )
-
-    counts = settled(dealt.groupBy("chunk").applyInArrow(count, "chunk int, key long, word binary, n long"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, more, words, sums = None, {}, Counter(), []
+        for batch, texts in portions(batches):
+            chunk = batch.column("chunk")[0]
+            times = _times(batch, more)
+            rows = [(lower(t), 0 if held else n, n) for t, n, held in zip(texts, times, batch.column("held_out").to_pylist(), strict=True) if n]
+            for t, n, _ in rows:
+                for w in t.split():
+                    words[w] += n
+                words[b""] += n  # the empty word stands for the end of a text
+            for some in ([r for r in rows if r[1]], [r for r in rows if not r[1]]):
+                sums.append(counted([t for t, _, _ in some], [n for _, n, _ in some]))
+            if len(sums) > 16:
+                sums = [summed(sums)]
+        if chunk is None:
+            return
+        key, n = summed(sums)
+        for a in range(0, len(key), 1 << 19):
+            k = len(part := key[a : a + (1 << 19)])
+            yield pa.RecordBatch.from_arrays([pa.repeat(chunk, k), pa.array(part.astype(np.int64)), pa.nulls(k, pa.binary()), pa.array(n[a : a + k])], schema=found)
+        word, n = list(words), list(words.values())
+        for a in range(0, len(word), 1 << 19):
+            k = len(part := word[a : a + (1 << 19)])
+            yield pa.RecordBatch.from_arrays([pa.repeat(chunk, k), pa.nulls(k, pa.int64()), pa.array(part, pa.binary()), pa.array(n[a : a + k], pa.int64())], schema=found)
+
+    first = dealt.repartitionById(n_chunks, F.col("chunk")).sortWithinPartitions(F.col("times") == 0)
+    counts = settled(first.mapInArrow(count, "chunk int, key long, word binary, n long"))
     key_counts, word_counts = counts.filter("key is not null"), counts.filter("word is not null")
     words = settled(word_counts.groupBy("word").agg(F.sum("n").alias("n")))
     known, total = words.agg(F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -208,19 +278,19 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        p, (node, whole, n0, n1) = tree(key, n, SPLIT)
-        raw = np.ascontiguousarray(p, "<f4")
+        p, (node, whole, n0, n1) = subtree(key, n)
         k, m = len(key), len(node)
+        raw = pa.Array.from_buffers(pa.binary(32), k, [None, pa.py_buffer(np.ascontiguousarray(p, "<f4"))]).cast(pa.binary())
         return pa.table(
             [
-                pa.concat_arrays([pa.array(key), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array([x.tobytes() for x in raw], pa.binary()), pa.nulls(m, pa.binary())]),
+                pa.concat_arrays([pa.array(key), pa.nulls(m, pa.int64())]), pa.concat_arrays([raw, pa.nulls(m, pa.binary())]),
                 *(pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)]) for x, t in ((_parent(node), pa.int64()), (n0, pa.float64()), (n1, pa.float64()), (whole, pa.float64()))),
             ], schema=built,
         )
 
-    summed = key_counts.groupBy("key").agg(F.sum("n").alias("n"))
-    subtree = F.shiftright("key", 8).bitwiseAND((1 << 8 * SPLIT) - 1).alias("subtree")
-    built_rows = settled(summed.groupBy(subtree).applyInArrow(build, "key long, p binary, node long, n0 double, n1 double, whole double"))
+    whole = key_counts.groupBy("key").agg(F.sum("n").alias("n"))
+    under = F.shiftright("key", 8).bitwiseAND((1 << 8 * SPLIT) - 1).alias("subtree")
+    built_rows = settled(whole.groupBy(under).applyInArrow(build, "key long, p binary, node long, n0 double, n1 double, whole double"))
     upper = top(built_rows.filter("node is not null").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "whole"))).orderBy("node").toPandas())
 
     def value(batches):
@@ -232,49 +302,63 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     key_values = built_rows.filter("key is not null").select("key", "p").mapInArrow(value, "key long, value double")
     back = key_counts.select("chunk", "key").join(key_values, "key").select("chunk", "key", F.lit(None).cast("binary").alias("word"), "value")
     back = back.unionByName(word_counts.select("chunk", "word").join(words.select("word", F.col("n").cast("double").alias("value")), "word").select("chunk", F.lit(None).cast("long").alias("key"), "word", "value"))
+    texts = dealt.withColumn("kind", F.when(F.col("times") == 0, 2).otherwise(1))
+    both = back.withColumn("kind", F.lit(0)).unionByName(texts, allowMissingColumns=True)
 
     bottom = math.log10(total + 1 * (known + 1))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_key = right.column("key").is_valid().to_numpy()
-        key, val = right.column("key").drop_null().to_numpy(), right.column("value").to_numpy()
-        order = np.argsort(key)
-        key, key_val = key[order].astype(np.uint64), val[is_key][order]
-        find = Finder(key)
-        seen = dict(zip(right.column("word").drop_null().to_pylist(), val[~is_key].tolist(), strict=True))
-        logs = {w: math.log10(c + 1) for w, c in seen.items()}
-        texts = [lower(t.as_py()) for t in left.column("text")]
-        out = []
-        for part in _portions(texts):
-            got = key_val[find(keys(part))]
-            ends = np.cumsum([len(t) for t in part])
-            run = np.concatenate([[0.0], np.cumsum(got)])
-            for t, e in zip(part, ends.tolist(), strict=True):
-                tokens = [*t.split(), b""]
-                base = math.fsum(map(logs.__getitem__, tokens)) - len(tokens) * bottom
-                s = float(run[e] - run[e - len(t)])
-                out.append((len(tokens), sum(seen[w] > 0 for w in tokens), total, base, s, -s / math.log10(2) / len(t) if t else 0.0))
-        return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.chunked_array([pa.array(c, schema[i + 2].type)]) for i, c in enumerate(zip(*out, strict=True)))], schema=schema)
-
-    joined = dealt.groupBy("chunk").cogroup(back.groupBy("chunk"))
-    return joined.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: dict[bytes, float] = {}
+        more: dict[int, int] = {}
+        find = key_val = None
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            given = batch.slice(0, int((kind == 0).sum()))  # rows come in order of kind
+            if len(given):
+                is_key = given.column("key").is_valid().to_numpy(zero_copy_only=False)
+                val = given.column("value").to_numpy()
+                held.append((given.column("key").drop_null().to_numpy(), val[is_key]))
+                seen.update(zip(given.column("word").drop_null().to_pylist(), val[~is_key].tolist(), strict=True))
+            rest = batch.slice(len(given))
+            if not len(rest):
+                continue
+            if find is None:
+                key, key_val = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                order = np.argsort(key)
+                find, key_val = Finder(key[order].astype(np.uint64)), key_val[order]
+            for part, whole_texts in portions([rest]):
+                times = _times(part, more)
+                texts = [lower(t) for t in whole_texts]
+                got = key_val[find(keys([t + END for t, n in zip(texts, times, strict=True) if n]))]
+                run = np.concatenate([[0.0], np.cumsum(got)])
+                out, at = [], 0
+                for doc, h, t, n in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), texts, times, strict=True):
+                    if n:
+                        counts_ = [seen[w] for w in (*t.split(), b"")]
+                        base = math.fsum(map(math.log10, (c + 1 for c in counts_))) - len(counts_) * bottom
+                        s = float(run[at + len(t) + 1] - run[at])
+                        at += len(t) + 1
+                        out += [(doc, h, len(counts_), sum(c > 0 for c in counts_), total, base, s, -s / math.log10(2) / (len(t) + 1))] * n
+                for a in range(0, len(out), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + (1 << 16)], strict=True), schema, strict=True)], schema=schema)
+
+    last = both.repartitionById(n_chunks, F.col("chunk")).sortWithinPartitions("kind")
+    return last.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+
+
+def _times(batch: pa.RecordBatch, more: dict[int, int]) -> list[int]:
+    """How often each row counts: one, and for the first of its hash what `more` has; rows without a text go to `more` and count none."""
+    out = []
+    for h, n in zip(batch.column("h").to_pylist(), batch.column("times").to_pylist(), strict=True):
+        if n:
+            more[h] = more.get(h, 0) + n
+        out.append(0 if n else 1 + more.pop(h, 0))
+    return out
 
 
 def _parent(node: np.ndarray) -> np.ndarray:
     """Depth-1 node above a depth-SPLIT node."""
     return (node >> 8 & 255) << 8 | node & 255
-
-
-def _portions(texts: list[bytes], most: int = 4 << 20):
-    """The texts in order, in lists of about `most` bytes."""
-    group: list[bytes] = []
-    held = 0
-    for t in texts:
-        group.append(t)
-        held += len(t)
-        if held > most:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group

@@ -11,13 +11,21 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: A shorter run of either cannot hold a longer one, so the least length may stand in the pattern.
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
-#: What the battery looks at: runs of letters, digits and the signs of base64, 20 at least, with a digit among them or both cases.
-TOKEN, LEAST_TOKEN = r"[A-Za-z0-9+/_-]{20,}", 20
+#: What the battery looks at: runs of letters, digits and the signs of base64, 20 at least.
+#: FILL stands for what is taken already: a run that touches it is none of the battery's. A text's own FILL counts alike.
+FILL, LEAST_TOKEN = "\U0010ffff", 20
+TOKEN = r"(?<![A-Za-z0-9+/_\-\x{10ffff}])[A-Za-z0-9+/_-]{20,}+(?!\x{10ffff})"
+#: Runs with the signs of both kinds of base64 are parted at those of one of them.
+PARTS = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}")
+#: Matches whose places are summed in one go.
+RUN = 256
 #: The alphabets in the order in which an encoding is inferred.
 ALPHABETS = (
     ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("small", "abcdefghijklmnopqrstuvwxyz"),
+    ("capital", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
@@ -39,18 +47,53 @@ def let(value: Column, body) -> Column:
 def found(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>> of the leftmost non-overlapping matches: code points, end exclusive.
 
-    Splitting at the pattern gives what stands between the matches, so lengths alone place them.
+    Splitting at the pattern gives what stands between the matches, so lengths alone place them. Lengths are summed in runs of
+    RUN matches, and the runs laid end to end, so that the work grows with the number of matches and not with its square.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    empty = F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)")
+
+    def step(acc: Column, pair: Column) -> Column:
+        s = acc["at"] + pair["g"]
+        e = s + F.length(pair["m"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m")))).alias("out"))
 
     def place(m: Column) -> Column:
-        step = lambda acc, pair: F.struct((acc["at"] + pair["g"] + F.length(pair["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + pair["g"]).alias("s"), (acc["at"] + pair["g"] + F.length(pair["m"])).alias("e"), pair["m"].alias("m")))).alias("out"))
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)").alias("out"))
         pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.struct(g.alias("g"), x.alias("m")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return let(pairs, lambda p: let(F.transform(in_runs(p), lambda r: F.aggregate(r, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)), lay))
+
+    def lay(runs: Column) -> Column:
+        before = F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+            lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+            lambda acc: acc["all"],
+        )
+        moved = lambda r, o: F.transform(r["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["m"].alias("m")))
+        return F.flatten(F.zip_with(runs, before, moved))
+
+    return F.when(F.rlike(text, F.lit(pattern)), let(matches, place)).otherwise(empty)
+
+
+def in_runs(a: Column) -> Column:
+    """The array's elements in runs of RUN."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int")), lambda k: F.slice(a, k * RUN + 1, F.lit(RUN)))
+
+
+def masked(text: Column, pattern: str, holds=None) -> Column:
+    """text with as many FILL in place of each match for which holds is true (all by default)."""
 
-    return F.when(F.rlike(text, F.lit(pattern)), let(matches, place)).otherwise(F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)"))
+    def fill(m: Column) -> Column:
+        over = F.repeat(F.lit(FILL), F.length(m))
+        return over if holds is None else F.when(holds(m), over).otherwise(m)
+
+    def join(x: Column) -> Column:
+        n = F.size(x["m"])
+        return F.array_join(F.concat(F.zip_with(F.slice(x["g"], F.lit(1), n), x["m"], lambda g, m: F.concat(g, fill(m))), F.slice(x["g"], n + 1, F.lit(1))), "")
+
+    parts = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return F.when(F.rlike(text, F.lit(pattern)), let(parts, join)).otherwise(text)
 
 
 def normal_tail(z: Column) -> Column:
@@ -80,23 +123,26 @@ def battery(token: Column) -> Column:
 
     def tested(a: Column) -> Column:
         k = F.length(a)
-        codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(a, F.substring(token, i, F.lit(1))) - 1)
-        # Runs are of capitals, small letters, and digits and signs; in an alphabet of digits alone, of its lower and upper half.
+        codes = F.transform(F.split(token, "", -1), lambda c: F.instr(a, c) - 1)
+        times = F.transform(F.split(a, "", -1), lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"))
+        # Runs are of capitals, small letters, and digits and signs; in an alphabet of one of these alone, of its lower and upper half.
         share = [(k - F.length(F.translate(a, x, ""))) / k for x in (_SMALL, _SMALL.upper())]
         share.append(1 - share[0] - share[1])
-        same = F.when(share[2] == 1, 0.5).otherwise(share[0] * share[0] + share[1] * share[1] + share[2] * share[2])
-        kinds = F.when(share[2] == 1, F.translate(token, "0123456789", "0000011111")).otherwise(F.translate(F.translate(token, _SMALL, "a" * 26), _SMALL.upper() + "0123456789+/-_", "A" * 26 + "0" * 14))
-        return let(F.struct(k.cast("double").alias("k"), codes.alias("c"), F.length(token).cast("double").alias("n"), same.alias("same"), kinds.alias("kinds")), scored)
+        alone = F.greatest(*share) == 1
+        same = F.when(alone, 0.5).otherwise(share[0] * share[0] + share[1] * share[1] + share[2] * share[2])
+        halves = F.translate(token, "0123456789" + _SMALL + _SMALL.upper(), "0" * 5 + "1" * 5 + ("0" * 13 + "1" * 13) * 2)
+        kinds = F.when(alone, halves).otherwise(F.translate(F.translate(token, _SMALL, "a" * 26), _SMALL.upper() + "0123456789+/-_", "A" * 26 + "0" * 14))
+        turns = F.regexp_count(kinds, F.lit("a+|A+|0+|1+")) - 1
+        return let(F.struct(k.cast("double").alias("k"), codes.alias("c"), times.alias("times"), F.length(token).cast("double").alias("n"), same.alias("same"), turns.cast("double").alias("turns")), scored)
 
     def scored(x: Column) -> Column:
-        k, c, n = x["k"], x["c"], x["n"]
-        # Sum of squared counts: each character meets its equals.
-        squares = F.aggregate(c, F.lit(0.0), lambda acc, v: acc + F.size(F.filter(c, lambda w: w == v)))
+        k, n, turns = x["k"], x["n"], x["turns"]
+        squares = F.aggregate(x["times"], F.lit(0.0), lambda acc, v: acc + v * v)
         chi = k / n * squares - n
         middle = (k - 1) / 2
-        deviations = F.transform(c, lambda v: v - middle)
-        product = F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(deviations, i) * F.element_at(deviations, i + 1))
-        turns = F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.when(F.substring(x["kinds"], i, F.lit(1)) != F.substring(x["kinds"], i + 1, F.lit(1)), 1.0).otherwise(0.0))
+        # The element before goes along, so that a single pass sees each pair of neighbours.
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("last"))
+        product = F.aggregate(x["c"], start, lambda acc, v: F.struct((acc["sum"] + acc["last"] * (v - middle)).alias("sum"), (v - middle).alias("last")), lambda acc: acc["sum"])
         variance = (k * k - 1) / 12
         stats = F.struct(chi.alias("chi"), k.alias("k"), n.alias("n"), ((turns - (n - 1) * (1 - x["same"])) / F.sqrt((n - 1) * x["same"] * (1 - x["same"]))).alias("runs"), (product / (variance * F.sqrt(n - 1))).alias("serial"))
         return let(stats, combined)
@@ -112,22 +158,32 @@ def battery(token: Column) -> Column:
     return let(alphabet(token), lambda a: F.when(a.isNotNull(), tested(a)))
 
 
-def random_spans(text: Column, taken: Column) -> Column:
-    """array<struct<s, e>> of the tokens called random.
+def pieces(c: Column) -> Column:
+    """The run as it is; one with the signs of both kinds of base64 is parted at those that leave the longest part."""
+
+    def parted(x: Column) -> Column:
+        longest = lambda a: F.coalesce(F.array_max(F.transform(a, lambda p: p["e"] - p["s"])), F.lit(0))
+        best = F.when(longest(x["a"]) >= longest(x["b"]), x["a"]).otherwise(x["b"])
+        return F.transform(best, lambda p: F.struct((c["s"] + p["s"]).alias("s"), (c["s"] + p["e"]).alias("e"), p["m"].alias("m")))
+
+    both = F.rlike(c["m"], F.lit("[+/]")) & F.rlike(c["m"], F.lit("[_-]"))
+    return F.when(both, let(F.struct(*[found(c["m"], p).alias(n) for n, p in zip("ab", PARTS, strict=True)]), parted)).otherwise(F.array(c))
+
+
+def random_spans(text: Column) -> Column:
+    """array<struct<s, e>> of the tokens called random. text: with FILL in place of the spans already found.
 
-    Of a text's tokens, apart from those that overlap a span already found, the battery's p-values go through a weighted
+    The battery's p-values of a text's tokens, each in the first alphabet that fits it, go through a weighted
     Benjamini-Hochberg step: weights are lengths over their mean, p below FDR * weight * rank / tokens.
     """
-    mixed = lambda m: F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]")) | (F.rlike(m, F.lit("[a-z][A-Z].*[a-z][A-Z]")) & F.rlike(m, F.lit("[A-Z][a-z].*[A-Z][a-z]")))
-    tokens = F.filter(found(text, TOKEN), lambda c: mixed(c["m"]) & ~F.exists(taken, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    tokens = F.flatten(F.transform(found(text, TOKEN), pieces))
     tested = F.filter(F.transform(tokens, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), battery(c["m"]).alias("b"))), lambda c: c["b"].isNotNull())
 
     def controlled(t: Column) -> Column:
-        m = F.size(t)
-        mean = F.aggregate(t, F.lit(0.0), lambda acc, c: acc + c["b"]["n"]) / m
-        weighed = F.array_sort(F.transform(t, lambda c: F.struct((c["b"]["p"] * mean / c["b"]["n"]).alias("q"), c["s"].alias("s"), c["e"].alias("e"))))
+        mean = F.aggregate(t, F.lit(0.0), lambda acc, c: acc + c["b"]["n"]) / F.size(t)
+        weighed = lambda w: F.array_sort(F.transform(t, lambda c: F.struct((c["b"]["p"] * w / c["b"]["n"]).alias("q"), c["s"].alias("s"), c["e"].alias("e"))))
         cut = lambda w: F.aggregate(F.sequence(F.lit(1), F.size(w)), F.lit(0), lambda acc, i: F.when(F.element_at(w, i)["q"] <= FDR * i / F.size(w), i).otherwise(acc))
-        return let(weighed, lambda w: F.transform(F.slice(w, F.lit(1), cut(w)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))))
+        return let(let(mean, weighed), lambda w: F.transform(F.slice(w, F.lit(1), cut(w)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))))
 
     empty = F.expr("cast(array() as array<struct<s: int, e: int>>)")
     return let(tested, lambda t: F.when(F.size(t) > 0, controlled(t)).otherwise(empty))
@@ -137,14 +193,16 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans (array of s, o, e: start, place of the kind in KINDS, end) of each row of docs, sorted.
 
     A null text counts as empty and has no spans. Repeated rows are scanned alike; other columns are left aside; each row is
-    scanned by itself, without a shuffle.
+    scanned by itself, without a shuffle. Texts are scanned whole, in time that grows with their length, whether they have very long tokens
+    or very many matches.
     """
     kind = lambda a, o: F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["e"].alias("e")))
     text = F.col("text")
-    long_enough = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= LEAST_VALUE
-    base = F.concat(kind(F.filter(found(text, ASSIGN), long_enough), 0), kind(found(text, ACCESS), 1), kind(found(text, HEX), 2))
+    holds = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
+    base = F.concat(kind(F.filter(found(text, ASSIGN), lambda x: holds(x["m"])), 0), kind(found(text, ACCESS), 1), kind(found(text, HEX), 2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("base", F.array_sort(base))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", kind(random_spans(text, F.col("base")), 3))).alias("spans"))
+    free = rows.select("doc_id", "base", masked(masked(masked(text, ASSIGN, holds), ACCESS), HEX).alias("text"))
+    return free.select("doc_id", "base", F.array_sort(F.concat("base", kind(random_spans(text), 3))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -69,7 +69,7 @@ def brute_lm(pairs):
     depth, seen = ctw.DEPTH, {}
 
     def bits(t):
-        b = bytes(depth) + (t or "").encode().lower()
+        b = bytes(depth) + (t or "").encode().lower() + ctw.END
         for i in range(depth, len(b)):
             for k in range(8):
                 yield b[i - depth : i], (1 << k) | (b[i] >> (8 - k)), b[i] >> (7 - k) & 1
@@ -103,8 +103,8 @@ def brute_lm(pairs):
 
 
 def test_context_tree(spark, empty):
-    pairs = [(1, "The cat sat on the mat. the cat"), (2, "a dog and the cat é"), (3, ""), (4, None), (8, "zebra the mat"), (30, "the the"), (9, "the cat sat on the mat")]
-    got = ctw.lm_scores(spark.createDataFrame(pairs, "doc_id long, text string"), chunk_bytes=20).collect()
+    pairs = [(1, "The cat sat on the mat. the cat"), (2, "a dog and the cat é"), (3, ""), (4, None), (8, "zebra the mat"), (30, "the the"), (9, "the cat sat on the mat"), (9, "the cat sat on the mat"), (30, "the the"), (30, "the the")]
+    got = ctw.lm_scores(spark.createDataFrame(pairs, "doc_id long, text string").repartition(2), chunk_bytes=20).collect()
     want, c = brute_lm(pairs), Counter()
     for i, t in pairs:
         if zlib.crc32(str(i).encode()) % 7 != 2:
