@@ -22,40 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder of spark.checkpoint.dir.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder of its own.
+    Only a session of one machine without that setting (a test) gets a temporary folder of its own; on a cluster the setting must be there,
+    as other executors don't see what a task writes to its own disk.
     """
     root = ship(spark).conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="affinis-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, level: int = 3) -> DataFrame:
-    """df, written to the shared folder and read back: computed once, and safe from lost executors. level: of the compression."""
-    path = scratch(df.sparkSession)
+def settled(df: DataFrame, level: int = 3, path: str | None = None) -> DataFrame:
+    """df, written to the shared folder (to path, if given) and read back: computed once, and safe from lost executors. level: of the compression."""
+    path = path or scratch(df.sparkSession)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Removes what settled() wrote to path and nothing reads any more."""
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fold(n: int, key: str = "doc_id"):
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "utf-8")) % n
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, wanted, per_class: int, most_chars: int | None = None) -> DataFrame:
-    """(doc_id, text, label) of at most per_class labelled documents of either class that satisfy wanted.
+    """(doc_id, text, label) of rows of at most per_class labelled ids of either class that satisfy wanted; rows with equal ids all come, see one_per_id.
 
     Drawn by the hash of the id, so reruns agree. The ids are at most 2 * per_class, which bounds the broadcast.
-    most_chars leaves longer texts out of this sample, for operators that bring its texts to the driver.
+    most_chars leaves longer texts out of this sample, for operators that bring its texts to one task.
     """
     labels = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(wanted & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     order = [F.xxhash64("doc_id"), "doc_id", "label"]
-    ids = labels.filter("label = 0").orderBy(*order).limit(per_class).unionByName(labels.filter("label = 1").orderBy(*order).limit(per_class))
+    pick = lambda k: labels.filter(f"label = {k}").distinct().orderBy(*order).limit(per_class)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if most_chars:
         docs = docs.filter(F.length("text") <= most_chars)
-    return docs.join(F.broadcast(ids), "doc_id")
+    return docs.join(F.broadcast(pick(0).unionByName(pick(1))), "doc_id")
+
+
+def one_per_id(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """value and label of one row of each (doc_id, label), that of the smallest `order`: what bounds a sample where ids repeat. Combined at the map side."""
+    return rows.groupBy("doc_id", "label").agg(F.min(F.struct(order, value)).alias("b")).select("doc_id", "label", f"b.{value}")
 
 
 def odds_shift(labels: DataFrame, label: str, wanted, y: np.ndarray) -> float:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, odds_shift, sample_labelled
+from ..shipping import ship
+from .common import fold, odds_shift, one_per_id, portions, sample_labelled
 from .docstats import FEATURES, stats
 
 #: The kept verdict may only fall as these grow.
@@ -92,22 +93,24 @@ def fit(x: np.ndarray, y: np.ndarray, sign: np.ndarray, trees: int = 60, depth:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
-    """make(ids, base, features, labels) gives the columns of schema for a batch."""
-    for batch in batches:
-        found = [stats(t) for t in (x.as_py() for x in batch.column("text"))]
+    """make(batch, base, features) gives the columns of schema for a portion of a batch, so that few texts are expanded at once."""
+    for batch, texts in portions(batches):
+        found = [stats(t) for t in texts]
         base = np.array([x[0] for x in found], np.int64).reshape(-1, len(BASE))
         x = np.array([x[1] for x in found], float).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(make(batch, base, x), schema, strict=True)], schema=schema)
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, wanted, per_class: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the bounded sample, computed on the executors; at most 2 * per_class short rows come back."""
-    schema = pa.schema([("x", pa.list_(pa.float64())), ("label", pa.int32())])
+    """Features and labels of the bounded sample, computed on the executors; at most 2 * per_class short rows come back, one for each labelled id."""
+    ship(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def work(batches):
-        yield from _rows(batches, schema, lambda b, base, x: [list(x), b.column("label")])
+        yield from _rows(batches, schema, lambda b, base, x: [b.column("doc_id").cast(pa.int64()), b.column("label"), b.column("h"), pa.array(list(x), pa.list_(pa.float64()))])
 
-    got = sample_labelled(docs, labels, label, wanted, per_class).mapInArrow(work, "x array<double>, label int").collect()
+    rows = sample_labelled(docs, labels, label, wanted, per_class).withColumn("h", F.xxhash64("text")).mapInArrow(work, "doc_id long, label int, h long, x array<double>")
+    got = one_per_id(rows, "x", "h").collect()
     x = np.array([r.x for r in got], float).reshape(-1, len(FEATURES))
     y = np.array([r.label for r in got], float)
     order = np.lexsort((*x.T, y))  # rows arrive in any order; sums then agree between runs
@@ -119,7 +122,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, pe
 
     The model is fitted on at most per_class labelled documents of either class (labels.quality), outside
     the held-out fold of the ids. Null and empty texts have zero statistics, and fail the base rule; repeated rows
-    are scored alike; other columns, and any names they have, are left aside. Empty labels: a constant model.
+    are scored alike; other columns, and any names they have, are left aside. Empty labels: a constant model; an empty table: no rows.
+    Whole texts are measured, however long, a few at a time. Of labelled rows that share an id, one is learned from.
     """
     x, y = labelled_features(docs, labels, "quality", fold(5) != 0, per_class)
     model = fit(x, y, np.array([-1 if f in FALLING else 0 for f in FEATURES]))

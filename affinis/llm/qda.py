@@ -75,7 +75,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
 
     Fitted on at most per_class labelled documents of either class whose crc32 of the id is not 0 modulo 5. Inputs are
     statistics of the text alone. Null texts count as empty, a null id as empty text in the fold; empty tables give
-    no rows, empty labels the score one half; repeated rows are scored alike, other columns are left aside.
+    no rows, empty labels the score one half; repeated rows are scored alike, other columns are left aside. Whole texts are measured,
+    however long, a few at a time. Of labelled rows that share an id, one is learned from.
     """
     x, y = labelled_features(docs, labels, "quality", fold(5) != 0, per_class)
     model = Discriminant(x, y)

@@ -60,7 +60,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                      greatest(0.05, CASE WHEN length(coalesce(text, '')) > 0 THEN 1 - (length(text) - length(translate(text, '#*$%&|<>!', ''))) / length(text) ELSE 0.05 END) AS weight,
-                     (('0x' || substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+                     (('0x' || substr(md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
         s AS (SELECT source, sum(size)::DOUBLE AS total, 2.0 * sum(size)::DOUBLE AS cap, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
         l AS (SELECT *, (1.5 * sum(total) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
               FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

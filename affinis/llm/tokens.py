@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import json
 import os
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, settled
+from ..shipping import ship
+from .common import portions, scratch, settled
 
 #: Folder of the vocabulary files; any other path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,6 +39,13 @@ def encoder(vocabulary: str):
     return _cached[vocabulary]
 
 
+def sent(spark: SparkSession, vocabulary: str) -> str:
+    """Name under which the workers find the vocabulary file: the driver's is sent to them."""
+    name = os.path.basename(vocabulary)
+    spark.sparkContext.addFile(vocabulary)
+    return name
+
+
 class Feistel:
     """A keyed permutation of 0 to n - 1: four Feistel rounds on the next even number of bits, walked until the image lies inside."""
 
@@ -70,55 +81,123 @@ class Feistel:
 
 
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, part, run, n_tokens, tokens (little-endian uint16, or uint32 for a larger vocabulary, the end mark included) for each row of docs.
+    """doc_id, h, part, nth, n_tokens, tokens (little-endian uint16, or uint32 for a larger vocabulary, the end mark included) for each row of docs.
 
-    part is the partition that made the row, run the tokens of the partition's rows before it.
+    h is the hash of id and text, by which documents are ordered; part is the partition that made the row, nth how many rows of that hash
+    it had before.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("run", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
+    name = sent(ship(docs.sparkSession), vocabulary)
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("nth", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 
     def work(batches):
-        coder, end = encoder(vocabulary)
+        coder, end = encoder(SparkFiles.get(name))
         kind = "<u2" if end < 1 << 16 else "<u4"
-        part, run = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            got = [np.array([*coder.encode_ordinary(t.as_py() or ""), end], kind) for t in batch.column("text")]
-            sizes = np.array([len(x) for x in got], np.int64)
-            runs = run + np.cumsum(sizes) - sizes
-            run += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(got), part, np.int32)), pa.array(runs), pa.array(sizes), pa.array([x.tobytes() for x in got], pa.binary())], schema=schema)
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for batch, texts in portions(batches):
+            got = [np.array([*coder.encode_ordinary(t), end], kind) for t in texts]
+            nth = []
+            for h in batch.column("h").to_pylist():
+                nth.append(seen[h])
+                seen[h] += 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.full(len(got), part, np.int32)), pa.array(nth, pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], schema=schema)
+
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.select(id_.alias("doc_id"), F.xxhash64(id_, "text").alias("h"), "text")
+    return rows.mapInArrow(work, "doc_id long, h long, part int, nth long, n_tokens long, tokens binary")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(work, "doc_id long, part int, run long, n_tokens long, tokens binary")
+
+#: Documents of a range of hashes, whose places one task adds up.
+RANGE_ROWS = 1 << 20
+
+
+def places(rows: DataFrame, folder: str) -> int:
+    """Writes to folder, for each part of rows, the place of its documents in the stream; returns the stream's tokens.
+
+    The stream is in order of h, then id, so it is the same however the table is split. A part has a file of its hashes with the place
+    of the first of its rows of each; rows that are alike follow each other, so a hash that a third of all rows bear is one entry of a part.
+    Ranges of hashes are added up apart and laid end to end; only a sum for each comes to the driver.
+    """
+    spark = rows.sparkSession
+    alike = rows.groupBy("h", "doc_id", "n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
+    count = rows.count()
+    ranges = max(1, -(-count // RANGE_ROWS))
+    at = F.floor((F.col("h").cast("double") + float(1 << 63)) / (float(1 << 64) / ranges))  # rises with h
+    alike = settled(alike.withColumn("range", F.least(F.lit(ranges - 1), at).cast("int")))
+    sums = alike.groupBy("range").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("s")).orderBy("range").collect()
+    ends = np.cumsum([r.s for r in sums], dtype=np.int64)
+    base = spark.createDataFrame([(r.range, int(e) - r.s) for r, e in zip(sums, ends, strict=True)], "range int, base long")
+    inside = Window.partitionBy("range").orderBy("h", "doc_id", "n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("at", F.coalesce(F.sum(F.col("n") * F.col("n_tokens")).over(inside), F.lit(0))).join(base, "range").select("part", "h", "doc_id", (F.col("at") + F.col("base")).alias("at"))
+
+    def put(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        part, held = None, []
+
+        def end_part():
+            name = f"{root}/.{part}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(name, compression=None) as f, pa.ipc.new_file(f, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            fs.move(name, f"{root}/{part}.arrow")
+
+        for batch in batches:
+            of = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and of[a] != part:
+                    end_part()
+                    held = []
+                part = int(of[a])
+                held.append(batch.slice(a, b - a).select(["h", "doc_id", "at"]))
+        if held:
+            end_part()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], names=["done"])
+
+    placed.repartition("part").sortWithinPartitions("part").mapInArrow(put, "done int").count()
+    return int(ends[-1]) if len(ends) else 0
 
 
 def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """Writes shards to folder and returns what they hold: slot, shard, position, path, sequence, n_tokens, doc_ids, sha256 for each sequence.
-
-    The tokens of all documents, each with an end mark, form one stream in the order in which docs are stored, cut into sequences of
-    `length` (the last is filled with end marks; n_tokens leaves those out). Sequence i goes to slot Feistel(i). Shard s is a file
-    with the slots s * shard to (s + 1) * shard - 1 at a fixed stride, so slot k is read at k % shard * stride of file
-    k // shard, and a reader can go on from any slot. Null and empty texts give an end mark alone; repeated rows are
-    written as often as they come; an empty table gives no shards. A task writes a shard under another name and renames it.
-    Tokens are written to the shared folder once, with their place in their partition; only a sum for each partition comes to
-    the driver. They are then shuffled once, compressed, to their shards.
+    """Writes shards and a manifest to folder and returns what they hold: slot, shard, position, path, sequence, n_tokens, doc_ids, sha256 for each sequence.
+
+    The tokens of all documents, each with an end mark, form one stream in the order of a hash of id and text, so that equal tables give equal
+    shards on any cluster; it is cut into sequences of `length` (the last is filled with end marks; n_tokens leaves those out). Sequence i
+    goes to slot Feistel(i). Shard s is a file with the slots s * shard to (s + 1) * shard - 1 at a fixed stride, so slot k is read at
+    k % shard * stride of file k // shard, and a reader can go on from any slot. Null and empty texts give an end mark
+    alone; a very long text goes through as many sequences as it fills; repeated rows are written as often as they come; other columns are
+    left aside; an empty table gives a manifest without shards. A task writes a shard under another name and renames it.
+    Tokens are written to the shared folder once, with small files of their places; they are then shuffled once, compressed, to ranges of shards.
     """
+    spark = ship(docs.sparkSession)
     _, end = encoder(vocabulary)
     kind = "<u2" if end < 1 << 16 else "<u4"
     wide = np.dtype(kind).itemsize
     rows = settled(tokenized(docs, vocabulary), level=9)
-    sums = sorted((r.part, r.s) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("s")).collect())
-    ends = np.cumsum([s for _, s in sums], dtype=np.int64)
-    base = {part: int(e) - s for (part, s), e in zip(sums, ends, strict=True)}
-    n = -(-int(ends[-1]) // length) if sums else 0
+    index = scratch(spark)
+    total = places(rows.drop("tokens"), index)
+    n = -(-total // length)
+    shards = -(-n // shard)
     order = Feistel(n, key)
+    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/manifest.json", compression=None) as f:
+        f.write(json.dumps({"key": key, "length": length, "shard": shard, "dtype": kind, "stride": length * wide, "end": end, "vocabulary": os.path.basename(vocabulary), "tokens": total, "sequences": n, "shards": shards}).encode())
     piece = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int32()), ("sequence", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def cut(batches):
+        fs, base = pyarrow.fs.FileSystem.from_uri(index)
         pack = zstandard.ZstdCompressor(level=9)
+        now, place = None, {}
         for batch in batches:
             out: list[tuple[int, int, int | None, bytes]] = []
-            for doc, part, run, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "run", "tokens")), strict=True):
-                size, k, offset = len(tokens) // wide, 0, base[part] + run
+            for doc, h, part, nth, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "part", "nth", "tokens")), strict=True):
+                if part != now:
+                    with fs.open_input_stream(f"{base}/{part}.arrow") as f:
+                        found = pa.ipc.open_file(io.BytesIO(f.read())).read_all().to_pydict()
+                    now, place = part, dict(zip(zip(found["h"], found["doc_id"], strict=True), found["at"], strict=True))
+                size, k = len(tokens) // wide, 0
+                offset = place[h, doc] + nth * size
                 while k < size:
                     sequence, at = divmod(offset + k, length)
                     take = min(length - at, size - k)
@@ -129,12 +208,11 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
                 slot = order.slot(np.array(sequence, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot), pa.array(at, pa.int32()), pa.array(sequence, pa.int64()), pa.array(doc, pa.int64()), pa.array(tokens, pa.binary())], schema=piece)
 
-    pieces = rows.select("doc_id", "part", "run", "tokens").mapInArrow(cut, "shard long, slot long, at int, sequence long, doc_id long, tokens binary")
+    pieces = rows.select("doc_id", "h", "part", "nth", "tokens").mapInArrow(cut, "shard long, slot long, at int, sequence long, doc_id long, tokens binary")
     report = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("position", pa.int32()), ("path", pa.string()), ("sequence", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sha256", pa.string())])
 
     def put(batches):
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
         state: dict = {"shard": None}
         unpack = zstandard.ZstdDecompressor()
         done: list[tuple] = []
@@ -172,24 +250,28 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), report, strict=True)], schema=report)
 
-    # Whole shards go to a task: ranges of slots that end where shards do.
-    parts = max(1, min(-(-n // shard), 100_000))
-    dealt = pieces.repartition(parts, "shard").sortWithinPartitions("shard", "slot", "at")
+    # Whole shards go to a task: range partitions of slots, which end where shards do.
+    parts = max(1, min(shards, 100_000))
+    dealt = pieces.repartitionById(parts, F.floor(F.col("shard") * parts / F.lit(max(1, shards))).cast("int")).sortWithinPartitions("shard", "slot", "at")
     return settled(dealt.mapInArrow(put, "slot long, shard long, position int, path string, sequence long, n_tokens long, doc_ids array<long>, sha256 string"))
 
 
-def read_slots(folder: str, first: int, count: int, length: int = LENGTH, shard: int = SHARD, kind: str = "<u2") -> np.ndarray:
-    """(count, length) token ids of the slots from first on: seeks to the place in each shard, reads on."""
+def read_slots(folder: str, first: int, count: int) -> np.ndarray:
+    """(count, length) token ids of the slots from first on, as the manifest lays them out: seeks to the place in each shard, reads on."""
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-    stride, out = length * np.dtype(kind).itemsize, []
+    with fs.open_input_stream(f"{base}/manifest.json") as f:
+        m = json.loads(f.read())
+    if first < 0 or first + count > m["sequences"]:
+        raise ValueError(f"the folder has the slots 0 to {m['sequences'] - 1}")
+    out = []
     while count > 0:
-        number, at = divmod(first, shard)
-        take = min(count, shard - at)
+        number, at = divmod(first, m["shard"])
+        take = min(count, m["shard"] - at)
         with fs.open_input_file(f"{base}/{number:08d}.bin") as f:
-            f.seek(at * stride)
-            out.append(np.frombuffer(f.read(take * stride), kind).reshape(-1, length))
+            f.seek(at * m["stride"])
+            out.append(np.frombuffer(f.read(take * m["stride"]), m["dtype"]).reshape(-1, m["length"]))
         first, count = first + take, count - take
-    return np.concatenate(out) if out else np.zeros((0, length), kind)
+    return np.concatenate(out) if out else np.zeros((0, m["length"]), m["dtype"])
 
 
 def training_order(docs: DataFrame) -> DataFrame:
