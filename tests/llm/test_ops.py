@@ -242,7 +242,7 @@ def edit_distance_inside(p, t):
     return min(row)
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     r = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyz     "
     items = [(i, "".join(r.choice(letters) for _ in range(n))) for i, n in enumerate((5, 30, 90, 150, 150, 400))] + [(7, None), (8, "")]
@@ -264,12 +264,36 @@ def test_decontamination(spark, docs, empty):
         want = {i for i, p in enumerate(index.texts) if edit_distance_inside(p, text) <= index.edits[i]}
         assert {x[0] for x in found} == want
         assert all(d == edit_distance_inside(index.texts[i], text) for i, d, _, _ in found)
+    monkeypatch.setattr(decontam, "POSTS", 50)
+    assert [index.find(texts)] == [decontam.Items([(i, decontam.normal(t)) for i, t in items]).find(texts)]
     bench = spark.createDataFrame([*items, (9, prose(1, 300)[100:400])], "item_id long, text string")
     rows = {r.row.doc_id: [h.item_id for h in r.hits] for r in decontam.matches(docs, bench).collect()}
     assert 9 in rows[5] and 9 not in rows[6] and len(rows) == 13 and decontam.matches(docs, empty[0].selectExpr("doc_id AS item_id", "text")).count() == docs.count()
     assert decontam.matches(empty[0], bench).count() == 0
 
 
+def test_many_short_items(monkeypatch):
+    """100,000 items of ten bytes, and some of two, against a look-up of every place; no array of texts times items is made."""
+    r = random.Random(3)
+    items = list(dict.fromkeys("".join(r.choice("abcdef ") for _ in range(10)).strip() or "x" for _ in range(100_000)))
+    items = [i for i in items if "  " not in i] + ["zq", "zz"]
+    index = decontam.Items([(k, i.encode()) for k, i in enumerate(items)])
+    texts = [decontam.normal("".join(r.choice("abcdef ") for _ in range(2000)) + r.choice(["", " zq", "zz"])) for _ in range(30)] + [b""]
+    of = {i.encode(): k for k, i in enumerate(items)}
+    for text, found in zip(texts, index.find(texts), strict=True):
+        want = {of[text[a : a + n]] for n in range(1, 11) for a in range(len(text) - n + 1) if text[a : a + n] in of}
+        assert {x[0] for x in found} == want
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, prose(50 + i, 60)) for i in range(40)] + [(3, prose(53, 60)), (None, prose(90, 60))], "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(i, prose(1000 + i, 30) + " " + prose(50 + i % 41, 60)) for i in range(60)], "doc_id long, text string")
+    of = lambda: sorted((r.row.doc_id, [h.item_id for h in r.hits]) for r in decontam.matches(docs, bench).collect())
+    whole = of()
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 700)
+    assert of() == whole and all(r[1] == [r[0] % 41 if r[0] % 41 < 40 else None] for r in whole)
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mixed(docs).collect()
     assert len(rows) == docs.count() and all(0 <= r.taken <= 2 * r.size for r in rows)
