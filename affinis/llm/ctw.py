@@ -244,15 +244,19 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     found = pa.schema([("chunk", pa.int32()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, more, words, sums = None, {}, Counter(), []
+        chunk, more, words, untrained, sums = None, {}, Counter(), set(), []
         for batch, texts in portions(batches):
             chunk = batch.column("chunk")[0]
             times = _times(batch, more)
             rows = [(lower(t), 0 if held else n, n) for t, n, held in zip(texts, times, batch.column("held_out").to_pylist(), strict=True) if n]
-            for t, n, _ in rows:
-                for w in t.split():
-                    words[w] += n
+            for t, n, all_ in rows:
+                if n == 1:
+                    words.update(t.split())
+                elif n:
+                    words.update({w: n * k for w, k in Counter(t.split()).items()})
                 words[b""] += n  # the empty word stands for the end of a text
+                if n < all_:
+                    untrained.update(t.split())
             for some in ([r for r in rows if r[1]], [r for r in rows if not r[1]]):
                 sums.append(counted([t for t, _, _ in some], [n for _, n, _ in some]))
             if len(sums) > 16:
@@ -263,6 +267,8 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         for a in range(0, len(key), 1 << 19):
             k = len(part := key[a : a + (1 << 19)])
             yield pa.RecordBatch.from_arrays([pa.repeat(chunk, k), pa.array(part.astype(np.int64)), pa.nulls(k, pa.binary()), pa.array(n[a : a + k])], schema=found)
+        for w in untrained:
+            words.setdefault(w, 0)
         word, n = list(words), list(words.values())
         for a in range(0, len(word), 1 << 19):
             k = len(part := word[a : a + (1 << 19)])
@@ -329,6 +335,8 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                 held.clear()
                 order = np.argsort(key)
                 find, key_val = Finder(key[order].astype(np.uint64)), key_val[order]
+                unknown = {w for w, c in seen.items() if not c}
+                seen = {w: math.log10(c + 1) for w, c in seen.items()}
             for part, whole_texts in portions([rest]):
                 times = _times(part, more)
                 texts = [lower(t) for t in whole_texts]
@@ -337,11 +345,11 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                 out, at = [], 0
                 for doc, h, t, n in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), texts, times, strict=True):
                     if n:
-                        counts_ = [seen[w] for w in (*t.split(), b"")]
-                        base = math.fsum(map(math.log10, (c + 1 for c in counts_))) - len(counts_) * bottom
+                        tokens = [*t.split(), b""]
+                        base = math.fsum(map(seen.__getitem__, tokens)) - len(tokens) * bottom
                         s = float(run[at + len(t) + 1] - run[at])
                         at += len(t) + 1
-                        out += [(doc, h, len(counts_), sum(c > 0 for c in counts_), total, base, s, -s / math.log10(2) / (len(t) + 1))] * n
+                        out += [(doc, h, len(tokens), len(tokens) - sum(map(unknown.__contains__, tokens)), total, base, s, -s / math.log10(2) / (len(t) + 1))] * n
                 for a in range(0, len(out), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + (1 << 16)], strict=True), schema, strict=True)], schema=schema)
 
