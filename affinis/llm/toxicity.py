@@ -24,18 +24,25 @@ _KEPT = bytes(i for i in range(256) if not _CODE[i])
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0d])(?:[a-z][\x20\x09-\x0d]+){3,}[a-z](?![^\x20\x09-\x0d])")
 _SENTENCE = re.compile(rb"[.!?]+(?=[\x20\x09-\x0d])|\n+")
 DIM, GAP = 32**3, 0.6
-#: Length of a word that is looked at, its start mark included.
-SHORTEST = 5
+#: Cost of a clean text's word that occurs once, and of an altered insult, against 1 for all insults together.
+NEGATIVE, BENT = 0.05, 0.02
+JOIN = 20_000
+#: Letters that a foreign one is drawn from when a word is altered for training.
+FOREIGN = 6
 
 
 def letters(token: bytes) -> bytes:
-    """A mark of the word's start (code 0) and the codes of its letters; what stands between them (digits, dots, stars) is passed over."""
-    return b"\0" + token.translate(_CODES, _KEPT)
+    """A mark of the word's start (code 0) and the codes of its letters; what stands between them (digits, dots, stars) is passed over.
+
+    Marks follow a word of one or two letters, so that subsequences of these give triples too.
+    """
+    word = token.translate(_CODES, _KEPT)
+    return b"\0" + (word.ljust(3, b"\0") if word else b"")
 
 
 def altered(word: bytes) -> list[bytes]:
-    """The word with a foreign or a doubled letter put in at each inner place."""
-    return [word[:i] + bytes([c]) + word[i:] for i in range(2, len(word)) for c in (word[i - 1], 1 + (7 * i + word[i - 1]) % 26)]
+    """The word with a doubled letter, or one of FOREIGN others, put in at each inner place."""
+    return [word[:i] + bytes([c]) + word[i:] for i in range(2, len(word)) for c in dict.fromkeys((word[i - 1], *(1 + (7 * i + word[i - 1] + 5 * k) % 26 for k in range(FOREIGN))))]
 
 
 def triples(words: np.ndarray, reach: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +57,10 @@ def triples(words: np.ndarray, reach: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_length(words: list[bytes], most: int = 100_000):
-    """Index arrays and (n, length) code arrays of the words of each length (four letters or more; shorter ones tell nothing)."""
+    """Index arrays and (n, length) code arrays of the words of each length; a token without a letter is none."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if len(w) >= SHORTEST:
+        if len(w) > 1:
             groups.setdefault(len(w), []).append(i)
     for length, at in groups.items():
         for k in range(0, len(at), step := max(1, most // length)):
@@ -75,7 +82,7 @@ def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def project(words: list[bytes], onto: np.ndarray) -> np.ndarray:
     """Inner products of the words' features, scaled to norm 1, with the columns of onto (DIM, m)."""
-    out = np.zeros((len(words), onto.shape[1]))
+    out = np.zeros((len(words), onto.shape[1]), np.float32 if onto.shape[1] > 1 else float)
     for at, codes in by_length(words, 100_000 // onto.shape[1]):
         code, weight = triples(codes)
         got = np.einsum("ntm,t->nm", onto[code], weight) if onto.shape[1] > 1 else (onto[:, 0][code] @ weight)[:, None]
@@ -102,10 +109,12 @@ class InsultMachine:
     """A linear machine on Nystroem features of words; a text has the three highest margins of its sentences' words.
 
     Labels belong to texts, of which most sentences are harmless, so training goes round: the word with the
-    highest margin stands for a sentence of a positive text, then the machine is fitted anew.
+    highest margin stands for a sentence of a positive text, then the machine is fitted anew. Every word of a clean text is a
+    negative: those that violate the margin join the rows that are fitted, the worst JOIN of them in a round, those well beyond it leave them,
+    and rounds go on, `more` at most, until none is left out. What is held grows with the rows fitted, not with the words.
     """
 
-    def __init__(self, texts: list[str], y: np.ndarray, landmarks: int = 300, rounds: int = 8):
+    def __init__(self, texts: list[str], y: np.ndarray, landmarks: int = 600, rounds: int = 8, more: int = 12):
         self.weight, self.bias, self.slope, self.offset = np.zeros(DIM), 0.0, 0.0, 0.0
         if len(y) == 0 or y.min() == y.max():
             self.offset = 0.0 if len(y) == 0 else (6.0 if y[0] else -6.0)
@@ -114,7 +123,7 @@ class InsultMachine:
         bags, sentences = [], []  # (ids, times) of each text's words; ids of each sentence of a positive text
         for t, k in zip(texts, y, strict=True):
             raw = lower(t)
-            ids = [index.setdefault(w, len(index)) for w in map(letters, tokens(raw)) if len(w) >= SHORTEST]
+            ids = [index.setdefault(w, len(index)) for w in map(letters, tokens(raw)) if len(w) > 1]
             bags.append(np.unique(np.array(ids, np.int64), return_counts=True))
             if k:
                 found = (np.array([index[w] for w in map(letters, tokens(s)) if w in index], np.int64) for s in _SENTENCE.split(raw))
@@ -148,24 +157,31 @@ class InsultMachine:
         del phi
         margin = odds * np.log1p(toxic)
         negatives = np.flatnonzero(clean)
-        often = np.maximum(clean, 1)
-        kept = np.zeros(0, np.int64)
-        for _ in range(rounds):
-            stands = np.bincount([s[margin[s].argmax()] for s in sentences], minlength=len(words)) if sentences else np.zeros(len(words))
-            best = np.flatnonzero((stands > 0) & telling)
-            best = best if len(best) else np.flatnonzero(stands)
-            lost = np.maximum(margin[negatives] + 0.5, 0) * np.sqrt(often[negatives])
-            hard = kept = np.union1d(kept, negatives[np.argsort(-lost, kind="stable")[:300]])
-            rest = np.setdiff1d(negatives[:: max(1, len(negatives) // 2000)], hard)
-            weigh = np.r_[np.sqrt(often[hard]) / max(1.0, np.sqrt(often[hard]).sum()), 0.5 * often[rest] / max(1.0, often[rest].sum())]
-            bent = [v for i in best for v in altered(words[i])]
-            x = project([words[i] for i in best] + bent + [words[i] for i in hard] + [words[i] for i in rest], basis)
-            target = np.r_[np.ones(len(best) + len(bent)), -np.ones(len(hard) + len(rest))]
-            times = np.minimum(stands[best], 30.0)
-            cost = np.r_[times / max(1.0, times.sum()), np.full(len(bent), 0.7 / max(1, len(bent))), 1.5 * weigh]
-            w, self.bias = svm(x, target, cost)
-            self.weight = basis @ w
+        held = np.union1d(common, negatives[:: max(1, len(negatives) // 4000)])
+        low = _with_one(project([words[i] for i in held], basis))
+        w, before = np.zeros(low.shape[1]), None
+        for k in range(rounds + more):
+            if k < rounds:
+                stands = np.bincount([s[margin[s].argmax()] for s in sentences], minlength=len(words)) if sentences else np.zeros(len(words))
+                best = np.flatnonzero((stands > 0) & telling)
+                best = best if len(best) else np.flatnonzero(stands)
+                if not np.array_equal(best, before):
+                    before, bent = best, [v for i in best for v in altered(words[i])]
+                    high = _with_one(project([words[i] for i in best] + bent, basis))
+                times = np.minimum(stands[best], 30.0)
+            cost = np.r_[times / max(1.0, times.sum()), np.full(len(bent), BENT), NEGATIVE * np.sqrt(clean[held])]
+            w = svm([high, low], np.r_[np.ones(len(high)), -np.ones(len(low))], cost, w)
+            self.weight, self.bias = basis @ w[:-1], float(w[-1])
             margin = self.margins(words)
+            close = margin[held] > -1.2
+            held, low = held[close], low[close]
+            new = np.setdiff1d(negatives[margin[negatives] > -1], held)
+            new = new[np.argsort(-margin[new], kind="stable")[:JOIN]]
+            if len(new):
+                low = np.concatenate([low, _with_one(project([words[i] for i in new], basis))])
+                held = np.r_[held, new]
+            elif k >= rounds:
+                break
         self.slope, self.offset = _platt(np.array([pooled(zip(margin[ids].tolist(), times.tolist(), strict=True)) for ids, times in bags]), y)
         self.slope = max(self.slope, 0.0)
 
@@ -177,33 +193,46 @@ class InsultMachine:
 
 
 def pooled(margins) -> float:
-    """Of (margin, times) of a text's words: the mean of the three highest occurrences, limited to -1 to 1, the first counting double."""
+    """Of (margin, times) of a text's words: the three highest occurrences, limited to -1 to 1, the first counting eightfold: one insult is enough."""
     top: list[float] = []
     for m, times in nlargest(3, margins):
         top += [max(-1.0, min(1.0, m))] * min(3 - len(top), times)
     top += [-1.0] * (3 - len(top))
-    return (2 * top[0] + top[1] + top[2]) / 4
+    return (8 * top[0] + top[1] + top[2]) / 10
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 1000.0, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine by Newton's method; cost weighs the rows."""
-    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    ridge = np.eye(a.shape[1])
-    ridge[-1, -1] = 1e-3
-    w = np.zeros(a.shape[1])
-    loss = lambda v: 0.5 * v @ ridge @ v + c * (cost * np.maximum(0, 1 - y * (a @ v)) ** 2).sum()
+def svm(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, w: np.ndarray, c: float = 1000.0, steps: int = 40, block: int = 4000) -> np.ndarray:
+    """Squared-hinge machine by Newton's method from w on. parts: rows, of which the last column is the bias's; cost weighs them; `block` rows at a time are multiplied out."""
+    ridge = np.ones(len(w))
+    ridge[-1] = 1e-3
+    ends = np.cumsum([0, *map(len, parts)])
+    margins = lambda v: np.concatenate([a @ v.astype(a.dtype) for a in parts]).astype(float)
+    loss = lambda v, m: 0.5 * v @ (ridge * v) + c * (cost * np.maximum(0, 1 - y * m) ** 2).sum()
+    at = margins(w)
+    now = loss(w, at)
     for _ in range(steps):
-        slack = 1 - y * (a @ w)
-        on = slack > 0
-        grad = ridge @ w - 2 * c * a[on].T @ (cost[on] * y[on] * slack[on])
-        move = np.linalg.solve(ridge + 2 * c * (a[on].T * cost[on]) @ a[on], grad)
+        slack = 1 - y * at
+        grad, curve = ridge * w, np.diag(ridge)
+        for a, first, last in zip(parts, ends[:-1], ends[1:], strict=True):
+            on = first + np.flatnonzero(slack[first:last] > 0)
+            for k in range(0, len(on), block):
+                i = on[k : k + block]
+                part = a[i - first].astype(float)
+                grad -= 2 * c * part.T @ (cost[i] * y[i] * slack[i])
+                curve += 2 * c * (part.T * cost[i]) @ part
+        move = np.linalg.solve(curve, grad)
+        step = margins(move)
         rate = 1.0
-        while loss(w - rate * move) > loss(w) and rate > 1e-4:
+        while (then := loss(w - rate * move, at - rate * step)) > now and rate > 1e-4:
             rate /= 2
-        w = w - rate * move
-        if np.abs(move).max() < 1e-8:
+        gain, w, at, now = now - then, w - rate * move, at - rate * step, then
+        if gain < 1e-6 * now:
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
 def lower(text: str) -> bytes:
