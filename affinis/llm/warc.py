@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import uuid
@@ -14,13 +15,16 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from ..shipping import ship
+from .common import scratch, settled
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Equal payloads shorter than this are stored each time.
 LEAST_SHARED = 1000
-#: An archive is closed when it has so many bytes, so that none outgrows a row of Spark's binary reader.
+#: An archive is closed when it has so many bytes, so that a lost task costs little.
 ARCHIVE_BYTES = 16 << 20
+#: Longest head of a record; bytes that decompression gives at a time.
+LONGEST_HEAD, PIECE = 1 << 20, 1 << 20
 
 
 class WarcError(ValueError):
@@ -49,51 +53,110 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return pack.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def members(stream: BinaryIO, chunk: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of a stream, read from front to back in chunks."""
-    rest = b""
-    while True:
-        if not rest and not (rest := stream.read(chunk)):
-            return
-        unpack, out = zlib.decompressobj(31), []
+class Members:
+    """The gzip members of a stream, read from front to back; a member's bytes come in pieces of PIECE at most."""
+
+    def __init__(self, stream: BinaryIO, chunk: int = 1 << 16):
+        self.stream, self.chunk, self.rest = stream, chunk, b""
+
+    def __iter__(self) -> Iterator[Iterator[bytes]]:
+        while self.rest or (chunk := self.stream.read(self.chunk)):
+            self.rest = self.rest or chunk
+            pieces = self._pieces()
+            yield pieces
+            for _ in pieces:  # what the caller left unread
+                pass
+
+    def _pieces(self) -> Iterator[bytes]:
+        unpack = zlib.decompressobj(31)
         while not unpack.eof:
-            if not rest and not (rest := stream.read(chunk)):
+            data = unpack.unconsumed_tail or self.rest or self.stream.read(self.chunk)
+            self.rest = b""
+            if not data:
                 raise WarcError("the archive ends inside a record")
             try:
-                out.append(unpack.decompress(rest))
+                piece = unpack.decompress(data, PIECE)
             except zlib.error as e:
                 raise WarcError(f"not a gzip member: {e}") from e
-            rest = unpack.unused_data
-        yield b"".join(out)
+            if piece:
+                yield piece
+        self.rest = unpack.unused_data
+
+
+def right_digest(want: str, data: bytes) -> bool:
+    """Whether data has the digest `algorithm:value`, in hex or base32; one of an unknown algorithm can't be wrong."""
+    name, _, value = want.partition(":")
+    try:
+        found = hashlib.new(name.strip().lower().replace("-", ""), data).digest()
+    except (ValueError, TypeError):
+        return True
+    return _plain(value) == found.hex()
+
+
+def _plain(value: str) -> str:
+    """A digest in lower-case hex, from hex or base32; as it is where it is neither."""
+    value = value.strip()
+    try:
+        if len(value) == 32 and not set(value.upper()) <= set("0123456789ABCDEF"):
+            return base64.b32decode(value.upper()).hex()
+    except ValueError:
+        pass
+    return value.lower()
 
 
 def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; the length frames it, the digests are verified."""
-    for member in members(stream):
-        head, mark, rest = member.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-        if not mark or not lines[0].startswith("WARC/1."):
+    """Headers (names in lower case) and block of each record of any type; the length frames it while it is decompressed, the digests are verified."""
+    for pieces in Members(stream):
+        head = bytearray()
+        while (cut := head.find(b"\r\n\r\n")) < 0:
+            if len(head) > LONGEST_HEAD or (piece := next(pieces, None)) is None:
+                raise WarcError("no WARC header")
+            head += piece
+        lines = bytes(head[:cut]).decode("utf-8", "surrogatepass").split("\r\n")
+        if not lines[0].startswith("WARC/"):
             raise WarcError("no WARC header")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = fields.get("content-length", "")
-        if not size.isdigit() or rest[int(size) :] != b"\r\n\r\n":
-            raise WarcError(f"wrongly framed: {fields.get('warc-record-id')}")
-        block = rest[: int(size)]
-        if (want := fields.get("warc-block-digest")) and want != f"sha1:{hashlib.sha1(block).hexdigest()}":
-            raise WarcError(f"block digest: {fields.get('warc-record-id')}")
-        if fields.get("warc-type") == "response" and (want := fields.get("warc-payload-digest")):
-            if want != f"sha1:{hashlib.sha1(block.partition(b'\r\n\r\n')[2]).hexdigest()}":
-                raise WarcError(f"payload digest: {fields.get('warc-record-id')}")
+        name = fields.get("warc-record-id")
+        if not (size := fields.get("content-length", "")).isdigit():
+            raise WarcError(f"no length: {name}")
+        block, end = head[cut + 4 :], int(size) + 4
+        while len(block) < end and (piece := next(pieces, None)) is not None:
+            block += piece
+        if len(block) != end or block[-4:] != b"\r\n\r\n" or next(pieces, None) is not None:
+            raise WarcError(f"wrongly framed: {name}")
+        del block[-4:]
+        block = bytes(block)
+        if (want := fields.get("warc-block-digest")) and not right_digest(want, block):
+            raise WarcError(f"block digest: {name}")
+        if fields.get("warc-type") == "response" and (want := fields.get("warc-payload-digest")) and not right_digest(want, payload_of(fields, block)):
+            raise WarcError(f"payload digest: {name}")
         yield fields, block
 
 
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """The block without the HTTP head, if it is an HTTP message."""
+    return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "application/http").lower().startswith("application/http") else block
+
+
 def page_of(fields: dict[str, str], block: bytes) -> tuple:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in a revisit)."""
-    number = lambda x: int(v) if (v := (x or "")[len("<urn:page:") : -1]) else None
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    kind = fields["warc-type"]
-    return number(fields["warc-record-id"]), fields["warc-target-uri"], size, fields["warc-payload-digest"].removeprefix("sha1:"), kind, number(fields.get("warc-refers-to")), None if kind == "revisit" else payload
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in a revisit), record_id.
+
+    Page ids are those of record ids of this writer; others are null, and the record ids tell. The bytes of a revisit's payload are what its HTTP
+    head says, null where that says nothing.
+    """
+    kind, payload = fields["warc-type"], payload_of(fields, block)
+    size = len(payload)
+    if kind == "revisit":
+        lengths = (x.split(b":", 1)[1].strip() for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        size = next((int(x) for x in lengths if x.isdigit()), None)
+    digest = fields.get("warc-payload-digest", "")
+    digest = _plain(digest.partition(":")[2]) if digest else hashlib.sha1(payload).hexdigest() if kind != "revisit" else None
+    return _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, digest, kind, _number(fields.get("warc-refers-to")), None if kind == "revisit" else payload, fields.get("warc-record-id")
+
+
+def _number(name: str | None) -> int | None:
+    number = (name or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if (name or "").startswith("<urn:page:") and number.lstrip("-").isdigit() else None
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -104,6 +167,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     groups are found by digest and size alone, with map-side maxima and a join that can be split, so no group meets in one task.
     An archive is written under another name and then renamed, so a lost or repeated task leaves no half archive.
     """
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
     last = rows.filter(F.col("size") >= LEAST_SHARED).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -140,46 +204,55 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(work, "path string, records long, bytes long")
 
 
-def read(spark: SparkSession, paths: DataFrame | str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of all records of a folder's archives.
+_PAGE = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string"
+
 
-    With a DataFrame of paths (what write() returned, kept) only those are read: archives of task attempts that lost out stay unread.
-    A record that fails a check raises WarcError.
+def read(spark: SparkSession, paths: DataFrame | str, kinds: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, record_id of the records of these kinds.
+
+    paths: a frame with a column `path` (what write() returned, kept: archives of task attempts that lost out stay unread), or a
+    folder, whose archives a task lists. Tasks open the archives themselves and read each from front to back, so nothing of them
+    passes through the driver. Records of other kinds (warcinfo, request, metadata) are checked and left out. A record that fails a check
+    raises WarcError.
     """
-    names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
-    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    schema = pa.schema(list(zip(names, types, strict=True)))
+    ship(spark)
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
+    schema = pa.schema(list(zip([x.split()[0] for x in _PAGE.split(", ")], types, strict=True)))
+
+    def listed(batches):
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+                found = (x.base_name for x in fs.get_file_info(pyarrow.fs.FileSelector(base)) if x.base_name.endswith(".warc.gz"))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{n}" for n in found], pa.string())], names=["path"])
 
     def parse(batches):
+        rows, held = [], 0
         for batch in batches:
-            for content in batch.column("content"):
-                rows, held = [], 0
-                for fields, block in records(io.BytesIO(content.as_py())):
-                    rows.append(page_of(fields, block))
-                    held += len(block)
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
+            for path in batch.column("path").to_pylist():
+                fs, base = pyarrow.fs.FileSystem.from_uri(path)
+                with fs.open_input_stream(base, compression=None) as f:
+                    for fields, block in records(f):
+                        if fields.get("warc-type") in kinds:
+                            rows.append(page_of(fields, block))
+                            held += len(block) + 500
+                        if held > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
+                            rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
 
     if isinstance(paths, str):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(paths).select("content")
-    else:
-        folders = [r.f for r in paths.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]
-        if not folders:
-            return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folders).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
-        files = found.join(paths.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).distinct(), "name", "left_semi").select("content")
-    return files.mapInArrow(parse, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+        paths = settled(spark.createDataFrame([(paths,)], "path string").mapInArrow(listed, "path string"))
+    n = paths.count()
+    return paths.select("path").repartition(max(1, min(n, 100_000))).mapInArrow(parse, _PAGE)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to of each row.
 
-    An empty table gives no rows; repeated rows come back repeated; other columns are left aside.
+    Null html is an empty payload, a very long one is a record like any other; a null page_id comes back null; an empty table gives no rows;
+    repeated rows come back repeated; other columns are left aside.
     """
-    from .common import settled
-
     written = settled(write(pages, scratch(pages.sparkSession)))
     return read(pages.sparkSession, written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

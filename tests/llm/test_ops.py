@@ -321,6 +321,33 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_foreign_warc(spark, tmp_path):
+    """Archives of other writers: other types of records, base32 digests, ids that are no page ids, HTTP heads without a length."""
+    import base64
+    import gzip
+
+    def rec(kind, block, **fields):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nContent-Length: {len(block)}\r\n"
+        return gzip.compress((head + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block + b"\r\n\r\n")
+
+    body = b"<p>hello</p>\r\n\r\nworld" * 100_000
+    b32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    good = rec("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields") + rec("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request")
+    good += rec("response", http + body, Content_Type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{b32}", WARC_Target_URI="http://a") + rec("revisit", http, WARC_Refers_To="<urn:uuid:response>")
+    good += warc.record(7, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
+    (tmp_path / "a.warc.gz").write_bytes(good)
+    rows = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert set(rows) == {"<urn:uuid:response>", "<urn:uuid:revisit>", "<urn:page:7>"} and rows["<urn:page:7>"].page_id == 7
+    r = rows["<urn:uuid:response>"]
+    assert r.page_id is None and bytes(r.payload) == body and r.payload_digest == hashlib.sha1(body).hexdigest() and r.payload_bytes == len(body)
+    assert rows["<urn:uuid:revisit>"].payload_bytes is None and rows["<urn:uuid:revisit>"].payload is None
+    wrong = base64.b32encode(hashlib.sha1(b"x").digest()).decode()
+    for bad in (rec("response", http + body, WARC_Payload_Digest=f"sha1:{wrong}"), rec("response", http)[:-8] + good, gzip.compress(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"), gzip.compress(b"WARC/1.0\r\nContent-Length: 1\r\n\r\nabc\r\n\r\n")):
+        with pytest.raises(warc.WarcError):
+            list(warc.records(io.BytesIO(bad)))
+
+
 def test_toxicity(spark, docs, labels, empty):
     assert toxicity.toxicity_scores(docs, labels).count() == docs.count() and toxicity.toxicity_scores(docs, empty[1]).count() == docs.count()
     assert toxicity.toxicity_scores(empty[0], labels).count() == 0
