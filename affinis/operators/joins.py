@@ -30,6 +30,18 @@ def _window(queries: DataFrame, library: DataFrame, low: Column, high: Column, b
     return q.join(c, "bucket").filter(F.col("mass").between(F.col("low"), F.col("high"))).drop("bucket", "low", "high")
 
 
+def library_window(queries: DataFrame, library: DataFrame, ppm: float) -> DataFrame:
+    """As mass_window, for masses of any sign: the half width is |query_mass| * ppm * 1e-6, ends included. Masses of one sign never meet the other's."""
+    if ppm < 0:
+        raise ValueError("ppm must not be negative")
+    width = math.log1p(4e-6 * ppm) or 1e-9
+    sided = lambda df: df.filter(finite(F.col("mass")) & (F.col("mass") != 0)).withColumn("side", F.signum("mass")).withColumn("mass", F.abs("mass"))
+    half = F.col("query_mass") * ppm * 1e-6
+    q = sided(queries).withColumnRenamed("side", "query_side")
+    pairs = _window(q, sided(library), F.col("query_mass") - half, F.col("query_mass") + half, lambda m: F.floor(F.log(m) / width))
+    return pairs.filter("side = query_side").withColumn("mass", F.col("side") * F.col("mass")).withColumn("query_mass", F.col("side") * F.col("query_mass")).drop("side", "query_side")
+
+
 def mass_window(queries: DataFrame, library: DataFrame, ppm: float) -> DataFrame:
     """Pairs with mass in query_mass +- query_mass * ppm * 1e-6, ends included. queries: mass and other columns; library: mass > 0."""
     if ppm < 0:
@@ -41,8 +53,11 @@ def mass_window(queries: DataFrame, library: DataFrame, ppm: float) -> DataFrame
 
 
 def da_window(queries: DataFrame, library: DataFrame, da: float) -> DataFrame:
-    """Pairs with mass in query_mass +- da, ends included."""
-    at = lambda m: F.floor(m / (2 * da))
+    """Pairs with mass in query_mass +- da, ends included; da = 0 leaves equal masses."""
+    if da < 0:
+        raise ValueError("da must not be negative")
+    width = 2 * da or 1e-6
+    at = lambda m: F.floor(m / width)
     return _window(queries, library, F.col("query_mass") - da, F.col("query_mass") + da, at)
 
 
@@ -63,27 +78,61 @@ def channels(queries: DataFrame, library: DataFrame, tolerances: list[float]) ->
 
 def widened(queries: DataFrame, library: DataFrame, narrow: float, wide: float, query: str = "qid") -> DataFrame:
     """The narrow window's pairs; for queries without any, those of the wide one. fallback tells which. One join at the wide tolerance gives both."""
-    pairs = mass_window(queries, library, max(narrow, wide)).withColumn("inside", F.abs(F.col("mass") - F.col("query_mass")) <= F.col("query_mass") * narrow * 1e-6)
-    any_ = F.max("inside").over(Window.partitionBy(query))
-    return pairs.withColumn("any_inside", any_).filter(F.col("inside") | ~F.col("any_inside")).withColumn("fallback", ~F.col("any_inside")).drop("inside", "any_inside")
+    inside = F.abs(F.col("mass") - F.col("query_mass")) <= F.col("query_mass") * narrow * 1e-6
+    pairs = mass_window(queries, library, max(narrow, wide)).withColumn("inside", inside)
+    return _any(pairs, F.col("inside"), query).filter(F.col("inside") | ~F.col("some")).withColumn("fallback", ~F.col("some")).drop("inside", "some")
 
 
-def nearest_positions(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """For each query the k library rows around its place in the order of mass, k // 2 before it, moved in at the ends.
+def _any(pairs: DataFrame, holds: Column, query: str) -> DataFrame:
+    """pairs with `some`: whether any pair of the query holds. The flag is combined at the map side and joined back, so a query's pairs need not meet."""
+    some = pairs.groupBy(query).agg(F.max(F.coalesce(holds, F.lit(False))).alias("some"))
+    return pairs.join(some, query)
 
-    Places come from one ordered pass over the distinct library masses and query masses; a join on places follows, so no
-    query meets the whole library.
+
+#: Distinct masses whose places one task counts.
+RANGE_MASSES = 1 << 20
+
+
+def nearest_positions(queries: DataFrame, library: DataFrame, k: int, range_masses: int = RANGE_MASSES) -> DataFrame:
+    """For each query the k library rows around its place in the order of (mass, cid), k // 2 before it, moved in at the ends.
+
+    The distinct masses are counted in ranges, whose sums come to the driver (a number for each range_masses masses); a query finds its
+    place inside its range. Of a mass only the first and the last k rows can be wanted, so no mass, however common, is ordered
+    whole; a join on places follows. Queries without a finite mass have no place.
     """
-    order = Window.orderBy("mass", "cid")
-    placed = library.filter(finite(F.col("mass"))).withColumn("place", F.row_number().over(order) - 1)
-    n = placed.count()
-    distinct = placed.groupBy("mass").agg(F.min("place").alias("first"))
-    marks = queries.filter(finite(F.col("mass"))).select("mass").distinct().withColumn("first", F.lit(None).cast("int")).unionByName(distinct.select("mass", "first"))
-    after = Window.orderBy(F.col("mass").desc(), F.col("first").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    centre = marks.withColumn("centre", F.coalesce(F.last("first", ignorenulls=True).over(after), F.lit(n))).filter("first is null").select(F.col("mass").alias("query_mass"), "centre")
-    start = F.greatest(F.lit(0), F.least(F.lit(n - k), F.col("centre") - k // 2))
-    wanted = queries.withColumnRenamed("mass", "query_mass").join(centre, "query_mass").withColumn("place", F.explode(F.sequence(start, F.least(start + k, F.lit(n)) - 1)))
-    return wanted.join(placed, "place").drop("place", "centre")
+    library = library.filter(finite(F.col("mass")))
+    masses = library.groupBy("mass").agg(F.count(F.lit(1)).alias("n"))
+    number = masses.count()
+    parts = -(-number // range_masses)
+    cuts = sorted(set(masses.approxQuantile("mass", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    range_of = lambda c: F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, x: acc + (c >= x).cast("int")) if cuts else F.lit(0)
+    masses = masses.withColumn("range", range_of(F.col("mass")))
+    sums = dict(masses.groupBy("range").agg(F.sum("n").alias("n")).collect())
+    total = sum(sums.values())
+    starts = [sum(sums.get(j, 0) for j in range(i)) for i in range(len(cuts) + 2)]
+    start = lambda c: F.element_at(F.array(*[F.lit(x) for x in starts]), c + 1)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("mass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = masses.withColumn("first", start(F.col("range")) + before)
+    # A query stands before the first mass that is not below its own; where its range has none, before the next range.
+    marks = queries.filter(finite(F.col("mass"))).select("mass").distinct().select("mass", range_of(F.col("mass")).alias("range"), F.lit(None).cast("long").alias("first"))
+    after = Window.partitionBy("range").orderBy(F.col("mass").desc(), F.col("first").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    centre = F.coalesce(F.last("first", ignorenulls=True).over(after), start(F.col("range") + 1))
+    centres = marks.unionByName(placed.select("mass", "range", "first")).withColumn("centre", centre).filter("first is null").select(F.col("mass").alias("query_mass"), "centre")
+    left = F.greatest(F.lit(0), F.col("centre") - max(1, k // 2))
+    left = F.greatest(F.lit(0), F.least(left + k, F.lit(total)) - k)
+    wanted = queries.withColumnRenamed("mass", "query_mass").join(centres, "query_mass").withColumn("left", left).filter(F.lit(total > 0))
+    wanted = wanted.withColumn("place", F.explode(F.sequence("left", F.least(F.col("left") + k, F.lit(total)) - 1))).drop("left", "centre")
+    numbered = lambda *order: F.row_number().over(Window.partitionBy("mass").orderBy(*order))
+    ends = library.withColumn("at", numbered("cid")).filter(F.col("at") <= k).unionByName(library.withColumn("back", numbered(F.col("cid").desc())).filter(F.col("back") <= k).withColumn("at", -F.col("back")).drop("back"))
+    ends = ends.join(placed.select("mass", "first", "n"), "mass").withColumn("at", F.when(F.col("at") < 0, F.col("n") + F.col("at")).otherwise(F.col("at") - 1))
+    # A row among the first and the last of a mass comes once.
+    ends = ends.withColumn("place", F.col("first") + F.col("at")).drop("first", "n", "at").dropDuplicates(["place"])
+    return wanted.join(ends, "place").drop("place")
+
+
+def mass_and_formula(queries: DataFrame, library: DataFrame, ppm: float) -> DataFrame:
+    """Pairs of equal formula in the mass window; both narrow the join. queries: mass, formula."""
+    return mass_window(queries.withColumnRenamed("formula", "query_formula"), library, ppm).filter("formula = query_formula").drop("query_formula")
 
 
 def formula_lookup(queries: DataFrame, library: DataFrame) -> DataFrame:
@@ -97,9 +146,47 @@ def polarity(mode: Column, adduct: Column) -> Column:
 
 
 def same_or_any(pairs: DataFrame, same: Column, query: str = "qid") -> DataFrame:
-    """Of each query the pairs for which `same` holds; all its pairs where it holds for none."""
-    some = F.max(same.cast("int")).over(Window.partitionBy(query))
-    return pairs.withColumn("some", some).filter(same | (F.col("some") == 0)).drop("some")
+    """Of each query the pairs for which `same` holds; all its pairs where it holds for none. A comparison with null doesn't hold."""
+    holds = F.coalesce(same, F.lit(False))
+    return _any(pairs, holds, query).filter(holds | ~F.col("some")).drop("some")
+
+
+def analogs_of(candidates: DataFrame, analogs: DataFrame, most: int = 100, query: str = "query") -> DataFrame:
+    """Each candidate of a query with the query's `most` best analogs (similarity; key decides ties), numbered by analog_rank. A candidate without analogs stays, with nulls.
+
+    The bound comes before the join, so a query's pairs grow with its candidates alone.
+    """
+    order = F.row_number().over(Window.partitionBy(query).orderBy(F.col("similarity").desc(), "analog"))
+    best = analogs.withColumn("analog_rank", order).filter(F.col("analog_rank") <= most)
+    return candidates.join(best, query, "left")
+
+
+def reused(pairs: DataFrame, cache: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs that the cache has, with its columns; pairs that are still to be scored)."""
+    return pairs.join(cache, on), pairs.join(cache, on, "left_anti")
+
+
+def looked_up(keys: DataFrame, rows: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """The rows of the keys; keys without a row are passed over, or, if strict, an error that names some."""
+    if strict and (absent := [r[0] for r in keys.join(rows, key, "left_anti").select(key).limit(5).collect()]):
+        raise ValueError(f"unknown {key}: {absent}")
+    return keys.join(rows, key)
+
+
+def with_fold(rows: DataFrame, folds: DataFrame, key: str) -> DataFrame:
+    """rows with the fold of their key; a key without a fold is an error."""
+    return looked_up(rows, folds.select(key, "fold"), key, strict=True)
+
+
+def excluded_structures(names: DataFrame, name: str = "key") -> DataFrame:
+    """Names that may exclude a structure: 14 capitals or digits; others are no keys."""
+    return names.filter(F.col(name).rlike("^[A-Z0-9]{14}$")).select(name).distinct()
+
+
+def in_database(manifest: DataFrame, library: DataFrame, truth: str = "truth", key: str = "key") -> DataFrame:
+    """manifest with `present`: whether the library has the truth."""
+    known = library.select(F.col(key).alias(truth)).distinct().withColumn("present", F.lit(True))
+    return manifest.join(known, truth, "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def without(pairs: DataFrame, excluded: DataFrame, on: list[str]) -> DataFrame:

@@ -203,23 +203,43 @@ def compatibility(p: Column, bits: Column, eps: float = 1e-7) -> Column:
     return let(zipped, scored)
 
 
-def fragment_scores(peaks: Column, theoretical: Column, precursor: Column, tolerance: float) -> Column:
-    """struct of how many peaks, and how much of their intensity, lie within the tolerance of any theoretical mass."""
-    hit = lambda p: F.exists(theoretical, lambda t: F.abs(t - p["mz"]) <= tolerance)
-    flagged = F.transform(peaks, lambda p: F.struct(p["mz"].alias("mz"), p["intensity"].alias("i"), hit(p).cast("double").alias("h")))
+#: Six scores of a spectrum, in order.
+FRAGMENT_SCORES = ("peak_fraction", "intensity_fraction", "matched_count", "top_intensity_fraction", "mass_weighted_score", "neutral_loss_score")
+
+
+def product_ions(neutral: Column, polarity: Column, hydrogen: float, proton: float, electron: float) -> Column:
+    """array<double> of the ions that neutral fragments may give: shifts by hydrogens and protons of the polarity ("positive", "negative", else unknown); above zero, once each."""
+    of = lambda *shifts: F.array(*[F.lit(float(x)) for x in shifts])
+    shifts = F.when(polarity == "positive", of(-hydrogen - electron, -proton, 0, proton)).when(polarity == "negative", of(-proton, 0, hydrogen + electron)).otherwise(of(-proton, 0, proton))
+    ions = F.flatten(F.transform(neutral, lambda m: F.transform(shifts, lambda s: m + s)))
+    return F.array_sort(F.array_distinct(F.filter(ions, lambda x: x > 0)))
+
+
+def fragment_scores(peaks: Column, ions: Column, losses: Column, precursor: Column, tolerance: float = 0.02, top: int = 10) -> Column:
+    """struct of FRAGMENT_SCORES: how many peaks lie within the tolerance of an ion, what share of them, of their intensity, of the `top` highest, of intensity
+    times m/z; and of the intensity of peaks below the precursor, the share whose loss is one of losses. Peaks that are not finite or not above 0 don't count; no peaks give zeros."""
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (x < float("inf"))
+    kept = F.filter(peaks, lambda p: ok(p["mz"]) & ok(p["intensity"]) & (p["mz"] > 0) & (p["intensity"] >= 0))
+    hit = lambda x, masses: F.coalesce(F.exists(masses, lambda t: F.abs(t - x) <= tolerance), F.lit(False)).cast("double")
+    flagged = F.transform(kept, lambda p: F.struct(p["mz"].alias("mz"), p["intensity"].alias("i"), hit(p["mz"], ions).alias("h"), (precursor - p["mz"]).alias("d"), hit(precursor - p["mz"], losses).alias("l")))
 
     def scored(f: Column) -> Column:
-        share = lambda w: let(total(f, w), lambda t: F.when(t > 0, total(f, lambda x: w(x) * x["h"]) / t).otherwise(0.0))
-        ten = F.slice(F.array_sort(F.transform(f, lambda x: F.struct((-x["i"]).alias("o"), x["h"].alias("h")))), 1, 10)
-        return F.struct(
-            share(lambda x: F.lit(1.0)).alias("peak_fraction"), share(lambda x: x["i"]).alias("intensity_fraction"), total(f, lambda x: x["h"]).cast("int").alias("matched"),
-            F.when(F.size(ten) > 0, total(ten, lambda x: x["h"]) / F.size(ten)).otherwise(0.0).alias("top10_fraction"),
-            share(lambda x: x["i"] * x["mz"]).alias("mz_weighted"), share(lambda x: x["i"] * F.greatest(F.lit(0.0), precursor - x["mz"])).alias("loss_weighted"),
+        share = lambda w, h: let(total(f, w), lambda t: F.when(t > 0, total(f, lambda x: w(x) * x[h]) / t).otherwise(0.0))
+        best = F.slice(F.array_sort(F.transform(f, lambda x: F.struct((-x["i"]).alias("o"), x["mz"].alias("m"), x["h"].alias("h")))), 1, top)
+        values = (
+            share(lambda x: F.lit(1.0), "h"), share(lambda x: x["i"], "h"), total(f, lambda x: x["h"]), F.when(F.size(best) > 0, total(best, lambda x: x["h"]) / F.size(best)).otherwise(0.0),
+            share(lambda x: x["i"] * x["mz"], "h"), share(lambda x: F.when(x["d"] > 0, x["i"]).otherwise(0.0), "l"),
         )
+        return F.struct(*[v.alias(n) for v, n in zip(values, FRAGMENT_SCORES, strict=True)])
 
     return let(flagged, scored)
 
 
+def unpacked(words: Column, n: int) -> Column:
+    """array<boolean> of the first n bits of words, lowest bit first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.call_function("shiftright", F.get(words, F.floor(i / 64).cast("int")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
 def feature_vector(peaks: Column, metadata: list[Column], width: float = 1.0, most: float = 1200.0) -> Column:
     """array<double>: bins over their maximum, then metadata, with 0 for what is not finite."""
     bins = binned(peaks, width, most)

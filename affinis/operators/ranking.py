@@ -15,6 +15,22 @@ def top_n(rows: DataFrame, group: list[str], n: int, *order: Column) -> DataFram
     return ranked(rows, group, *order, name="top_rank").filter(F.col("top_rank") <= n)
 
 
+def listed(text: Column, separator: str = ";") -> Column:
+    """Parts of a candidate list, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def unpivoted(rows: DataFrame, channels: dict[str, str], query: str = "query", key: str = "key", name: str = "rank") -> DataFrame:
+    """query, channel, key, rank (or another name) of a frame with a column for each channel; a null is a candidate that the channel hasn't."""
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(column).cast("double").alias(name)) for c, column in channels.items()]))
+    return rows.select(query, key, parts.alias("x")).select(query, "x.channel", key, f"x.{name}").filter(f"{name} is not null")
+
+
+def completed(fused: DataFrame, manifest: DataFrame, query: str = "query") -> DataFrame:
+    """fused with the queries of the manifest that have no candidate, their other columns null."""
+    return manifest.select(query).distinct().join(fused, query, "left")
+
+
 def first_of(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """One row for each key, the first in the given order."""
     return top_n(rows, key, 1, *order).drop("top_rank")
@@ -110,9 +126,14 @@ def systematic(rows: DataFrame, k: int, group: list[str], *order: Column) -> Dat
     return rows.filter((n <= k) | ((i < k) & (F.floor(i * (n - 1) / (k - 1)) == at))).drop("place", "n")
 
 
+def draw(key: str, seed: int) -> Column:
+    """What a sample goes by: 16 hex digits of the md5 of seed and key, which any engine gives."""
+    return F.substring(F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), "utf-8")), 1, 16)
+
+
 def hash_sample(rows: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
     """k rows by the hash of their key: the same draw each time, at any partitioning."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+    return rows.orderBy(draw(key, seed), key).limit(k)
 
 
 def analog_fusion(rows: DataFrame, weight: float = 0.1, k: float = 60.0) -> DataFrame:

@@ -24,7 +24,7 @@ def query_spectra(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def library_search(spark, d):
-    """Every order against all others in a 2000 ppm window, its own spectrum left out."""
+    """Every order against all others in a 2000 ppm window, its own spectrum left out; orders alone in their window meet their neighbours."""
     hits = retrieval.search(query_spectra(spark, d), library_spectra(spark, d), ppm=2000.0, tolerance=5.0, top_n=10)
     return hits.select("qid", "cid", "key", r6(F.col("direct"), "direct"), "matched", r6(F.col("score"), "score"))
 
@@ -51,48 +51,82 @@ def entropy_search(spark, d):
     q = query_spectra(spark, d)
     index = retrieval.representatives(library_spectra(spark, d))
     own = q.select("query", F.col("query").alias("key")).distinct()
-    return retrieval.entropy_search(q, index, da=5.0, tolerance=5.0, top_n=5, excluded=own).select("query", "key", r6(F.col("similarity"), "similarity"))
+    return retrieval.entropy_search(q, index, tolerance=5.0, excluded=own).select("query", "key", r6(F.col("similarity"), "similarity"))
 
 
-@query("SELECT count(DISTINCT o_custkey) AS groups, 5 AS folds, true AS whole FROM orders")
+@query("""WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), g AS (SELECT n, row_number() OVER (ORDER BY n DESC, o_custkey) AS i FROM s),
+    r(i, loads) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL SELECT g.i, list_transform(r.loads, lambda x, k: x + CASE WHEN k = list_position(r.loads, list_min(r.loads)) THEN g.n ELSE 0 END) FROM r JOIN g ON g.i = r.i + 1)
+    SELECT (k - 1)::SMALLINT AS fold, loads[k]::BIGINT AS n, true AS whole FROM (SELECT arg_max(loads, i) AS loads FROM r), range(1, 6) t(k)""")
 def grouped_folds(spark, d):
-    """as many groups as go in, five folds, no group in two."""
+    """rows of each fold by the greedy rule, and that no group is in two."""
     rows = retrieval.folds_by_size(t(spark, d, "orders"), "o_custkey", 5)
-    return rows.groupBy("o_custkey").agg(F.count_distinct("fold").alias("n"), F.min("fold").alias("f")).agg(F.count(F.lit(1)).alias("groups"), F.count_distinct("f").cast("int").alias("folds"), (F.max("n") == 1).alias("whole"))
+    leaks = metrics.in_several_folds(rows, "o_custkey", "fold").isEmpty()
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).withColumn("whole", F.lit(leaks))
 
 
-_FRAME = f"(SELECT *, count(*) OVER (PARTITION BY query) AS candidate_count, row_number() OVER (PARTITION BY query ORDER BY s2 DESC, key) AS mass_rank, s3 * 1000 - 20 AS ppm FROM {_RANKED})"
+_FRAME = f"""(SELECT *, query AS molecule_id, 'K' || key AS inchikey14, count(*) OVER q AS candidate_count, row_number() OVER (PARTITION BY query ORDER BY s2 DESC, key) AS mass_rank, s3 * 1000 - 20 AS ppm, sum(n) OVER q AS spectra,
+    avg(s3) OVER q AS energy FROM {_RANKED} WINDOW q AS (PARTITION BY query))"""
 
 
 def frame_of(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of customers as a feature frame: prices are scores, quantities order by mass, taxes are mass errors."""
+    w = Window.partitionBy("query")
     rows = ranking.ranked(ranked_of(spark, d), ["query"], F.col("s2").desc(), F.col("key"), name="mass_rank")
-    return rows.withColumn("candidate_count", F.count(F.lit(1)).over(Window.partitionBy("query"))).withColumn("score", F.col("s1")).withColumn("ppm", F.col("s3") * 1000 - 20).withColumn("source", F.when(F.col("key") % 2 == 0, "PubChem").otherwise("x"))
-
-
-@query(f"""SELECT query, key, round(1.0 / mass_rank, 6) AS reciprocal_mass_rank, round(rank / candidate_count, 6) AS rank_percentile, round(ln(1 + abs(ppm)), 6) AS log_ppm, (abs(ppm) <= 20)::INT::DOUBLE AS within_20, (key % 2 = 0)::INT::DOUBLE AS from_pubchem,
-    round(CASE WHEN coalesce(stddev_samp(s1) OVER w, 0) > 0 THEN (s1 - avg(s1) OVER w) / stddev_samp(s1) OVER w ELSE 0 END, 6) AS score_z FROM {_FRAME} WINDOW w AS (PARTITION BY query)""")
+    ppm, even = F.col("s3") * 1000 - 20, F.col("key") % 2 == 0
+    return rows.select(
+        "query", "key", "s1", "s2", "s3", "n", F.col("query").alias("molecule_id"), F.concat(F.lit("K"), F.col("key").cast("string")).alias("inchikey14"), F.lit("C").alias("smiles"), F.when(even, "PubChemLite").otherwise("ChEMBL").alias("source"),
+        F.when(even, "CH4").alias("formula"), ((F.col("rank") == 1) & (F.col("n") > 1)).cast("int").alias("target"), "rank", "mass_rank", ppm.alias("mass_error_ppm"), F.abs(ppm).alias("absolute_mass_error_ppm"), F.exp(-F.abs(ppm) / 20).alias("mass_score_20ppm"),
+        *[(F.abs(ppm) <= p).cast("int").alias(f"within_{p}ppm") for p in (20, 50, 1000)], F.col("s1").alias("predicted_fingerprint_score"), F.col("s2").alias("candidate_exact_mass"), F.col("s3").alias("neutral_mass"), F.count(F.lit(1)).over(w).alias("candidate_count"),
+        F.sum("n").over(w).alias("query_spectrum_count"), F.lit(1).alias("query_adduct_count"), F.lit(0.5).alias("query_positive_fraction"), F.avg("s3").over(w).alias("query_mean_collision_energy"),
+    )
+
+
+_Z = "CASE WHEN coalesce(stddev_samp({0}) OVER q, 0) > 0 THEN ({0} - avg({0}) OVER q) / stddev_samp({0}) OVER q ELSE 0 END"
+_FEATURES = {
+    "mass_rank": "mass_rank", "reciprocal_mass_rank": "1 / mass_rank", "mass_rank_percentile": "mass_rank / candidate_count", "mass_error_ppm": "ppm", "absolute_mass_error_ppm": "abs(ppm)", "log_absolute_mass_error_ppm": "ln(1 + abs(ppm))",
+    "mass_score_20ppm": "exp(-abs(ppm) / 20)", **{f"within_{p}ppm": f"(abs(ppm) <= {p})::INT" for p in (20, 50, 1000)}, "predicted_fingerprint_score": "s1", "fingerprint_rank": "rank", "reciprocal_fingerprint_rank": "1 / rank",
+    "fingerprint_rank_percentile": "rank / candidate_count", "fingerprint_score_z": _Z.format("s1"), "wide_mass_rank": "mass_rank", "wide_fingerprint_rank": "rank", "wide_mass_rank_percentile": "mass_rank / candidate_count",
+    "wide_fingerprint_rank_percentile": "rank / candidate_count", "wide_candidate_count": "candidate_count", "candidate_exact_mass": "s2", "neutral_mass": "s3", "candidate_count": "candidate_count", "query_spectrum_count": "spectra",
+    "query_adduct_count": "1", "query_positive_fraction": "0.5", "query_mean_collision_energy": "energy", "source_coconut": "0", "source_pubchemlite": "(key % 2 = 0)::INT", "source_chembl": "(key % 2 = 1)::INT", "has_formula": "(key % 2 = 0)::INT",
+    "candidate_heteroatom_count": "CASE WHEN key % 5 > 0 THEN key % 7 ELSE 0 END", "candidate_ring_count": "CASE WHEN key % 5 > 0 THEN key % 3 ELSE 0 END", "candidate_aromatic_fraction": "CASE WHEN key % 5 > 0 THEN key % 11 / 11 ELSE 0 END",
+    "candidate_logp": "0", **dict.fromkeys(features.FRAGMENT_FEATURES, "0"),
+}
+
+
+@query(f"SELECT molecule_id, inchikey14, {', '.join(f'round(({e})::DOUBLE, 6) AS {n}' for n, e in _FEATURES.items())} FROM {_FRAME} WINDOW q AS (PARTITION BY query)")
 def ranking_features(spark, d):
-    """F10, P10 to P13, P16, C15."""
-    rows = features.ranking_features(frame_of(spark, d))
-    return rows.select("query", "key", *[F.round(c, 6).alias(c) for c in ("reciprocal_mass_rank", "rank_percentile", "log_ppm", "within_20", "from_pubchem", "score_z")])
+    """The 49 features of a checked frame; descriptors of four fifths of the structures, one of them not a number."""
+    rows = features.checked(frame_of(spark, d))
+    known = t(spark, d, "part").filter("p_partkey % 5 > 0").selectExpr("concat('K', p_partkey) AS inchikey14", "double(p_partkey % 7) AS candidate_heteroatom_count", "double(p_partkey % 3) AS candidate_ring_count", "p_partkey % 11 / 11D AS candidate_aromatic_fraction", "double('nan') AS candidate_logp")
+    out = features.ranking_features(rows, known)
+    return features.selected(out, ["molecule_id", "inchikey14", *features.RANKING_FEATURES]).select("molecule_id", "inchikey14", *[F.round(c, 6).alias(c) for c in features.RANKING_FEATURES])
 
 
-@query(f"""SELECT query, key, CAST(ar AS INTEGER) AS analog_rank, round((ar - 1) / greatest(count(*) OVER (PARTITION BY query) - 1, 1), 6) AS analog_percentile, round(s2 - max(s2) OVER (PARTITION BY query), 6) AS analog_delta FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s2 DESC, rank) AS ar FROM {_RANKED})""")
+@query(f"""SELECT molecule_id, inchikey14, round(s2::DOUBLE, 6) AS analog_score_power4, round(s3::DOUBLE, 6) AS analog_score_linear, 0.5::DOUBLE AS analog_tanimoto_max, 0::DOUBLE AS analog_tanimoto_top, 0::DOUBLE AS analog_tanimoto_weighted_mean, 1::DOUBLE AS analog_top_similarity,
+    ar::DOUBLE AS analog_rank, round(1 / ar, 6) AS reciprocal_analog_rank, round((ar - 1) / greatest(candidate_count - 1, 1), 6) AS analog_rank_percentile, round((max(s2) OVER q)::DOUBLE, 6) AS analog_score_max, round((s2 - max(s2) OVER q)::DOUBLE, 6) AS analog_score_delta_max,
+    round(({_Z.format('s2')})::DOUBLE, 6) AS analog_score_z FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s2 DESC, rank) AS ar FROM {_FRAME}) WINDOW q AS (PARTITION BY query)""")
 def analog_features(spark, d):
-    """F11, W2."""
-    rows = features.analog_features(ranked_of(spark, d).withColumn("analog_score", F.col("s2")))
-    return rows.select("query", "key", "analog_rank", r6(F.col("analog_percentile"), "analog_percentile"), r6(F.col("analog_delta"), "analog_delta"))
+    """The 12 features; what is not a number becomes 0."""
+    rows = frame_of(spark, d).selectExpr("molecule_id", "inchikey14", "rank", "s2 AS analog_score_power4", "s3 AS analog_score_linear", "0.5D AS analog_tanimoto_max", "double('nan') AS analog_tanimoto_top", "double(null) AS analog_tanimoto_weighted_mean", "1D AS analog_top_similarity")
+    return features.analog_features(rows).select("molecule_id", "inchikey14", *[F.round(c, 6).alias(c) for c in features.ANALOG_RANKING_FEATURES])
+
+
+@query(f"SELECT fault, n FROM (SELECT unnest(['repeated', 'target', 'positives']) AS fault, unnest([(SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_suppkey, l_partkey HAVING count(*) > 1)), (SELECT count(*) FROM lineitem WHERE l_linenumber = 3), (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_suppkey HAVING sum(CASE l_linenumber WHEN 1 THEN 1 WHEN 3 THEN 7 ELSE 0 END) > 1))]) AS n) WHERE n > 0")
+def frame_faults(spark, d):
+    """What is wrong with a frame that repeats pairs, has odd targets and several positives."""
+    target = F.when(F.col("l_linenumber") == 1, 1).when(F.col("l_linenumber") == 3, 7).otherwise(0)
+    return features.faults(t(spark, d, "lineitem").select(F.col("l_suppkey").alias("molecule_id"), F.col("l_partkey").alias("inchikey14"), target.alias("target")))
 
 
-@query(f"SELECT query, key FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY least(mass_rank, rank), mass_rank, key) AS r FROM {_FRAME}) WHERE r <= 10")
+@query(f"SELECT molecule_id, inchikey14 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY least(mass_rank, rank), mass_rank, inchikey14) AS r FROM {_FRAME}) WHERE r <= 10")
 def bounded_selection(spark, d):
     """F12."""
-    return features.bounded(frame_of(spark, d), 10).select("query", "key")
+    return features.bounded(frame_of(spark, d), 10, "molecule_id", "inchikey14").select("molecule_id", "inchikey14")
 
 
 @query(f"SELECT c.query, c.key, coalesce(x.n, 0)::BIGINT AS raw_n FROM {_CANDIDATES} c LEFT JOIN (SELECT query, key, n FROM {_CANDIDATES} WHERE key % 3 = 0) x USING (query, key)")
 def feature_merge(spark, d):
-    """J10 to J12."""
+    """J10, J11."""
     c = candidates_of(spark, d)
     return features.merged(c.select("query", "key"), c.filter("key % 3 = 0").select("query", "key", "n"), "raw_", ["query", "key"])
 
@@ -100,34 +134,42 @@ def feature_merge(spark, d):
 _TRUE = f"(SELECT query, min(key) AS truth FROM {_CANDIDATES} WHERE n > 1 OR key % 5 = 0 GROUP BY query)"
 
 
-@query(f"""WITH r AS (SELECT c.query, w.w, c.key, m.truth, row_number() OVER (PARTITION BY c.query, w.w ORDER BY w.w * s2 + (1 - w.w) * s3 DESC, c.key) AS r FROM {_CANDIDATES} c JOIN {_TRUE} m USING (query), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS w) w)
-    SELECT w AS weight, round(avg(CASE WHEN r <= 25 THEN 1.0 / r ELSE 0 END), 6) AS mrr FROM r WHERE key = truth GROUP BY w""")
+@query(f"""WITH r AS (SELECT c.query, w.w, c.key, m.truth, row_number() OVER (PARTITION BY c.query, w.w ORDER BY w.w * s2 + (1 - w.w) * s3 DESC, c.key) AS r FROM {_CANDIDATES} c JOIN {_TRUE} m USING (query), (SELECT i / 20 AS w FROM range(21) x(i)) w)
+    SELECT round(w, 6) AS weight, round(avg(CASE WHEN r <= 25 THEN 1.0 / r ELSE 0 END), 6) AS mrr FROM r WHERE key = truth GROUP BY w""")
 def blend_grid(spark, d):
-    """five weights."""
+    """21 weights."""
     c = candidates_of(spark, d)
     manifest = c.filter("n > 1 OR key % 5 = 0").groupBy("query").agg(F.min("key").alias("truth"))
-    return features.blend_grid(c.withColumn("mass_score", F.col("s2")).withColumn("score", F.col("s3")), manifest, steps=5).select("weight", r6(F.col("mrr"), "mrr"))
+    return features.blend_grid(c.withColumn("mass_score", F.col("s2")).withColumn("score", F.col("s3")), manifest).select(r6(F.col("weight"), "weight"), r6(F.col("mrr"), "mrr"))
 
 
-@query(f"""SELECT channel, 25 AS cutoff, count(*) AS queries, round(avg(CASE WHEN rank <= 25 THEN 1.0 ELSE 0 END), 6) AS recall FROM (SELECT t.query, c.channel, min(r.rank) AS rank FROM {_TRUTH} t CROSS JOIN (SELECT unnest(['a', 'b', 'c']) AS channel) c LEFT JOIN {_CHANNELS} r ON r.query = t.query AND r.channel = c.channel AND r.key % 200 = t.truth GROUP BY t.query, c.channel) GROUP BY channel""")
+@query(f"""WITH h AS (SELECT query, channel, key % 200 AS key, min(rank) AS rank FROM {_CHANNELS} GROUP BY ALL), u AS (SELECT query, 'rrf_union' AS channel, key, row_number() OVER (PARTITION BY query ORDER BY round(sum(1 / (60 + rank)), 12) DESC, key) AS rank FROM h GROUP BY query, key),
+    b AS (SELECT * FROM h UNION ALL SELECT * FROM u)
+    SELECT channel, k::INTEGER AS cutoff, count(*) AS queries, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END), 6) AS recall FROM (SELECT t.query, c.channel, min(r.rank) AS rank FROM {_TRUTH} t CROSS JOIN (SELECT unnest(['a', 'b', 'c', 'rrf_union']) AS channel) c
+    LEFT JOIN b r ON r.query = t.query AND r.channel = c.channel AND r.key = t.truth GROUP BY t.query, c.channel), (SELECT unnest([1, 25]) AS k) GROUP BY channel, k""")
 def channel_recall(spark, d):
-    """Recall of each channel; every query counts in each."""
-    manifest = truth_of(spark, d).select("query", "truth").withColumn("channel", F.explode(F.array(*map(F.lit, "abc"))))
-    hit = channels_of(spark, d).withColumn("key", F.col("key") % 200).join(manifest, ["query", "channel"]).filter("key = truth").groupBy("query", "channel").agg(F.min("rank").alias("rank"))
-    return metrics.recall(manifest.join(hit, ["query", "channel"], "left"), [25], ["channel"]).select("channel", "cutoff", "queries", r6(F.col("recall"), "recall"))
+    """Recall of each channel and of their union, fused; every query counts in each."""
+    hits = channels_of(spark, d).withColumn("key", F.col("key") % 200)
+    return metrics.channel_recall(truth_of(spark, d).select("query", "truth"), hits, [1, 25]).select("channel", "cutoff", "queries", r6(F.col("recall"), "recall"))
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY substr(md5('7:' || o_orderkey), 1, 16), o_orderkey LIMIT 100")
 def seeded_sample(spark, d):
-    """100 orders by hash; the same each time."""
+    """100 orders by hash; the same each time."""
     return ranking.hash_sample(t(spark, d, "orders"), 100, "o_orderkey", 7).select("o_orderkey")
 
 
+@query("""SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY substr(md5('7:' || o_orderkey), 1, 16), o_orderkey) AS r FROM orders) WHERE r <= 3 ORDER BY substr(md5('7:' || o_orderkey), 1, 16), o_orderkey LIMIT 500""")
+def capped_sample(spark, d):
+    """Three orders of a customer at most, 500 in all, by hash."""
+    return retrieval.capped_sample(t(spark, d, "orders"), 3, 500, "o_custkey", "o_orderkey", 7).select("o_orderkey")
+
+
 @query()
 def pointwise_ranker(spark, d):
     """M3, M4, labelled substitute: boosted trees on single candidates, ranked inside their query."""
     rows = frame_of(spark, d).withColumn("target", ((F.col("n") > 1) | (F.col("s2") > 90)).cast("double"))
-    names = ["mass_rank", "rank", "candidate_count", "s3", "score"]
+    names = ["mass_rank", "rank", "candidate_count", "s3", "s1"]
     train = rows.filter(F.pmod(F.xxhash64("query"), F.lit(5)) > 0)
     model = features.pointwise_ranker(train, names, trees=5, depth=3)
     return ranking.ranked(model.transform(rows), ["query"], F.col("ranker_score").desc(), F.col("mass_rank"), name="final_rank").select("query", "key", "final_rank")

@@ -2,7 +2,6 @@
 
 import gzip
 import math
-import pickle
 import random
 
 import numpy as np
@@ -109,6 +108,7 @@ def test_windows_and_channels(spark):
     with pytest.raises(ValueError):
         joins.channels(q, lib, [-1.0])
     assert {r.cid for r in joins.nearest_positions(q, lib, 1).collect()} == {1}
+    assert {r.cid for r in joins.da_window(spark.createDataFrame([(1, 100.05)], "qid int, mass double"), lib, 0.0).collect()} == {2}
     assert joins.mass_window(q, lib, 0.0).count() == 0
 
 
@@ -151,9 +151,27 @@ def test_sources(spark, tmp_path):
     with gzip.open(tmp_path / "b.sdf.gz", "wt") as f:
         f.write(record.format(1) + record.format(2) + "junk\n$$$$\n")
     assert sorted((r.properties["ID"], r.properties["NAME"]) for r in tables.read_sdf(spark, str(tmp_path / "b.sdf.gz")).collect()) == [("1", "x y"), ("2", "x y")]
-    assert tables.read_arrays(pickle.dumps({"a": np.arange(3), "b": np.ones(3)}))["a"].tolist() == [0, 1, 2]
-    with pytest.raises(pickle.UnpicklingError):
-        tables.read_arrays(pickle.dumps(print))
+    np.savez(tmp_path / "x.npz", a=np.arange(3), b=np.ones(3))
+    assert sorted(tuple(r) for r in tables.read_arrays(spark, str(tmp_path / "x.npz"), "a long, b double").collect()) == [(0, 1.0), (1, 1.0), (2, 1.0)]
+    np.savez(tmp_path / "y.npz", a=np.array([print, len], dtype=object), b=np.ones(3))
+    with pytest.raises(Exception, match="allow_pickle"):
+        tables.read_arrays(spark, str(tmp_path / "y.npz"), "a long, b double").collect()
+    assert tables.candidate_counts([got], tables.merged_candidates([got])) == {"read": 4, "valid": 3, "written": 2, "dropped": 2}
+    many = "mol\nM  END\n> <A>\none\ntwo\n\n> <A>\nagain\n\n> <B>\n\n$$$$\n"
+    (tmp_path / "c.sdf").write_text(many * 3)
+    found = tables.read_sdf(spark, str(tmp_path / "c.sdf"), most=2).collect()
+    assert [r.properties for r in found] == [{"A": "one\ntwo", "B": ""}] * 2
+    tables.save_index(spark.range(5), str(tmp_path / "index"), "masses", "id", bits=64)
+    rows_, about = tables.load_index(spark, str(tmp_path / "index"), "masses")
+    assert rows_.count() == 5 and about["bits"] == 64
+    with pytest.raises(TypeError):
+        tables.load_index(spark, str(tmp_path / "index"), "spectra")
+    spark.createDataFrame([("a", 1), ("b", 2)], "mid string, x int").write.parquet(str(tmp_path / "s"))
+    read = lambda m: sorted(r.molecule_id for r in tables.read_spectra(spark, str(tmp_path / "s"), {"molecule_id": ["molecule_id", "mid"], "x": ["x"]}, ["molecule_id"], m).collect())
+    assert read(None) == ["a", "b"] and read(["b"]) == ["b"] and read(spark.createDataFrame([("a",)], "molecule_id string")) == ["a"]
+    (tmp_path / "m.csv").write_text("molecule_id,x\n1,2\n1,3\n")
+    with pytest.raises(ValueError, match="repeated"):
+        tables.read_manifest(spark, str(tmp_path / "m.csv"))
     with pytest.raises(ValueError, match="mz"):
         tables.aliased(got, {"mz": ["ms2_mzs", "mz"]}, ["mz"])
     ranked = spark.createDataFrame([("m", 1, "CCO", "A"), ("m", 2, "CCO", "A"), ("m", 3, "CCC", "B")], "molecule_id string, rank int, smiles string, inchikey14 string")
@@ -211,3 +229,69 @@ def test_every_candidate_in_the_window_is_scored(spark, monkeypatch):
     assert found.key == 62
     drawn = retrieval.search(q, lib, da=50.0, tolerance=5.0, most=3, top_n=10)
     assert {r.cid for r in drawn.collect()} == {59, 119}
+
+
+@pytest.mark.parametrize("size", [1 << 20, 5])
+def test_neighbours_by_place(spark, size):
+    """Against a sorted list: ties, queries outside, ranges of a few masses."""
+    r = random.Random(4)
+    lib = [(i, float(r.choice((1, 2, 2, 2, 5, 8, 8, 13)) + r.randrange(9))) for i in range(60)]
+    qs = [(i, m) for i, m in enumerate((-3.0, 2.0, 2.5, 7.0, 9.0, 14.5, 99.0))]
+    order = sorted((m, i) for i, m in lib)
+    got = joins.nearest_positions(spark.createDataFrame(qs, "qid int, mass double"), spark.createDataFrame(lib, "cid int, mass double"), 6, size).collect()
+    for q, m in qs:
+        centre = sum(x < m for x, _ in order)
+        right = min(len(order), max(0, centre - 3) + 6)
+        assert sorted(x.cid for x in got if x.qid == q) == sorted(i for _, i in order[max(0, right - 6) : right])
+    few = joins.nearest_positions(spark.createDataFrame(qs, "qid int, mass double"), spark.createDataFrame(lib[:3], "cid int, mass double"), 6)
+    assert few.count() == 3 * len(qs)
+    assert joins.nearest_positions(spark.createDataFrame(qs, "qid int, mass double"), spark.createDataFrame([], "cid int, mass double"), 6).count() == 0
+
+
+def test_unknown_polarity_and_empty_windows(spark):
+    pairs = spark.createDataFrame([(1, 10, "+", "+"), (1, 11, "-", "+"), (2, 12, None, "+"), (2, 13, "-", None), (3, 14, None, None)], "qid int, cid int, mode string, q_mode string")
+    got = joins.same_or_any(pairs, F.col("mode") == F.col("q_mode")).collect()
+    assert sorted((r.qid, r.cid) for r in got) == [(1, 10), (2, 12), (2, 13), (3, 14)]
+    peaks = [(7.0, 1.0), (9.0, 3.0)]
+    lib = spark.createDataFrame([(i, i, 100.0 + i, None if i % 2 else "+", peaks) for i in range(300)], f"cid long, key long, mass double, mode string, peaks {PEAKS}")
+    q = spark.createDataFrame([(1000, 5000.0, "+", peaks), (1001, 250.5, None, peaks)], f"qid long, mass double, mode string, peaks {PEAKS}")
+    hits = retrieval.search(q, lib, ppm=20.0, top_n=20).collect()
+    of = lambda i: {r.cid for r in hits if r.qid == i}
+    assert len(of(1000)) == 20 and min(of(1000)) >= 200 and all(c % 2 == 0 for c in of(1000))  # the hundred nearest, those of its polarity
+    assert len(of(1001)) == 20 and all(c % 2 for c in of(1001))
+
+
+def test_greedy_folds(spark):
+    r = random.Random(2)
+    sizes = [int(r.paretovariate(0.8)) for _ in range(60)]
+    rows = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(min(n, 200))], "g int")
+    loads = [0] * 4
+    for n in sorted((min(n, 200) for n in sizes), reverse=True):
+        loads[loads.index(min(loads))] += n
+    for bucket in (1 << 20, 3):
+        found = retrieval.folds_by_size(rows, "g", 4, bucket_groups=bucket)
+        assert {x.fold: x["count"] for x in found.groupBy("fold").count().collect()} == dict(enumerate(loads))
+        assert metrics.in_several_folds(found, "g", "fold").count() == 0
+
+
+def test_frames_are_checked(spark):
+    from affinis.plans.composite import frame_of
+
+    frame = frame_of(spark, "/root/testdata/sf0.001")
+    assert len(features.RANKING_FEATURES) == 49 and len(features.ANALOG_RANKING_FEATURES) == 12
+    out = features.ranking_features(frame)
+    assert set(features.RANKING_FEATURES) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    with pytest.raises(ValueError, match="repeated"):
+        features.checked(frame.unionByName(frame.limit(1)))
+    with pytest.raises(ValueError, match="target"):
+        features.checked(frame.withColumn("target", F.lit(2)))
+    with pytest.raises(ValueError, match="unknown k"):
+        joins.with_fold(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 0)], "k int, fold int"), "k")
+
+
+def test_channels_of_any_frame(spark):
+    wide = spark.createDataFrame([("a", "X", 1, None), ("a", "Y", 2, 1), ("b", "X", None, 1)], "query string, key string, mass int, spectral int")
+    rows = ranking.unpivoted(wide, {"m": "mass", "s": "spectral"})
+    assert rows.count() == 4
+    fused = ranking.completed(ranking.rank_fusion(rows), spark.createDataFrame([("a",), ("b",), ("c",)], "query string"))
+    assert sorted((r["query"], r.key) for r in fused.filter("fused_rank = 1 OR key IS NULL").collect()) == [("a", "Y"), ("b", "X"), ("c", None)]

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from affinis.plans import composite as _  # noqa: F401
+from affinis.plans import composite, details  # noqa: F401
 from affinis.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
