@@ -24,12 +24,12 @@ RADIUS, SHINGLE, SEED = 2, 3, 42
 BLOCK = 2048
 #: Words of a shingle where texts are linked by the Jaccard similarity of their shingles; the least that links in the pipeline.
 WORDS, SIMILAR = 5, 0.8
-#: Blocks hold what agrees in ROWS of BANDS * ROWS minima: at a similarity of 0.8 a pair has no block in common with probability (1 - 0.8^5)^40, 1e-7.
-BANDS, ROWS = 40, 5
+#: Blocks hold what agrees in ROWS of BANDS * ROWS minima: at a similarity of 0.8 a pair has no block in common with probability (1 - 0.8^4)^30, 1e-7.
+BANDS, ROWS = 30, 4
 #: Those in a block are compared by sets where SimHashes of BITS bits differ by FAR at most: a pair at 0.8 differs in 39 on average (48 if it has but five shingles), with a deviation of 6.
 BITS, FAR = 256, 79
 #: What a task holds of a group at once: bytes of sketches or of sets.
-SKETCH_BYTES, SET_BYTES = 256 << 10, 16 << 20
+SKETCH_BYTES, SET_BYTES = 96 << 10, 16 << 20
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _LANES = np.random.default_rng(SEED + 1).integers(0, 2**63, (2, BITS // 64), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -218,12 +218,12 @@ def set_hash(ordered: np.ndarray) -> int:
 
 
 def bands(ordered: np.ndarray) -> list[int]:
-    """A key of each band of ROWS minima of the shingles under BANDS * ROWS mixings."""
+    """A key of each band, made of its number and ROWS minima of the shingles under mixings of their own."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(ordered), 256):
         least = np.minimum(least, ((ordered[i : i + 256, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
     rows = least.reshape(BANDS, ROWS)
-    key = np.zeros(BANDS, np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = (key ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
@@ -359,6 +359,8 @@ def linked(rows: DataFrame, keys: list[str], make, most: int) -> DataFrame:
         if not row["kind"]:
             group.setdefault("roots", []).append(row["root"])
             return hold(group, row)
+        if "values" not in group:
+            return []  # no row fell into this part
         if "like" not in group:
             group["like"] = make(group["values"])
             of: dict[int, int] = {}
@@ -375,14 +377,14 @@ def linked(rows: DataFrame, keys: list[str], make, most: int) -> DataFrame:
 def similar_links(docs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(u, v): links at Jaccard similarity `least` or more between the sets of shingles in classes: fp, bands, sketch, text_hash of one text.
 
-    Blocks with the same members are searched once, by bit-sliced sketches. What these link is compared by the sets, which are
-    made anew for it, and moved once.
+    Blocks with the same members are searched once, by bit-sliced sketches, which go only with members of blocks of two or more. What these
+    link is compared by the sets, which are made anew for it, and moved once.
     """
-    keyed = classes.filter("fp <> 0").select("fp", F.col("sketch").alias("value"), F.posexplode("bands").alias("t", "key"))
-    mark = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in (0, 1)]
-    size = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *mark).filter("n > 1")
-    once = settled(size.groupBy("n", "x0", "x1").agg(F.min(F.struct("t", "key")).alias("b")).select("b.t", "b.key"))
-    alike = components(linked(keyed.join(once, ["t", "key"]), ["t", "key"], Sketches, SKETCH_BYTES))
+    keyed = classes.filter("fp <> 0").select("fp", F.explode("bands").alias("key"))
+    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x")).filter("n > 1")
+    once = size.groupBy("n", "x").agg(F.min("key").alias("key")).select("key")
+    members = keyed.join(once, "key").join(classes.select("fp", F.col("sketch").alias("value")), "fp").select("key", "fp", "value")
+    alike = components(linked(settled(members), ["key"], Sketches, SKETCH_BYTES))
     group = settled(alike.unionByName(alike.select(F.col("root").alias("node"), "root").distinct()).join(classes.select(F.col("fp").alias("node"), "text_hash"), "node"))
     schema = pa.schema([("fp", pa.int64()), ("value", pa.binary())])
 
