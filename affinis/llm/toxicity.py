@@ -26,7 +26,7 @@ _SENTENCE = re.compile(rb"[.!?]+(?=[\x20\x09-\x0d])|\n+")
 DIM, GAP = 32**3, 0.6
 #: Cost of a clean text's word that occurs once, and of an altered insult, against 1 for all insults together.
 NEGATIVE, BENT = 0.05, 0.02
-JOIN = 20_000
+JOIN = 10_000
 #: Letters that a foreign one is drawn from when a word is altered for training.
 FOREIGN = 6
 
@@ -80,13 +80,15 @@ def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt((np.where(last, total - before, 0) ** 2).sum(1))
 
 
-def project(words: list[bytes], onto: np.ndarray) -> np.ndarray:
-    """Inner products of the words' features, scaled to norm 1, with the columns of onto (DIM, m)."""
-    out = np.zeros((len(words), onto.shape[1]), np.float32 if onto.shape[1] > 1 else float)
+def project(words: list[bytes], onto: np.ndarray, one: bool = False) -> np.ndarray:
+    """Inner products of the words' features, scaled to norm 1, with the columns of onto (DIM, m); with `one`, a column of ones behind them."""
+    m = onto.shape[1]
+    out = np.ones((len(words), m + one), np.float32 if m > 1 else float)
+    out[:, :m] = 0
     for at, codes in by_length(words, 100_000 // onto.shape[1]):
         code, weight = triples(codes)
         got = np.einsum("ntm,t->nm", onto[code], weight) if onto.shape[1] > 1 else (onto[:, 0][code] @ weight)[:, None]
-        out[at] = got / norms(code, weight)[:, None]
+        out[np.array(at), :m] = got / norms(code, weight)[:, None]
     return out
 
 
@@ -151,14 +153,16 @@ class InsultMachine:
             del onto
         close = np.argsort(-alike * np.log1p(clean) * ~telling, kind="stable")[:third].tolist()
         phi = features([words[i] for i in dict.fromkeys(strong + close + common)])
-        value, vector = np.linalg.eigh((phi @ phi.T).astype(float))
+        seen = np.flatnonzero(phi.any(axis=0))  # triples of no landmark have no part in the map
+        value, vector = np.linalg.eigh((phi[:, seen] @ phi[:, seen].T).astype(float))
         keep = value > 1e-6 * value.max()
-        basis = phi.T @ (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)  # (DIM, m): Nystroem map
+        basis = np.zeros((DIM, int(keep.sum())), np.float32)  # the Nystroem map
+        basis[seen] = phi[:, seen].T @ (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
         del phi
         margin = odds * np.log1p(toxic)
         negatives = np.flatnonzero(clean)
         held = np.union1d(common, negatives[:: max(1, len(negatives) // 4000)])
-        low = _with_one(project([words[i] for i in held], basis))
+        low = project([words[i] for i in held], basis, one=True)
         w, before = np.zeros(low.shape[1]), None
         for k in range(rounds + more):
             if k < rounds:
@@ -167,7 +171,7 @@ class InsultMachine:
                 best = best if len(best) else np.flatnonzero(stands)
                 if not np.array_equal(best, before):
                     before, bent = best, [v for i in best for v in altered(words[i])]
-                    high = _with_one(project([words[i] for i in best] + bent, basis))
+                    high = project([words[i] for i in best] + bent, basis, one=True)
                 times = np.minimum(stands[best], 30.0)
             cost = np.r_[times / max(1.0, times.sum()), np.full(len(bent), BENT), NEGATIVE * np.sqrt(clean[held])]
             w = svm([high, low], np.r_[np.ones(len(high)), -np.ones(len(low))], cost, w)
@@ -178,7 +182,7 @@ class InsultMachine:
             new = np.setdiff1d(negatives[margin[negatives] > -1], held)
             new = new[np.argsort(-margin[new], kind="stable")[:JOIN]]
             if len(new):
-                low = np.concatenate([low, _with_one(project([words[i] for i in new], basis))])
+                low = np.concatenate([low, project([words[i] for i in new], basis, one=True)])
                 held = np.r_[held, new]
             elif k >= rounds:
                 break
@@ -201,10 +205,6 @@ def pooled(margins) -> float:
     return (8 * top[0] + top[1] + top[2]) / 10
 
 
-def _with_one(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-
-
 def svm(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, w: np.ndarray, c: float = 1000.0, steps: int = 40, block: int = 4000) -> np.ndarray:
     """Squared-hinge machine by Newton's method from w on. parts: rows, of which the last column is the bias's; cost weighs them; `block` rows at a time are multiplied out."""
     ridge = np.ones(len(w))
@@ -275,7 +275,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
         known: dict[bytes, float] = {}
         for batch, texts in portions(batches):
             bags = [Counter(tokens(lower(t))) for t in texts]
-            if len(known) > 400_000:
+            if len(known) > 150_000:
                 known.clear()
             new = list(set().union(*bags).difference(known))
             known.update(zip(new, machine.margins([letters(w) for w in new]).tolist(), strict=True))

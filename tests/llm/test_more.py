@@ -185,7 +185,7 @@ def test_machine_is_at_its_optimum():
     x = r.normal(size=(400, 6))
     y = np.sign(x[:, 0] + 0.3 * r.normal(size=400))
     cost = r.random(400) / 400
-    parts = [toxicity._with_one(x[:150]), toxicity._with_one(x[150:])]
+    parts = [np.c_[x[:150], np.ones(150)], np.c_[x[150:], np.ones(250)]]
     w = toxicity.svm(parts, y, cost, np.zeros(7), block=70)
     a = np.concatenate(parts)
     grad = np.r_[w[:-1], 1e-3 * w[-1]] - 2000 * a.T @ (cost * y * np.maximum(0, 1 - y * (a @ w)))
