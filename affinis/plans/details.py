@@ -11,7 +11,7 @@ from .queries import _CANDIDATES, _CHANNELS, _LIBRARY, _ONCE, _QUERIES, _RANKED,
 from .registry import query
 
 _LOSSES = (10.0, 25.0, 50.0)
-_PEAKS = """s AS (SELECT l_orderkey AS k, round(l_extendedprice / 100, 2) AS mz, l_quantity AS i, max(round(l_extendedprice / 100, 2)) OVER (PARTITION BY l_orderkey) + 1 AS precursor FROM lineitem),
+_PEAKS = """s AS (SELECT l_orderkey AS k, round((l_extendedprice / 100)::DECIMAL(18, 6), 2)::DOUBLE AS mz, l_quantity AS i, max(round((l_extendedprice / 100)::DECIMAL(18, 6), 2)::DOUBLE) OVER (PARTITION BY l_orderkey) + 1 AS precursor FROM lineitem),
     o AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b, o_custkey FROM orders), n AS (SELECT k, count(*) AS n FROM s GROUP BY k)"""
 _FLAGGED = f"""{_PEAKS}, f AS (SELECT o.a, o.b, o.o_custkey, n.n AS theoretical, s.mz, s.i, EXISTS (SELECT 1 FROM s u WHERE u.k = o.b AND abs(u.mz - s.mz) <= 5)::INT AS h, list_min(list_transform({list(_LOSSES)}, lambda x: abs(x - (s.precursor - s.mz)))) <= 5 AS l
     FROM o JOIN s ON s.k = o.a JOIN n ON n.k = o.b),

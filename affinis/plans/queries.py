@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import mass
-from ..operators import evidence, joins, kernels, metrics, ranking
+from ..operators import evidence, joins, kernels, matching, metrics, ranking
 from ..sources import tables
 from .registry import query
 
@@ -411,9 +411,8 @@ def clean_spectrum(spark, d):
 @query()
 def spectrum_cosines(spark, d):
     """Direct, modified and neutral-loss cosine of spectrum pairs, tolerance 5."""
-    q, r, qp, rp = (F.col(c) for c in ("q", "r", "qp", "rp"))
-    rows = spectrum_pairs(spark, d).select("a", "b", kernels.cosine(q, r, 5.0).alias("c"), kernels.modified_cosine(q, r, qp, rp, 5.0).alias("m"), kernels.neutral_loss_cosine(q, r, qp, rp, 5.0).alias("l"))
-    return rows.select("a", "b", r6(F.col("c.score"), "direct"), F.col("c.matched").alias("matched"), r6(F.col("c.explained"), "explained"), r6(F.col("m.score"), "modified"), r6(F.col("l.score"), "loss"), r6(kernels.hit_score(F.col("c.score"), F.col("m.score"), F.col("l.score")), "score"))
+    rows = matching.with_cosines(spectrum_pairs(spark, d), 5.0, "q", "r", "qp", "rp")
+    return rows.select("a", "b", r6(F.col("direct"), "direct"), "matched", r6(F.col("explained"), "explained"), r6(F.col("modified"), "modified"), r6(F.col("loss"), "loss"), r6(kernels.hit_score(F.col("direct"), F.col("modified"), F.col("loss")), "score"))
 
 
 @query()

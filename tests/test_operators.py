@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis.functions import chemistry, mass
-from affinis.operators import evidence, features, joins, kernels, metrics, ranking, retrieval
+from affinis.operators import evidence, features, joins, kernels, matching, metrics, ranking, retrieval
 from affinis.sources import tables
 from affinis.streaming import batches
 
@@ -295,3 +295,20 @@ def test_channels_of_any_frame(spark):
     assert rows.count() == 4
     fused = ranking.completed(ranking.rank_fusion(rows), spark.createDataFrame([("a",), ("b",), ("c",)], "query string"))
     assert sorted((r["query"], r.key) for r in fused.filter("fused_rank = 1 OR key IS NULL").collect()) == [("a", "Y"), ("b", "X"), ("c", None)]
+
+
+def test_batched_cosines(spark):
+    """Long and short spectra with ties, against the greedy choice pair by pair."""
+    r = random.Random(7)
+    many = lambda n: sorted((round(r.uniform(10, 60), 1), r.choice((0.2, 0.5, 1.0))) for _ in range(n))
+    rows = [(i, many(r.randrange(0, 60)), many(r.randrange(0, 60)), 61.0 + r.randrange(3), 60.0 + r.randrange(4)) for i in range(80)] + [(80, None, many(3), 61.0, 60.0), (81, many(3), many(3), None, 60.0)]
+    df = spark.createDataFrame(rows, f"i int, q {PEAKS}, r {PEAKS}, a double, b double").repartition(3)
+    got = {x.i: x for x in matching.with_cosines(df, 0.35, "q", "r", "a", "b").collect()}
+    assert set(got[0].asDict()) == {"i", "a", "b", "direct", "matched", "explained", "modified", "loss"}
+    for i, q, p, a, b in rows:
+        q = q or []
+        x = got[i]
+        assert (x.direct, x.matched, x.explained) == pytest.approx(slow_cosine(q, p, 0.35)), i
+        assert x.modified == pytest.approx(slow_cosine(q, p, 0.35, (0.0, b - a if a else 0.0))[0]), i
+        loss = lambda s, m: sorted((m - z, y) for z, y in s if m is not None and m - z >= 0)
+        assert x.loss == pytest.approx(slow_cosine(loss(q, a), loss(p, b), 0.35)[0]), i
