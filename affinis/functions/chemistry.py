@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 
 #: What a backend adds for each distinct structure.
 COLUMNS = {"canonical_smiles": "string", "inchikey14": "string", "formula": "string", "exact_mass": "double", "scaffold": "string"}
+#: What it adds on request: 64-bit words of a circular fingerprint, descriptors, masses of fragments and of what they lose, the structure without isotopes.
+MORE = {
+    "words": "array<bigint>", "candidate_heteroatom_count": "double", "candidate_ring_count": "double", "candidate_aromatic_fraction": "double", "candidate_logp": "double",
+    "fragments": "array<double>", "losses": "array<double>", "plain_smiles": "string",
+}
+# Common neutral losses NH3, H2O, CO, CH2O, CO2, CH2O2.
+LOSSES = (17.026549101, 18.010564684, 27.994914620, 30.010564684, 43.989829240, 46.005479304)
 
 
 class Backend(Protocol):
     def describe(self, structures: DataFrame) -> DataFrame:
         """smiles and COLUMNS for each row of a frame of distinct smiles; null where a structure is not valid."""
 
+    def more(self, structures: DataFrame) -> DataFrame:
+        """smiles and MORE, alike."""
+
 
 class Precomputed:
     """Looks structures up in a table that has smiles and COLUMNS."""
@@ -26,6 +36,9 @@ class Precomputed:
     def describe(self, structures: DataFrame) -> DataFrame:
         return structures.join(self.known.select("smiles", *COLUMNS), "smiles", "left")
 
+    def more(self, structures: DataFrame) -> DataFrame:
+        return structures.join(self.known.select("smiles", *MORE), "smiles", "left")
+
 
 class Toolkit:
     """The cheminformatics toolkit of the workers; raises at once where it is not installed."""
@@ -51,6 +64,48 @@ class Toolkit:
 
         return structures.mapInPandas(work, "smiles string, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
 
+    def more(self, structures: DataFrame, radius: int = 2, bits: int = 2048, bonds: int = 32, least: float = 15.0) -> DataFrame:
+        import pandas as pd
+
+        def work(batches):
+            from rdkit import Chem
+
+            for pdf in batches:
+                rows = []
+                for s in pdf["smiles"]:
+                    m = Chem.MolFromSmiles(s) if s else None
+                    rows.append((s, *([None] * len(MORE))) if m is None else (s, *_properties(m, radius, bits, bonds, least)))
+                yield pd.DataFrame(rows, columns=["smiles", *MORE])
+
+        return structures.mapInPandas(work, "smiles string, " + ", ".join(f"{k} {v}" for k, v in MORE.items()))
+
+
+def _properties(m, radius: int, bits: int, bonds: int, least: float) -> tuple:
+    """The values of MORE for a molecule of the toolkit."""
+    import numpy as np
+    from rdkit import Chem
+    from rdkit.Chem import Descriptors, Lipinski, rdFingerprintGenerator, rdMolDescriptors
+
+    on = np.zeros(bits, np.uint8)
+    on[list(rdFingerprintGenerator.GetMorganGenerator(radius=radius, fpSize=bits).GetFingerprint(m).GetOnBits())] = 1
+    words = np.packbits(on, bitorder="little").view("<i8").tolist()
+    aromatic = sum(a.GetIsAromatic() for a in m.GetAtoms()) / max(1, m.GetNumHeavyAtoms())
+    whole = rdMolDescriptors.CalcExactMolWt(m)
+    pieces = {whole - x for x in LOSSES}
+    cuts = [b.GetIdx() for b in m.GetBonds() if b.GetBondType() == Chem.BondType.SINGLE and not b.IsInRing()]
+    for cut in cuts[:bonds]:
+        try:
+            parts = Chem.GetMolFrags(Chem.FragmentOnBonds(m, [cut], addDummies=False), asMols=True)
+        except Chem.rdchem.MolSanitizeException:
+            continue  # a bond whose halves are no molecules gives no fragment
+        pieces.update(x for x in map(rdMolDescriptors.CalcExactMolWt, parts) if x < whole - 0.5)
+    fragments = sorted({round(x, 6) for x in pieces if x >= least})
+    losses = sorted({*LOSSES, *(whole - x for x in fragments if x < whole)})
+    bare = Chem.Mol(m)
+    for atom in bare.GetAtoms():
+        atom.SetIsotope(0)
+    return words, float(Lipinski.NumHeteroatoms(m)), float(Lipinski.RingCount(m)), aromatic, Descriptors.MolLogP(m), fragments, losses, Chem.MolToSmiles(bare)
+
 
 def described(rows: DataFrame, backend: Backend, column: str = "smiles") -> DataFrame:
     """rows with COLUMNS of their structure; each distinct structure is worked on once. An acyclic scaffold is named after the key."""
@@ -62,3 +117,42 @@ def described(rows: DataFrame, backend: Backend, column: str = "smiles") -> Data
 def comparison_key(text):
     """A key of 14 capitals passes; null for anything else, which needs a backend."""
     return F.when(F.rlike(text, F.lit("^[A-Z]{14}$")), text)
+
+
+def fingerprint_index(candidates: DataFrame, backend: Backend, key: str = "inchikey14") -> DataFrame:
+    """key, words of each candidate, one row for each key; structures without a fingerprint are left out, see unindexed."""
+    rows = _with_more(candidates, backend, ["words"]).filter("words is not null")
+    return rows.groupBy(key).agg(F.min_by("words", "smiles").alias("words"))
+
+
+def unindexed(candidates: DataFrame, backend: Backend) -> int:
+    """How many candidates have no fingerprint."""
+    return _with_more(candidates, backend, ["words"]).filter("words is null").count()
+
+
+def with_descriptors(rows: DataFrame, backend: Backend) -> DataFrame:
+    """rows with the four descriptors of their structure; null where it is not valid."""
+    return _with_more(rows, backend, [c for c in MORE if c.startswith("candidate_")])
+
+
+def with_fragments(rows: DataFrame, backend: Backend) -> DataFrame:
+    """rows with the masses of their structure's fragments, and of what these lose."""
+    return _with_more(rows, backend, ["fragments", "losses"])
+
+
+def without_isotopes(candidates: DataFrame, backend: Backend, isotopic) -> DataFrame:
+    """candidates whose structures name no isotope; smiles, key, formula and mass are those of the plain structure where `isotopic` held, unless that is not valid.
+
+    One row for each key stays, the one of the lowest candidate_id, as plain structures may be there already.
+    """
+    new = {"smiles": "plain_smiles", "canonical_smiles": "new.canonical_smiles", "inchikey14": "new.inchikey14", "formula": "new.formula", "exact_mass": "new.exact_mass"}
+    marked = _with_more(candidates.select("smiles").filter(isotopic).distinct(), backend, ["plain_smiles"]).filter("plain_smiles is not null")
+    plain = described(marked, backend, "plain_smiles").select(F.col("smiles").alias("__old"), F.struct("plain_smiles", *COLUMNS).alias("new"))
+    rows = candidates.join(plain, F.col("smiles") == F.col("__old"), "left").drop("__old")
+    rows = rows.withColumns({c: F.coalesce(f"new.{v.split('.')[-1]}", c) for c, v in new.items() if c in candidates.columns}).drop("new")
+    return rows.groupBy("inchikey14").agg(F.min_by(F.struct(*[c for c in candidates.columns if c != "inchikey14"]), "candidate_id").alias("b")).select("inchikey14", "b.*").select(*candidates.columns)
+
+
+def _with_more(rows: DataFrame, backend: Backend, columns: list[str]) -> DataFrame:
+    once = backend.more(rows.select("smiles").filter("smiles is not null").distinct()).select(F.col("smiles").alias("__smiles"), *columns)
+    return rows.join(once, F.col("smiles") == F.col("__smiles"), "left").drop("__smiles")

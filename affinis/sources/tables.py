@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -158,3 +159,18 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def report(row: DataFrame) -> str:
     """JSON of a frame of one row."""
     return json.dumps(row.first().asDict(recursive=True), sort_keys=True)
+
+
+def bundle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """path (inside the folder), bytes, sha256 of every file under a folder; files are read on the executors, each in one piece."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = folder.rstrip("/").removeprefix("file://")
+    return files.select(F.element_at(F.split("path", re.escape(root) + "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def bundle_faults(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """path, fault: files of the manifest that are missing or changed, and files that it doesn't know."""
+    now = bundle_manifest(spark, folder).select("path", F.col("sha256").alias("now"))
+    both = manifest.select("path", "sha256").join(now, "path", "full")
+    fault = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "unknown").when(F.col("now") != F.col("sha256"), "changed")
+    return both.select("path", fault.alias("fault")).filter("fault is not null")

@@ -312,3 +312,26 @@ def test_batched_cosines(spark):
         assert x.modified == pytest.approx(slow_cosine(q, p, 0.35, (0.0, b - a if a else 0.0))[0]), i
         loss = lambda s, m: sorted((m - z, y) for z, y in s if m is not None and m - z >= 0)
         assert x.loss == pytest.approx(slow_cosine(loss(q, a), loss(p, b), 0.35)[0]), i
+
+
+def test_structures_of_a_table(spark, tmp_path):
+    """Fingerprints, descriptors, fragments and plain structures of a table of precomputed ones; files of a bundle."""
+    names = "smiles string, canonical_smiles string, inchikey14 string, formula string, exact_mass double, scaffold string, " + ", ".join(f"{k} {v}" for k, v in chemistry.MORE.items())
+    more = lambda plain: ([5], 1.0, 0.0, 0.0, 0.1, [15.0, 29.0], [17.0], plain)
+    known = spark.createDataFrame([("[11CH3]CO", "[11CH3]CO", "I" * 14, "C2H6O", 45.05, "", *more("CCO")), ("CCO", "CCO", "A" * 14, "C2H6O", 46.041865, "", *more("CCO"))], names)
+    backend = chemistry.Precomputed(known)
+    rows = spark.createDataFrame([("2", "[11CH3]CO", "[11CH3]CO", "I" * 14, "C2H6O", 45.05, "s"), ("1", "CCO", "CCO", "A" * 14, "C2H6O", 46.041865, "s"), ("3", "[2H]X", "[2H]X", "B" * 14, "X", 9.0, "s")], "candidate_id string, smiles string, canonical_smiles string, inchikey14 string, formula string, exact_mass double, source string")
+    out = {r.inchikey14: r for r in chemistry.without_isotopes(rows, backend, features.isotopic(F.col("smiles"))).collect()}
+    assert set(out) == {"A" * 14, "B" * 14} and out["A" * 14].candidate_id == "1" and out["A" * 14].exact_mass == 46.041865
+    alone = chemistry.without_isotopes(rows.filter("candidate_id = '2'"), backend, features.isotopic(F.col("smiles"))).first()
+    assert (alone.smiles, alone.canonical_smiles, alone.exact_mass) == ("CCO", "CCO", 46.041865)
+    assert {r.inchikey14: r.words for r in chemistry.fingerprint_index(rows, backend).collect()} == {"A" * 14: [5], "I" * 14: [5]} and chemistry.unindexed(rows, backend) == 1
+    assert chemistry.with_descriptors(rows, backend).filter("candidate_heteroatom_count = 1").count() == 2 and chemistry.with_fragments(rows, backend).filter("size(fragments) = 2").count() == 2
+    (tmp_path / "b" / "c").mkdir(parents=True)
+    (tmp_path / "b" / "x.txt").write_text("x")
+    (tmp_path / "b" / "c" / "y.txt").write_text("y")
+    manifest = spark.createDataFrame(tables.bundle_manifest(spark, str(tmp_path / "b")).collect())
+    assert {r.path for r in manifest.collect()} == {"x.txt", "c/y.txt"} and tables.bundle_faults(spark, str(tmp_path / "b"), manifest).count() == 0
+    (tmp_path / "b" / "x.txt").write_text("z")
+    (tmp_path / "b" / "c" / "y.txt").rename(tmp_path / "b" / "n.txt")
+    assert {(r.path, r.fault) for r in tables.bundle_faults(spark, str(tmp_path / "b"), manifest).collect()} == {("x.txt", "changed"), ("c/y.txt", "missing"), ("n.txt", "unknown")}
