@@ -54,7 +54,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"]).select("row.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_lm, op3_quality_rules, op4_simhash, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_mixing, op9_warc, op10_toxicity)}
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_secrets gives by patterns alone, which SQL can express."""
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_quality_rules gives without the model, which SQL can express."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", *gbt.BASE, "base_failed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_lm, op3_quality_rules, op4_simhash, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_mixing, op9_warc, op10_toxicity, base_secrets, base_statistics)}
+
+#: The patterns of op1 for SQL, quotes doubled.
+_PATTERNS = tuple((k, p.replace("'", "''")) for k, p in zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX), strict=False))
 
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": r"""
@@ -77,4 +90,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM m
     """,
+    "base_secrets": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for i, (k, p) in enumerate(_PATTERNS))}),
+        s AS (SELECT *, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM m WHERE len(m) > 0),
+        p AS (SELECT doc_id, o, kind, x, list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS a FROM s),
+        q AS (SELECT *, a + length(x) AS e FROM p WHERE o > 0 OR length(regexp_extract(x, '{_PATTERNS[0][1]}', 2)) >= 8)
+        SELECT d.doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, sha256(coalesce(string_agg(kind || ':' || a::BIGINT || ':' || e::BIGINT, ',' ORDER BY a, o), '')) AS base_sha256 FROM d LEFT JOIN q ON d.doc_id = q.doc_id GROUP BY d.doc_id
+    """,
+    "base_statistics": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5),
+        r AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS n FROM x), c AS (SELECT doc_id, count(DISTINCT p + k) AS again FROM r, range(5) y(k) WHERE n > 1 GROUP BY doc_id),
+        a AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words
+              FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN c ON d.doc_id = c.doc_id)
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a
+    """,
 }

@@ -32,7 +32,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got, want = QUERIES[name](spark, DIR).toPandas(), con.sql(ORACLE_SQL[name]).df()
     key = got.columns[0]
