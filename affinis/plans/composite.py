@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, ranking, retrieval
+from . import spectral_sql as sql
 from .queries import _CANDIDATES, _CHANNELS, _RANKED, _TRUTH, candidates_of, channels_of, r6, ranked_of, spectra_of, t, truth_of
 from .registry import query
 
@@ -22,14 +23,20 @@ def query_spectra(spark: SparkSession, d: str) -> DataFrame:
     return library_spectra(spark, d).withColumnRenamed("cid", "qid").withColumnRenamed("key", "query")
 
 
-@query()
+_HITS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS place FROM {sql.hits('c.mass BETWEEN q.mass - q.mass * 2000e-6 AND q.mass + q.mass * 2000e-6')}))"
+
+
+@query(f"SELECT qid, cid, key, round(direct, 6) AS direct, matched, round(score, 6) AS score FROM {_HITS} WHERE place <= 10")
 def library_search(spark, d):
     """Every order against all others in a 2000 ppm window, its own spectrum left out; orders alone in their window meet their neighbours."""
     hits = retrieval.search(query_spectra(spark, d), library_spectra(spark, d), ppm=2000.0, tolerance=5.0, top_n=10)
     return hits.select("qid", "cid", "key", r6(F.col("direct"), "direct"), "matched", r6(F.col("score"), "score"))
 
 
-@query()
+_ANALOG_HITS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS place FROM {sql.hits('c.mass BETWEEN q.mass - 200 AND q.mass + 200', 5000, 'cid % 100 = 1')}))"
+
+
+@query(f"SELECT qid, cid, key, round(direct, 6) AS direct, matched, round(score, 6) AS score FROM {_ANALOG_HITS} WHERE place <= 10")
 def analog_search(spark, d):
     """Every hundredth order against all others in +- 200, of which 5000 at equal steps of mass are compared, as in the reference."""
     q = query_spectra(spark, d).filter("qid % 100 = 1")
@@ -37,15 +44,24 @@ def analog_search(spark, d):
     return hits.select("qid", "cid", "key", r6(F.col("direct"), "direct"), "matched", r6(F.col("score"), "score"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT query, key, avg(s) AS e FROM (SELECT query, key, least(1.0, greatest(0.0, score)) AS s, row_number() OVER (PARTITION BY query, key ORDER BY least(1.0, greatest(0.0, score)) DESC) AS r FROM {_HITS} WHERE place <= 100) WHERE r <= 3 GROUP BY query, key),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(e, 9) DESC, key) AS rank FROM e), t AS (SELECT m.query, k.rank FROM (SELECT DISTINCT o_custkey AS query FROM orders JOIN lineitem ON l_orderkey = o_orderkey) m LEFT JOIN k ON k.query = m.query AND k.key = m.query AND k.rank <= 25)
+    SELECT count(*) AS queries, round(avg(coalesce(1 / rank, 0)), 6) AS mrr, {", ".join(f"round(avg(coalesce((rank <= {c})::INT, 0)), 6) AS hits_{c}" for c in metrics.CUTOFFS)}, median(rank)::DOUBLE AS median_rank, round(avg((rank IS NULL)::INT), 6) AS missed FROM t""")
 def predict_evaluate(spark, d):
     """R2, F16: fit, predict, evaluate; the truth of a customer's spectra is the customer."""
     q = query_spectra(spark, d)
     found = retrieval.predict(q, library_spectra(spark, d), ppm=2000.0, tolerance=5.0)
-    return retrieval.evaluate(q.select("query", F.col("query").alias("truth")).distinct(), found)
+    m = retrieval.evaluate(q.select("query", F.col("query").alias("truth")).distinct(), found)
+    return m.select(*[F.col(c) if c in ("queries", "median_rank") else F.round(c, 6).alias(c) for c in m.columns])
 
 
-@query()
+_REPRESENTATIVES = sql.weighted_rows(f"(SELECT key, arg_max(mass, (len(p), -cid)) AS mass, arg_max(mode, (len(p), -cid)) AS mode, arg_max(p, (len(p), -cid)) AS p FROM {sql.LIBRARY} GROUP BY key)", "p", "key, mass, mode", "r")
+_SEARCHED = sql.weighted_rows(f"(SELECT c.key AS query, m.mass, c.mode, c.p FROM {sql.LIBRARY} c JOIN (SELECT key, median(mass) AS mass FROM {sql.LIBRARY} GROUP BY key) m ON m.key = c.key)", "p", "query, mass, mode", "q")
+
+
+@query(f"""WITH x AS MATERIALIZED (SELECT * FROM {_REPRESENTATIVES}), y AS MATERIALIZED (SELECT * FROM {_SEARCHED}), s AS (SELECT query, key, greatest({sql.similarity('q', 'r', 5, '0')}, CASE WHEN abs(d) > 0.001 THEN {sql.similarity('q', 'r', 5, 'd')} ELSE 0 END) AS s
+    FROM (SELECT y.query, y.q, x.key, x.r, y.mass - x.mass AS d FROM y JOIN x ON x.mass BETWEEN y.mass - 200 AND y.mass + 200 AND x.mode = y.mode AND x.key <> y.query)), b AS (SELECT query, key, max(s) AS s FROM s GROUP BY query, key HAVING round(max(s), 9) > 0)
+    SELECT query, key, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, key) AS place FROM b) WHERE place <= 25""")
 def entropy_search(spark, d):
     """Customers against richest representatives, themselves excluded."""
     q = query_spectra(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import mass
 from ..operators import evidence, joins, kernels, matching, metrics, ranking
 from ..sources import tables
+from . import spectral_sql as sql
 from .registry import query
 
 _QUERIES = "(SELECT l_orderkey * 100 + l_linenumber AS qid, l_extendedprice / l_quantity AS mass, l_returnflag AS flag, l_shipdate AS shipped FROM lineitem WHERE l_quantity > 0)"
@@ -408,19 +409,22 @@ def clean_spectrum(spark, d):
     return spectra_of(spark, d).select("l_orderkey", peaks.alias("p")).select("l_orderkey", F.size("p").alias("peaks"), r6(kernels.total(F.col("p"), lambda x: x["intensity"]), "total"))
 
 
-@query()
+@query(f"SELECT a, b, round(direct, 6) AS direct, matched, round(explained, 6) AS explained, round(modified, 6) AS modified, round(loss, 6) AS loss, round(score, 6) AS score FROM {sql.cosines(sql.PAIRS, 5, 'a, b')}")
 def spectrum_cosines(spark, d):
     """Direct, modified and neutral-loss cosine of spectrum pairs, tolerance 5."""
     rows = matching.with_cosines(spectrum_pairs(spark, d), 5.0, "q", "r", "qp", "rp")
     return rows.select("a", "b", r6(F.col("direct"), "direct"), "matched", r6(F.col("explained"), "explained"), r6(F.col("modified"), "modified"), r6(F.col("loss"), "loss"), r6(kernels.hit_score(F.col("direct"), F.col("modified"), F.col("loss")), "score"))
 
 
-@query()
+_WEIGHTED = sql.weighted_rows(sql.weighted_rows(sql.PAIRS, "q", "a, b, r, qp, rp", "q"), "r", "a, b, q, qp, rp", "r")
+
+
+@query(f"SELECT a, b, round(CASE WHEN abs(qp - rp) > 0.001 THEN greatest({sql.similarity('q', 'r', 5, '0')}, {sql.similarity('q', 'r', 5, '(qp - rp)')}) ELSE {sql.similarity('q', 'r', 5, '0')} END, 6) AS similarity FROM {_WEIGHTED}")
 def entropy_similarity(spark, d):
     """A9 to A11."""
     q, r = kernels.entropy_weighted(F.col("q")), kernels.entropy_weighted(F.col("r"))
     rows = spectrum_pairs(spark, d).select("a", "b", q.alias("q"), r.alias("r"), (F.col("qp") - F.col("rp")).alias("shift"))
-    return rows.select("a", "b", r6(kernels.shifted_entropy(F.col("q"), F.col("r"), 5.0, F.col("shift")), "similarity"))
+    return matching.with_entropy(rows, 5.0, "shift").select("a", "b", r6(F.col("similarity"), "similarity"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS k, floor(round(l_extendedprice / 100, 2) / 50)::INT AS b, max(l_quantity) AS i FROM lineitem WHERE floor(round(l_extendedprice / 100, 2) / 50) < 20 GROUP BY ALL), n AS (SELECT k, sqrt(sum(i * i)) AS n FROM s GROUP BY k),

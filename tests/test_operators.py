@@ -335,3 +335,15 @@ def test_structures_of_a_table(spark, tmp_path):
     (tmp_path / "b" / "x.txt").write_text("z")
     (tmp_path / "b" / "c" / "y.txt").rename(tmp_path / "b" / "n.txt")
     assert {(r.path, r.fault) for r in tables.bundle_faults(spark, str(tmp_path / "b"), manifest).collect()} == {("x.txt", "changed"), ("c/y.txt", "missing"), ("n.txt", "unknown")}
+
+
+def test_batched_entropy(spark):
+    r = random.Random(8)
+    share = lambda s: [(z, y / sum(v for _, v in s)) for z, y in s]
+    many = lambda n: share(sorted((round(r.uniform(10, 60), 1), r.random() + 0.01) for _ in range(n)))
+    rows = [(i, many(r.randrange(0, 40)), many(r.randrange(0, 40)), r.choice((None, 0.0, 0.0005, 2.5, -7.0))) for i in range(100)] + [(100, None, many(3), 1.0)]
+    df = spark.createDataFrame(rows, f"i int, q {PEAKS}, r {PEAKS}, s double").repartition(3)
+    for x in matching.with_entropy(df, 0.5, "s").collect():
+        _, q, p, s = rows[x.i]
+        direct = slow_entropy(q, p, 0.5, 0.0)
+        assert x.similarity == pytest.approx(max(direct, slow_entropy(q, p, 0.5, s)) if abs(s or 0) > 0.001 else direct, abs=1e-9), x.i
