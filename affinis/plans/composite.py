@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, ranking, retrieval
+from ..store import settled
 from . import spectral_sql as sql
 from .queries import _CANDIDATES, _CHANNELS, _RANKED, _TRUTH, candidates_of, channels_of, r6, ranked_of, spectra_of, t, truth_of
 from .registry import query
@@ -64,8 +65,9 @@ _SEARCHED = sql.weighted_rows(f"(SELECT c.key AS query, m.mass, c.mode, c.p FROM
     SELECT query, key, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, key) AS place FROM b) WHERE place <= 25""")
 def entropy_search(spark, d):
     """Customers against richest representatives, themselves excluded."""
-    q = query_spectra(spark, d)
-    index = retrieval.representatives(library_spectra(spark, d))
+    # Read three times, so made once.
+    q = settled(query_spectra(spark, d))
+    index = settled(retrieval.representatives(q.withColumnRenamed("qid", "cid").withColumnRenamed("query", "key")))
     own = q.select("query", F.col("query").alias("key")).distinct()
     return retrieval.entropy_search(q, index, tolerance=5.0, excluded=own).select("query", "key", r6(F.col("similarity"), "similarity"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mass
-from ..operators import evidence, features, joins, kernels, metrics, ranking
-from .queries import _CANDIDATES, _CHANNELS, _LIBRARY, _ONCE, _QUERIES, _RANKED, _RANKS, _TRUTH, candidates_of, channels_of, library_of, queries_of, r6, ranked_of, ranks_of, spectrum_pairs, t, truth_of
+from ..operators import features, joins, kernels, metrics, ranking
+from ..store import scratch
+from ..streaming import batches
+from .queries import _CANDIDATES, _LIBRARY, _ONCE, _QUERIES, _RANKED, _RANKS, candidates_of, channels_of, library_of, queries_of, r6, ranked_of, ranks_of, spectrum_pairs, t
 from .registry import query
 
 _LOSSES = (10.0, 25.0, 50.0)
@@ -288,3 +290,13 @@ def variable_bits(spark, d):
     """Bits that vary, at most 128."""
     rows = t(spark, d, "lineitem").select(F.array(*[F.shiftright(F.col("l_quantity").cast("long"), i).bitwiseAND(1) for i in range(8)]).alias("b"))
     return metrics.variable_bits(rows, "b").select("bit", r6(F.col("share"), "share"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def streamed_counts(spark, d):
+    """An extension: events are read as a stream, batch by batch, each batch's counts written once; a second call finds nothing new."""
+    base = scratch(spark)
+    schema = t(spark, d, "events").schema
+    for _ in range(2):
+        batches.in_batches(spark, f"{d}/events.parque[t]", schema, lambda rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
