@@ -1,11 +1,8 @@
-"""What the operators of this subpackage share: folders, hashing, bounded label samples."""
+"""What the operators of this subpackage share: hashing, bounded label samples, portions of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,58 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..store import discard, recorded, scratch, settled  # noqa: F401  what the operators of this subpackage use
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir.
-
-    Only a session of one machine without that setting (a test) gets a temporary folder of its own; on a cluster the setting must be there,
-    as other executors don't see what a task writes to its own disk.
-    """
-    root = ship(spark).conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="affinis-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    for made in _recording:
-        made.append(path)
-    return path
-
-
-_recording: list[list[str]] = []
-
-
-@contextmanager
-def recorded() -> Iterator[list[str]]:
-    """Lists the paths that scratch() gives meanwhile, for a caller that knows when nothing reads them any more."""
-    made: list[str] = []
-    _recording.append(made)
-    try:
-        yield made
-    finally:
-        _recording.remove(made)
-
-
-def settled(df: DataFrame, level: int = 3, path: str | None = None) -> DataFrame:
-    """df, written to the shared folder (to path, if given) and read back: computed once, and safe from lost executors. level: of the compression."""
-    path = path or scratch(df.sparkSession)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str | None) -> None:
-    """Removes what settled() wrote to path and nothing reads any more."""
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fold(n: int, key: str = "doc_id"):
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "utf-8")) % n

@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from affinis import store
 from affinis.llm import common, docstats, gbt, mixing, qda, secrets, simhash, toxicity
 
 REPO = str(Path(__file__).resolve().parent.parent.parent)
@@ -304,7 +305,7 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
         sparkContext = Away()
         conf = type("C", (), {"get": staticmethod(lambda *a: None)})()
 
-    monkeypatch.setattr(common, "ship", lambda s: s)
+    monkeypatch.setattr(store, "ship", lambda s: s)
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.scratch(Session())
 
