@@ -18,7 +18,7 @@ from .common import fold, portions, settled
 #: Bytes of context. A key is the context and the byte that follows it, first byte highest.
 DEPTH = 5
 #: Text whose distinct keys one task holds.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
 #: Codes the end of a text; no byte of UTF-8.
 END = b"\xff"
 
@@ -125,38 +125,31 @@ class Finder:
         return at
 
 
-#: Depth of the subtrees that one task builds: they share their last two context bytes.
-SPLIT = 2
+#: Depth of the subtrees that are built apart: they share their last three context bytes, so none has more than 2 ** 24 keys.
+SPLIT = 3
+#: Keys of whole subtrees that a task builds at once.
+BUILD_KEYS = 1 << 19
 
 
-def subtree(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """tree(key, count, SPLIT), built by one further context byte at a time, so that what is held besides the keys is that of one part.
+def parents(node: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes of `depth` above nodes one deeper: the same beginning of a byte, the context without its first byte."""
+    return (node >> 8 & ((1 << 8 * depth) - 1)) << 8 | node & 255
 
-    All keys share their SPLIT last context bytes, so there are 255 nodes of depth SPLIT, one for each beginning of a byte.
-    """
-    key = key.astype(np.int64)
-    part = key >> 8 * (SPLIT + 1) & 255
-    order = np.argsort(part, kind="stable")
-    p = np.zeros((len(key), 8), "<f4")
-    n0, n1, below = np.zeros(256), np.zeros(256), np.zeros(256)
-    edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(key)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        at = order[a:b]
-        p[at], (node, whole, zeros, ones) = tree(key[at], count[at], SPLIT + 1)
-        for total, x in ((n0, zeros), (n1, ones), (below, whole)):
-            total += np.bincount(node & 255, x, 256)
-    used = np.unique(np.stack([(1 << b) | ((key & 255) >> (8 - b)) for b in range(8)]))
-    whole, weight = mix(estimate(n0, n1), below)
-    for b in range(8):
-        prefix, bit = (1 << b) | ((key & 255) >> (8 - b)), key >> (7 - b) & 1
-        here = (np.where(bit == 1, n1[prefix], n0[prefix]) + 0.5) / (n0 + n1 + 1.0)[prefix]
-        p[:, b] = weight[prefix] * here + (1 - weight[prefix]) * p[:, b]
-    context = (key[0] >> 8 & ((1 << 8 * SPLIT) - 1)) << 8
-    return p, (context | used, whole[used], n0[used], n1[used])
+
+def along(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, weight, own): for each byte after the one context of the nodes, the weights and the own estimates of its eight bits. suffix: context and byte."""
+    context, prefix = int(node[0]) >> 8, node & 255
+    zeros, ones, share = np.zeros(256), np.zeros(256), np.ones(256)
+    zeros[prefix], ones[prefix], share[prefix] = n0, n1, weight
+    byte = ((prefix[prefix >= 128] & 127)[:, None] * 2 + np.arange(2)).ravel()
+    at = np.stack([(1 << b) | (byte >> (8 - b)) for b in range(8)], axis=1)
+    bit = np.stack([byte >> (7 - b) & 1 for b in range(8)], axis=1)
+    own = (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (zeros + ones + 1.0)[at]
+    return context << 8 | byte, share[at], own
 
 
 def top(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Weights and estimates of the nodes of depth 1 and 0, from the summed depth-SPLIT nodes (node, n0, n1, whole), of which depth 1 has at most 2 ** 16."""
+    """Weights and estimates of the nodes of depth 1 and 0, from the depth-2 nodes summed by their parents (node, n0, n1, whole), of which depth 1 has at most 2 ** 16."""
     node, n0, n1, below = (rows[c].to_numpy() for c in ("node", "n0", "n1", "whole"))
     out = {}
     for depth in (1, 0):
@@ -170,7 +163,7 @@ def top(rows: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 def score_bits(p: np.ndarray, last: np.ndarray, byte: np.ndarray, upper: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 probability of bytes after the context byte `last`, from their bit probabilities p at depth SPLIT."""
+    """log10 probability of bytes after the context byte `last`, from their bit probabilities p at depth 2."""
     total = np.zeros(len(byte))
     for b in range(8):
         prefix, bit = (1 << b) | (byte >> (8 - b)), byte >> (7 - b) & 1
@@ -229,8 +222,8 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     Trained on the documents whose crc32 of the id is not 2 modulo 7. A text is its bytes and an end, so the probabilities of all texts sum to 1.
     Texts are dealt into chunks by the hash of id and text; a chunk counts its distinct keys and words once, so what is shuffled
-    are counts, not occurrences. Keys are summed over all chunks; subtrees of the context tree are built apart, by their last two context
-    bytes; each chunk gets back the values of its own keys and words, then reads its texts in portions and scores them. Nothing is
+    are counts, not occurrences. Keys are summed over all chunks; subtrees of the context tree are built apart, by their last three context
+    bytes, and the nodes of depth 2 joined to them; each chunk gets back the values of its own keys and words, then reads its texts in portions and scores them. Nothing is
     cut off: the model grows with the corpus, and no part of it is broadcast but the estimates of depths 1 and 0, of fixed size.
     Null texts count as empty: one token (the end), and the end alone is coded. Repeated rows count, and are scored, each time. Very long texts
     are read whole; a text is never split between tasks. Other columns are left aside; an empty table gives no rows.
@@ -282,30 +275,52 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     built = pa.schema([("key", pa.int64()), ("p", pa.binary()), ("node", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("whole", pa.float64())])
 
-    def build(table: pa.Table) -> pa.Table:
-        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        p, (node, whole, n0, n1) = subtree(key, n)
-        k, m = len(key), len(node)
-        raw = pa.Array.from_buffers(pa.binary(32), k, [None, pa.py_buffer(np.ascontiguousarray(p, "<f4"))]).cast(pa.binary())
-        return pa.table(
-            [
-                pa.concat_arrays([pa.array(key), pa.nulls(m, pa.int64())]), pa.concat_arrays([raw, pa.nulls(m, pa.binary())]),
-                *(pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)]) for x, t in ((_parent(node), pa.int64()), (n0, pa.float64()), (n1, pa.float64()), (whole, pa.float64()))),
-            ], schema=built,
-        )
-
-    whole = key_counts.groupBy("key").agg(F.sum("n").alias("n"))
-    under = F.shiftright("key", 8).bitwiseAND((1 << 8 * SPLIT) - 1).alias("subtree")
-    built_rows = settled(whole.groupBy(under).applyInArrow(build, "key long, p binary, node long, n0 double, n1 double, whole double"))
-    upper = top(built_rows.filter("node is not null").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "whole"))).orderBy("node").toPandas())
-
-    def value(batches):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _whole_groups(batches, ("key", "n"), lambda key: key >> 8 & ((1 << 8 * SPLIT) - 1), BUILD_KEYS):
+            p, (node, whole, n0, n1) = tree(key, n, SPLIT)
+            up, at = np.unique(parents(node, SPLIT - 1), return_inverse=True)
+            n0, n1, whole = (np.bincount(at, x, len(up)) for x in (n0, n1, whole))
+            k, m = len(key), len(up)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(key), pa.nulls(m, pa.int64())]), pa.concat_arrays([_packed(p), pa.nulls(m, pa.binary())]),
+                    *(pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)]) for x, t in ((up, pa.int64()), (n0, pa.float64()), (n1, pa.float64()), (whole, pa.float64()))),
+                ], schema=built,
+            )
+
+    in_subtree = F.shiftright("key", 8).bitwiseAND((1 << 8 * SPLIT) - 1)
+    whole = key_counts.groupBy("key").agg(F.sum("n").alias("n")).withColumn("subtree", in_subtree).repartition("subtree").sortWithinPartitions("subtree").select("key", "n")
+    built_rows = settled(whole.mapInArrow(build, "key long, p binary, node long, n0 double, n1 double, whole double"))
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n0, n1, below = (batch.column(c).to_numpy() for c in ("node", "n0", "n1", "whole"))
+            whole, weight = mix(estimate(n0, n1), below)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, n0, n1, whole, weight)], names=["node", "n0", "n1", "whole", "weight"])
+
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "whole")]
+    second = settled(built_rows.filter("node is not null").groupBy("node").agg(*sums).mapInArrow(mixed, "node long, n0 double, n1 double, whole double, weight double"))
+    first_node = F.shiftright("node", 8).bitwiseAND(255) * 256 + F.col("node").bitwiseAND(255)
+    upper = top(second.groupBy(first_node.alias("node")).agg(*sums).orderBy("node").toPandas())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, ("node", "n0", "n1", "weight"), lambda node: node >> 8, 1 << 14):
+            cut = np.flatnonzero(np.diff(columns[0] >> 8)) + 1
+            parts = [along(*x) for x in zip(*(np.split(c, cut) for c in columns), strict=True)]
+            suffix, weight, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(suffix), _packed(np.concatenate([weight, own], axis=1))], names=["suffix", "second"])
+
+    paths = second.withColumn("context", F.shiftright("node", 8)).repartition("context").sortWithinPartitions("context").select("node", "n0", "n1", "weight").mapInArrow(spread, "suffix long, second binary")
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column("key").to_numpy()
-            p = np.frombuffer(b"".join(batch.column("p").to_pylist()), "<f4").reshape(-1, 8).astype(float)
+            p, x = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f4").reshape(len(key), -1).astype(float) for c in ("p", "second"))
+            p = x[:, :8] * x[:, 8:] + (1 - x[:, :8]) * p
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(score_bits(p, key >> 8 & 255, key & 255, upper))], names=["key", "value"])
 
-    key_values = built_rows.filter("key is not null").select("key", "p").mapInArrow(value, "key long, value double")
+    trained = built_rows.filter("key is not null").select("key", "p", F.col("key").bitwiseAND((1 << 24) - 1).alias("suffix"))
+    key_values = trained.join(paths, "suffix").select("key", "p", "second").mapInArrow(value, "key long, value double")
     back = key_counts.select("chunk", "key").join(key_values, "key").select("chunk", "key", F.lit(None).cast("binary").alias("word"), "value")
     back = back.unionByName(word_counts.select("chunk", "word").join(words.select("word", F.col("n").cast("double").alias("value")), "word").select("chunk", F.lit(None).cast("long").alias("key"), "word", "value"))
     texts = dealt.withColumn("kind", F.when(F.col("times") == 0, 2).otherwise(1))
@@ -367,6 +382,23 @@ def _times(batch: pa.RecordBatch, more: dict[int, int]) -> list[int]:
     return out
 
 
-def _parent(node: np.ndarray) -> np.ndarray:
-    """Depth-1 node above a depth-SPLIT node."""
-    return (node >> 8 & 255) << 8 | node & 255
+def _packed(x: np.ndarray) -> pa.Array:
+    """The rows of x as binary, four bytes a number."""
+    return pa.Array.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x, "<f4"))]).cast(pa.binary())
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], group, most: int) -> Iterator[list[np.ndarray]]:
+    """The columns of whole groups that come in order, about `most` rows at a time, or one group that is larger."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in columns])
+        if sum(len(h[0]) for h in held) >= most:
+            now = [np.concatenate(x) for x in zip(*held, strict=True)]
+            of = group(now[0])
+            other = np.flatnonzero(of != of[-1])
+            end = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+            if end:
+                yield [x[:end] for x in now]
+            held = [[x[end:] for x in now]]
+    if held and len(held[0][0]) + sum(len(h[0]) for h in held[1:]):
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]

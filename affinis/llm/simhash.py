@@ -29,7 +29,7 @@ BANDS, ROWS = 30, 4
 #: Those in a block are compared by sets where SimHashes of BITS bits differ by FAR at most: a pair at 0.8 differs in 39 on average (48 if it has but five shingles), with a deviation of 6.
 BITS, FAR = 256, 79
 #: What a task holds of a group at once: bytes of sketches or of sets.
-SKETCH_BYTES, SET_BYTES = 96 << 10, 16 << 20
+SKETCH_BYTES, SET_BYTES = 32 << 10, 16 << 20
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _LANES = np.random.default_rng(SEED + 1).integers(0, 2**63, (2, BITS // 64), np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -118,6 +118,19 @@ def test_context_tree(spark, empty):
     assert len(got) == len(pairs) and ctw.lm_scores(empty[0]).count() == 0
 
 
+def test_whole_groups_stay_whole():
+    import pyarrow as pa
+
+    r = np.random.default_rng(0)
+    key = np.sort(r.integers(0, 60, 1000)) * 1000 + r.integers(0, 9, 1000)
+    rows = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 37]), pa.array(np.arange(i, min(i + 37, 1000)))], names=["key", "n"]) for i in range(0, 1000, 37)]
+    for most in (1, 50, 5000):
+        got = list(ctw._whole_groups(iter(rows), ("key", "n"), lambda k: k // 1000, most))
+        assert np.concatenate([x[1] for x in got]).tolist() == list(range(1000))
+        assert sum(len(set((x[0] // 1000).tolist())) for x in got) == len(set((key // 1000).tolist()))
+    assert list(ctw._whole_groups(iter([]), ("key",), lambda k: k, 5)) == []
+
+
 def test_statistics():
     for t in TEXTS:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
