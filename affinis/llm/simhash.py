@@ -383,7 +383,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, least: float) -> DataFram
     keyed = classes.filter("fp <> 0").select("fp", F.explode("bands").alias("key"))
     size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x")).filter("n > 1")
     once = size.groupBy("n", "x").agg(F.min("key").alias("key")).select("key")
-    members = keyed.join(once, "key").join(classes.select("fp", F.col("sketch").alias("value")), "fp").select("key", "fp", "value")
+    # Neither side of these joins is bounded, so they merge at every size.
+    members = keyed.join(once.hint("merge"), "key").join(classes.select("fp", F.col("sketch").alias("value")), "fp").select("key", "fp", "value")
     alike = components(linked(settled(members), ["key"], Sketches, SKETCH_BYTES))
     group = settled(alike.unionByName(alike.select(F.col("root").alias("node"), "root").distinct()).join(classes.select(F.col("fp").alias("node"), "text_hash"), "node"))
     schema = pa.schema([("fp", pa.int64()), ("value", pa.binary())])
@@ -393,7 +394,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, least: float) -> DataFram
             made = [np.unique(shingles(t, WORDS)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], schema=schema)
 
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(group.select("text_hash"), "text_hash", "left_semi")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(group.select("text_hash").hint("merge"), "text_hash", "left_semi")
     made = settled(texts.dropDuplicates(["text_hash"]).select("text").mapInArrow(sets, "fp long, value binary"))
     return linked(group.select("root", F.col("node").alias("fp")).join(made, "fp").select("root", "fp", "value"), ["root"], lambda values: Sets(values, least), SET_BYTES)
 
