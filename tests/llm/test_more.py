@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import string
 import subprocess
 import sys
@@ -76,7 +77,7 @@ def test_battery_and_false_discovery_control(spark):
         words = [r.choice(WORDS) for _ in range(30)]
         for _ in range(r.randrange(1, 6)):
             kind = r.choice([*ENCODINGS.values(), string.ascii_lowercase, string.digits])
-            token = "".join(r.choice(kind if r.random() < 0.7 else "abcab") for _ in range(r.randrange(20, 31)))
+            token = "".join(r.choice(kind if r.random() < 0.7 else "abcab") for _ in range(r.randrange(20, 46)))
             words.insert(r.randrange(len(words)), token)
         texts.append(" ".join(words))
     got = secrets.digest(spark.createDataFrame(list(enumerate(texts)), PLAIN)).collect()
@@ -84,7 +85,7 @@ def test_battery_and_false_discovery_control(spark):
     for x in got:
         at, tokens = 0, []
         for w in texts[x.doc_id].split(" "):
-            if len(w) >= 20:
+            if len(w) >= 20 and not re.search("[0-9a-f]{32}", w):  # such runs are base spans
                 tokens.append((at, w))
             at += len(w) + 1
         assert {tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("random")} == plain_spans(tokens)
