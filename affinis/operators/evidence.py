@@ -54,3 +54,17 @@ def pooled(predictions: DataFrame, group: str, vector: str, weighted: bool = Fal
     bits = rows.select(group, "w", F.posexplode(vector).alias("bit", "p"))
     mean = F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("p")) / F.sum("w")).otherwise(F.avg("p"))
     return bits.groupBy(group, "bit").agg(mean.alias("p"))
+
+
+def support(hits: DataFrame, group: list[str], spectrum: str = "spectrum", library: str = "library", score: str = "score") -> DataFrame:
+    """What goes along with the evidence of each group: best score, how many query and library spectra, the first library spectrum and that of the best score (the first of equals)."""
+    return hits.groupBy(*group).agg(F.max(score).alias("max_score"), F.count_distinct(spectrum).alias("spectra"), F.count_distinct(library).alias("libraries"), F.min(library).alias("first_library"), F.max_by(library, F.struct(F.col(score), -F.col(library))).alias("best_library"))
+
+
+def context(spectra: DataFrame, group: str, mass: str, adduct: str, positive: Column, energy: str | None = None) -> DataFrame:
+    """What is known of a query from its spectra: median mass, how many spectra and different adducts, the share of positive ones, the mean of the finite energies (0 if there is none)."""
+    more = []
+    if energy:
+        finite = F.when(~F.isnan(energy) & (F.abs(energy) < float("inf")), F.col(energy))
+        more = [F.coalesce(F.avg(finite), F.lit(0.0)).alias("energy")]
+    return spectra.groupBy(group).agg(F.median(mass).alias("mass"), F.count(F.lit(1)).alias("spectra"), F.count_distinct(adduct).alias("adducts"), F.avg(positive.cast("double")).alias("positive"), *more)

@@ -152,3 +152,13 @@ def variable_bits(rows: DataFrame, bits: str, most: int = 128) -> DataFrame:
 
     shares = rows.select(F.posexplode(bits).alias("bit", "b")).groupBy("bit").agg(F.avg(F.col("b").cast("double")).alias("share")).filter("share > 0 AND share < 1")
     return systematic(shares.withColumn("all", F.lit(0)), most, ["all"], F.col("bit")).drop("all")
+
+
+def inspection(rows: DataFrame, numbers: list[str], keys: list[str], lists: list[str] = (), examples: int = 10) -> dict:
+    """Profile of a table as a report: nulls and distinct values of the keys, their most frequent values, statistics of the numbers, elements of the lists; `examples` values of each at most."""
+    of = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  each frame is a row for each column, or `examples` rows
+    return {
+        "columns": of(profile(rows, [*numbers, *keys])), "numbers": of(described(rows, numbers)),
+        "values": {k: of(frequencies(rows, k).limit(examples)) for k in keys},
+        "elements": {c: of(element_frequencies(rows, c).orderBy(F.col("n").desc(), "element").limit(examples)) for c in lists},
+    }

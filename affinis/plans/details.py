@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import mass
-from ..operators import features, joins, kernels, metrics, ranking
+from ..functions import chemistry, mass
+from ..operators import features, joins, kernels, metrics, ranking, retrieval
+from ..sources import tables
 from ..store import scratch
 from ..streaming import batches
-from .queries import _CANDIDATES, _LIBRARY, _ONCE, _QUERIES, _RANKED, _RANKS, candidates_of, channels_of, library_of, queries_of, r6, ranked_of, ranks_of, spectrum_pairs, t
+from . import spectral_sql as sql
+from .composite import library_spectra
+from .queries import _CANDIDATES, _LIBRARY, _ONCE, _QUERIES, _RANKED, _RANKS, candidates_of, channels_of, library_of, queries_of, r6, ranked_of, ranks_of, spectra_of, spectrum_pairs, t
 from .registry import query
 
 _LOSSES = (10.0, 25.0, 50.0)
@@ -300,3 +303,55 @@ def streamed_counts(spark, d):
     for _ in range(2):
         batches.in_batches(spark, f"{d}/events.parque[t]", schema, lambda rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT key, mode, cid, len(p) AS peaks FROM (SELECT *, row_number() OVER (PARTITION BY key, mode ORDER BY len(p) DESC, cid) AS r FROM {sql.LIBRARY} WHERE cid % 7 > 0) WHERE r = 1")
+def raw_representatives(spark, d):
+    """The richest spectrum of each structure and polarity, of those with a finite mass, which a seventh has not."""
+    rows = library_spectra(spark, d).withColumn("mass", F.when(F.col("cid") % 7 > 0, F.col("mass")).otherwise(float("nan")))
+    return retrieval.representatives(rows, raw=True).select("key", "mode", "cid", F.size("peaks").cast("long").alias("peaks"))
+
+
+@query(f"""WITH s AS (SELECT k, unnest(p) AS z, precursor FROM {sql.SPECTRA}), b AS (SELECT k, any_value(precursor) AS precursor, floor(z.mz / 50)::INT AS b, max(z.i) AS i FROM s WHERE floor(z.mz / 50) < 20 GROUP BY ALL), n AS (SELECT k, sum(i) / max(i) AS total, count(*) AS bins FROM b GROUP BY k)
+    SELECT o.k AS l_orderkey, 22 AS size, round(coalesce(total, 0) + precursor, 8) AS total, coalesce(bins, 0) + 1 AS filled FROM {sql.SPECTRA} o LEFT JOIN n ON n.k = o.k""")
+def feature_vectors(spark, d):
+    """Twenty bins over their maximum, the precursor, and a number that is none."""
+    v = kernels.feature_vector(F.col("peaks"), [F.col("precursor"), F.lit(float("nan"))], 50.0, 1000.0)
+    rows = spectra_of(spark, d).select("l_orderkey", v.alias("v"))
+    return rows.select("l_orderkey", F.size("v").alias("size"), F.round(kernels.total(F.col("v")), 8).alias("total"), F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("filled"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_quantity AS l, sqrt(l_quantity) AS i, max(l_quantity) OVER w AS q, max(sqrt(l_quantity)) OVER w AS m FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))
+    SELECT l_orderkey, substr('STRUCTURE' || lpad(l_orderkey::VARCHAR, 9, '0'), 1, 14) AS key, count(*)::INTEGER AS num_peaks, round(sum(i / m), 6) AS total FROM p WHERE l >= 0.2 * q GROUP BY l_orderkey""")
+def preprocessed_spectra(spark, d):
+    """Cleaned spectra with their number of peaks, key and mass."""
+    rows = spectra_of(spark, d).withColumnRenamed("precursor", "precursor_mz")
+    key = F.concat(F.lit("STRUCTURE"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"))
+    out = tables.preprocessed(rows, key, F.col("precursor_mz") - 1, relative_floor=0.2, top_n=50)
+    return out.select("l_orderkey", "key", "num_peaks", r6(kernels.total(F.col("peaks"), lambda x: x["intensity"]), "total"))
+
+
+@query("SELECT o_orderkey, CASE WHEN p_partkey % 5 > 0 THEN 'C' || p_partkey END AS canonical_smiles, CASE WHEN p_partkey % 5 > 0 THEN 'K' || lpad(p_partkey::VARCHAR, 13, '0') END AS inchikey14, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS exact_mass, CASE WHEN p_partkey % 5 = 1 THEN 'ACYCLIC:K' || lpad(p_partkey::VARCHAR, 13, '0') WHEN p_partkey % 5 > 1 THEN p_brand END AS scaffold FROM orders LEFT JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part) + 1")
+def described_structures(spark, d):
+    """Structures looked up in a table of known ones, each once; a fifth is not valid, a fifth has no scaffold."""
+    part = t(spark, d, "part")
+    smiles = F.concat(F.lit("S"), F.col("p_partkey").cast("string"))
+    key = F.concat(F.lit("K"), F.lpad(F.col("p_partkey").cast("string"), 13, "0"))
+    known = part.filter("p_partkey % 5 > 0").select(smiles.alias("smiles"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("canonical_smiles"), key.alias("inchikey14"), F.lit("C").alias("formula"), F.col("p_retailprice").alias("exact_mass"), F.when(F.col("p_partkey") % 5 == 1, "").otherwise(F.col("p_brand")).alias("scaffold"))
+    rows = t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("S"), (F.col("o_orderkey") % part.count() + 1).cast("string")).alias("smiles"))
+    return chemistry.described(rows, chemistry.Precomputed(known)).select("o_orderkey", "canonical_smiles", "inchikey14", "exact_mass", "scaffold")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'ABCDEFGHIJKLMN' END AS key FROM part")
+def comparison_keys(spark, d):
+    """What is a key passes."""
+    text = F.when(F.col("p_partkey") % 2 == 0, "ABCDEFGHIJKLMN").otherwise(F.col("p_brand"))
+    return t(spark, d, "part").select("p_partkey", chemistry.comparison_key(text).alias("key"))
+
+
+@query("SELECT p_partkey % 97 AS inchikey, min_by(p_name, (p_size % 2, p_partkey)) AS name FROM part WHERE p_retailprice > 950 GROUP BY p_partkey % 97")
+def merged_candidates(spark, d):
+    """Two sources, the first of which wins; rows without a mass are no candidates."""
+    part = t(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("candidate_id"), F.col("p_name").alias("canonical_smiles"), F.lpad((F.col("p_partkey") % 97).cast("string"), 14, "0").alias("inchikey14"), F.when(F.col("p_retailprice") > 950, F.col("p_retailprice")).alias("exact_mass"), "p_size")
+    rows = tables.merged_candidates([part.filter(f"p_size % 2 = {i}").drop("p_size") for i in (0, 1)])
+    return rows.select(F.col("inchikey14").cast("long").alias("inchikey"), F.col("canonical_smiles").alias("name"))

@@ -167,14 +167,15 @@ query(f"SELECT molecule, key, round(1.0 + ln(sum(exp(s - 1))), 6) AS evidence FR
 @query(f"SELECT molecule, key, round(max(score), 6) AS max_score, count(DISTINCT spectrum) AS spectra, count(DISTINCT library) AS libraries, min(library) AS first_library, arg_max(library, (score, -library)) AS best_library FROM {_HITS} GROUP BY ALL")
 def evidence_columns(spark, d):
     """G1: what goes along with the evidence."""
-    h = hits_of(spark, d)
-    return h.groupBy("molecule", "key").agg(r6(F.max("score"), "max_score"), F.count_distinct("spectrum").alias("spectra"), F.count_distinct("library").alias("libraries"), F.min("library").alias("first_library"), F.max_by("library", F.struct("score", -F.col("library"))).alias("best_library"))
+    return evidence.support(hits_of(spark, d), ["molecule", "key"]).withColumn("max_score", F.round("max_score", 6))
 
 
-@query("SELECT o_custkey AS molecule, round(median(o_totalprice), 6) AS mass, count(*) AS spectra, count(DISTINCT o_orderpriority) AS adducts, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS positive FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey AS molecule, round(median(o_totalprice), 6) AS mass, count(*) AS spectra, count(DISTINCT o_orderpriority) AS adducts, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS positive, round(coalesce(avg(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 END), 0), 6) AS energy FROM orders GROUP BY o_custkey")
 def query_context(spark, d):
-    """Median mass and context of a molecule's spectra (a customer's orders)."""
-    return t(spark, d, "orders").groupBy(F.col("o_custkey").alias("molecule")).agg(r6(F.median("o_totalprice"), "mass"), F.count(F.lit(1)).alias("spectra"), F.count_distinct("o_orderpriority").alias("adducts"), r6(F.avg((F.col("o_orderstatus") == "F").cast("double")), "positive"))
+    """Median mass and context of a molecule's spectra (a customer's orders); a third of the energies are no numbers."""
+    o = t(spark, d, "orders").withColumn("e", F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 50).cast("double")).otherwise(float("nan"))).withColumnRenamed("o_custkey", "molecule")
+    rows = evidence.context(o, "molecule", "o_totalprice", "o_orderpriority", F.col("o_orderstatus") == "F", "e")
+    return rows.select("molecule", r6(F.col("mass"), "mass"), "spectra", "adducts", r6(F.col("positive"), "positive"), r6(F.col("energy"), "energy"))
 
 
 @query("SELECT l_orderkey, arg_max(l_partkey, (l_quantity, -l_linenumber, l_partkey)) AS part, max(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey")

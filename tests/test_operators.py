@@ -347,3 +347,17 @@ def test_batched_entropy(spark):
         _, q, p, s = rows[x.i]
         direct = slow_entropy(q, p, 0.5, 0.0)
         assert x.similarity == pytest.approx(max(direct, slow_entropy(q, p, 0.5, s)) if abs(s or 0) > 0.001 else direct, abs=1e-9), x.i
+
+
+def test_sinks_and_profiles(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0, [1, 2]), ("a", 3.0, [2]), (None, 2.0, None)], "k string, x double, v array<int>")
+    tables.write_parquet(rows, str(tmp_path / "p"), "x")
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        tables.write_parquet(rows, str(tmp_path / "p"))
+    tables.write_csv(rows.select("k", "x"), str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).columns == ["k", "x"]
+    assert tables.report(rows.agg(F.sum("x").alias("s"))) == '{"s": 6.0}'
+    found = metrics.inspection(rows, ["x"], ["k"], ["v"], examples=1)
+    assert found["values"]["k"] == [{"k": "a", "n": 2}] and found["elements"]["v"] == [{"element": 2, "n": 2, "share": 2 / 3}]
+    assert found["numbers"][0]["median"] == 2.0 and found["columns"][1] == {"column": "k", "nulls": 1, "n_distinct": 1, "n_rows": 3}
