@@ -108,12 +108,13 @@ def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, h long, part int, nth long, n_tokens long, tokens binary")
 
 
-def dictionary(rows: DataFrame) -> bytes:
-    """What the pieces that are shuffled have in common, from the beginnings of SAMPLE documents, those of the smallest hashes; empty where they are too few.
+def dictionary(rows: DataFrame, count: int) -> bytes:
+    """What the pieces that are shuffled have in common, from the beginnings of about SAMPLE of the `count` documents, those whose hashes are smallest; empty where they are too few.
 
     It only makes the shuffle smaller; the shards don't depend on it.
     """
-    drawn = rows.select("h", F.substring("tokens", 1, SAMPLE_BYTES).alias("t")).orderBy("h").limit(SAMPLE).collect()
+    highest = min((1 << 63) - 1, -(1 << 63) + ((1 << 64) * SAMPLE) // max(1, count))
+    drawn = rows.filter(F.col("h") <= highest).select(F.substring("tokens", 1, SAMPLE_BYTES).alias("t")).limit(2 * SAMPLE).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.t) for r in drawn]).as_bytes()
     except zstandard.ZstdError:
@@ -124,8 +125,8 @@ def dictionary(rows: DataFrame) -> bytes:
 RANGE_ROWS = 1 << 20
 
 
-def places(rows: DataFrame, folder: str) -> int:
-    """Writes to folder, for each part of rows, the place of its documents in the stream; returns the stream's tokens.
+def places(rows: DataFrame, folder: str, count: int) -> int:
+    """Writes to folder, for each part of the `count` rows, the place of its documents in the stream; returns the stream's tokens.
 
     The stream is in order of h, then id, so it is the same however the table is split. A part has a file of its hashes with the place
     of the first of its rows of each; rows that are alike follow each other, so a hash that a third of all rows bear is one entry of a part.
@@ -133,7 +134,6 @@ def places(rows: DataFrame, folder: str) -> int:
     """
     spark = rows.sparkSession
     alike = rows.groupBy("h", "doc_id", "n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
-    count = rows.count()
     ranges = max(1, -(-count // RANGE_ROWS))
     at = F.floor((F.col("h").cast("double") + float(1 << 63)) / (float(1 << 64) / ranges))  # rises with h
     alike = settled(alike.withColumn("range", F.least(F.lit(ranges - 1), at).cast("int")))
@@ -189,8 +189,9 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
     wide = np.dtype(kind).itemsize
     rows = settled(tokenized(docs, vocabulary), level=9)
     index = scratch(spark)
-    total = places(rows.drop("tokens"), index)
-    common = dictionary(rows)
+    count = rows.count()
+    total = places(rows.drop("tokens"), index, count)
+    common = dictionary(rows, count)
     n = -(-total // length)
     shards = -(-n // shard)
     order = Feistel(n, key)
