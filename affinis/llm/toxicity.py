@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import re
 from collections import Counter
@@ -239,6 +241,16 @@ def lower(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
+def _give_back() -> None:
+    """Returns what fitting held to the system: the worker lives on, and serves the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps it for itself
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 20_000) -> InsultMachine:
     """Of labelled documents whose crc32 of the id is not 2 modulo 4: at most per_class of either class, of at most most_chars, so the one task that fits on them holds a bounded sample."""
     schema = pa.schema([("weight", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64()), ("odds", pa.float64())])
@@ -248,7 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: i
         m = InsultMachine([r[1] for r in rows], np.array([r[2] for r in rows], float))
         toxic = sum(r[2] for r in rows)
         odds = math.log(toxic / (len(rows) - toxic)) if 0 < toxic < len(rows) else None
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((m.weight.astype(float).tobytes(), m.bias, m.slope, m.offset, odds), schema, strict=True)], schema=schema)
+        out = (m.weight.astype(float).tobytes(), m.bias, m.slope, m.offset, odds)
+        del rows, m
+        _give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     # The sample goes to one task, not to the driver, which only gets the weights.
     found = sample_labelled(docs, labels, "toxic", fold(4) != 2, per_class, most_chars).repartition(1).mapInArrow(work, "weight binary, bias double, slope double, offset double, odds double").collect()
