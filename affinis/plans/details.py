@@ -349,9 +349,9 @@ def comparison_keys(spark, d):
     return t(spark, d, "part").select("p_partkey", chemistry.comparison_key(text).alias("key"))
 
 
-@query("SELECT p_partkey % 97 AS inchikey, min_by(p_name, (p_size % 2, p_partkey)) AS name FROM part WHERE p_retailprice > 950 GROUP BY p_partkey % 97")
+@query("SELECT p_partkey % 97 AS inchikey, min_by(p_name, (p_size % 2, p_partkey)) AS name FROM part WHERE p_partkey % 3 > 0 GROUP BY p_partkey % 97")
 def merged_candidates(spark, d):
     """Two sources, the first of which wins; rows without a mass are no candidates."""
-    part = t(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("candidate_id"), F.col("p_name").alias("canonical_smiles"), F.lpad((F.col("p_partkey") % 97).cast("string"), 14, "0").alias("inchikey14"), F.when(F.col("p_retailprice") > 950, F.col("p_retailprice")).alias("exact_mass"), "p_size")
+    part = t(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("candidate_id"), F.col("p_name").alias("canonical_smiles"), F.lpad((F.col("p_partkey") % 97).cast("string"), 14, "0").alias("inchikey14"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice")).alias("exact_mass"), "p_size")
     rows = tables.merged_candidates([part.filter(f"p_size % 2 = {i}").drop("p_size") for i in (0, 1)])
     return rows.select(F.col("inchikey14").cast("long").alias("inchikey"), F.col("canonical_smiles").alias("name"))
