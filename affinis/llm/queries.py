@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, gbt, mixing, qda, secrets, simhash, tokens, toxicity, warc
+from . import ctw, decontam, gbt, mixing, qda, secrets, simhash, spelling, tokens, toxicity, urls, warc
 from .common import table
 
 
@@ -54,6 +54,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"]).select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), keep=["page_id"]).select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11_url_filters gives by rules alone, which SQL can express."""
+    return op11_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1_secrets gives by patterns alone, which SQL can express."""
     return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -64,7 +77,7 @@ def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality_rules(spark, sf_dir).select("doc_id", *gbt.BASE, "base_failed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_lm, op3_quality_rules, op4_simhash, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_mixing, op9_warc, op10_toxicity, base_secrets, base_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_lm, op3_quality_rules, op4_simhash, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_mixing, op9_warc, op10_toxicity, op11_url_filters, op12_spelling, base_secrets, base_statistics, base_url_rules)}
 
 #: The patterns of op1 for SQL, quotes doubled.
 _PATTERNS = tuple((k, p.replace("'", "''")) for k, p in zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX), strict=False))
@@ -90,6 +103,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM m
     """,
+    "op12_spelling": rf"""
+        WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) r(i))),
+        r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+        g AS (SELECT d, run, count(*) AS k FROM r WHERE length(run) >= 5 GROUP BY d, run),
+        b AS (SELECT run, k, list_transform(range(octet_length(encode(d || ':' || run))), lambda j: ('0x' || substr(hex(encode(d || ':' || run)), 2 * j + 1, 2))::BIGINT) AS bytes FROM g),
+        h AS (SELECT run, k, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, tab),
+        w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+        v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        p AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (SELECT a.word, b.word AS other, b.n FROM p a JOIN p b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT p.word, v.word, v.n FROM p JOIN v ON p.rest = v.word UNION SELECT v.word, p.word, p.n FROM p JOIN v ON p.rest = v.word),
+        m AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'w': other}}) AS best FROM near GROUP BY word),
+        f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * v.n THEN best.w END AS form, CASE WHEN -best.n >= 2 * v.n THEN -best.n END AS form_n FROM v LEFT JOIN m ON m.word = v.word),
+        c(word, root, step) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT f.word, form, coalesce(l.root, f.word) AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word) l ON l.word = f.word
+    """,
+    "base_url_rules": f"""
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{urls.HOST}', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(coalesce(url, ''), '{urls.PATH}', 1) AS path FROM pages),
+        r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS s FROM (VALUES {", ".join(f"('{v}', '{r}')" for v, r in urls.RULES)}) t(verdict, rule)),
+        b AS (SELECT page_id, max({{'n': length(rule), 'rule': rule, 'verdict': verdict}}) AS best FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
+        SELECT p.page_id, host, path, best.rule AS rule, best.verdict AS verdict FROM p LEFT JOIN b ON b.page_id = p.page_id
+    """,
     "base_secrets": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         m AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for i, (k, p) in enumerate(_PATTERNS))}),
