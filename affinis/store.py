@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,36 +13,63 @@ from pyspark.sql import DataFrame, SparkSession
 from .shipping import ship
 
 
+#: Folders of applications on one machine that name none.
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder of spark.checkpoint.dir.
 
     Only a session of one machine without that setting (a test) gets a temporary folder of its own; on a cluster the setting must be there,
     as other executors don't see what a task writes to its own disk.
     """
-    root = ship(spark).conf.get("spark.checkpoint.dir", None)
+    app = ship(spark).sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app.applicationId)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not app.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="affinis-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="affinis-")
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    for made in _recording:
+    for made in _recordings():
         made.append(path)
     return path
 
 
-_recording: list[list[str]] = []
+_of_thread = threading.local()
+
+
+def _recordings() -> list[list[str]]:
+    """The lists that this thread records into; others' paths are none of its business."""
+    if not hasattr(_of_thread, "lists"):
+        _of_thread.lists = []
+    return _of_thread.lists
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """Lists the paths that scratch() gives meanwhile, for a caller that knows when nothing reads them any more."""
+    """Lists the paths that scratch() gives this thread meanwhile, for a caller that knows when nothing reads them any more."""
     made: list[str] = []
-    _recording.append(made)
+    _recordings().append(made)
     try:
         yield made
     finally:
-        _recording.remove(made)
+        _of_thread.lists = [x for x in _of_thread.lists if x is not made]
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end, also after an error, the folders that scratch() gave in it, but for those that the body puts into the list.
+
+    For work whose result is settled before the end: nothing that is read later may lie in the other folders.
+    """
+    keep: list[str] = []
+    with recorded() as made:
+        try:
+            yield keep
+        finally:
+            for path in made:
+                if path not in keep:
+                    discard(spark, path)
 
 
 def settled(df: DataFrame, level: int = 3, path: str | None = None) -> DataFrame:
