@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..store import discard, recorded, scratch, settled  # noqa: F401  what the operators of this subpackage use
+from ..store import discard, passing, recorded, scratch, settled  # noqa: F401  what the operators of this subpackage use
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

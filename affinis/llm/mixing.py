@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import passing, scratch, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a bin of sampling keys holds; bins of a source are summed apart, then laid end to end.
@@ -109,9 +109,13 @@ def repeated_rows(docs: DataFrame) -> DataFrame:
     Rows alike in id, text and source are told apart by nothing the mix sees: each comes as often as all of them do on average, rounded
     down, and one of them stands for the rest. Columns of docs may have any names.
     """
-    times = mix(settled(_rows(docs, F.xxhash64("text").alias("h")))).select("doc_id", "h", "source", (F.col("epochs") + F.when(F.col("part") * 2 > F.col("size"), 1).otherwise(0)).alias("times"))
-    times = times.groupBy("doc_id", "h", "source").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("rows")).filter("total > 0")
-    times = settled(times.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("source").alias("s"), F.floor(F.col("total") / F.col("rows")).cast("int").alias("each"), (F.col("total") % F.col("rows")).cast("int").alias("rest")))
+    spark = docs.sparkSession
+    # What the rows come from goes at once; the result reads the times alone, whenever it is read.
+    with passing(spark) as keep:
+        times = mix(settled(_rows(docs, F.xxhash64("text").alias("h")))).select("doc_id", "h", "source", (F.col("epochs") + F.when(F.col("part") * 2 > F.col("size"), 1).otherwise(0)).alias("times"))
+        times = times.groupBy("doc_id", "h", "source").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("rows")).filter("total > 0")
+        keep.append(scratch(spark))
+        times = settled(times.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("source").alias("s"), F.floor(F.col("total") / F.col("rows")).cast("int").alias("each"), (F.col("total") % F.col("rows")).cast("int").alias("rest")), path=keep[0])
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "source")
     match = keyed["doc_id"].eqNullSafe(F.col("i")) & (keyed["h"] == F.col("g")) & keyed["source"].eqNullSafe(F.col("s"))
     out = keyed.join(times.filter("each > 0"), match).select("row", F.explode(F.sequence(F.lit(1), F.col("each"))))

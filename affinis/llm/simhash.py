@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import discard, portions, scratch, settled
+from .common import discard, passing, portions, scratch, settled
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Blocks of more fingerprints are divided again, by 6 more bits at least.
@@ -472,12 +472,17 @@ def near_duplicates(docs: DataFrame, similarity: float | None = SIMILAR) -> Data
 def keep_one(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """The rows of docs without all but one of each component of similar_groups: that of its smallest doc_id, once.
 
-    Of rows that share that id, those of the smallest text hash; of equal rows, one.
+    Of rows that share that id, those of the smallest text hash; of equal rows, one. Null and wordless texts are alike, so one of them stays; whole texts are read,
+    however long; an empty table stays empty; columns of any names go along.
     """
-    found = similar_groups(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # The rows that bear a component's name are few, whatever its size, unless ids repeat; counting comes first.
-    counted = found.groupBy("root", "doc_id", "text_hash").count()
-    one = settled(counted.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "count")).alias("s")).select("s.doc_id", "s.text_hash", "s.count"))
+    spark = ship(docs.sparkSession)
+    # What is kept is one small row for each component; what led there goes at once, so the result reads nothing else, whenever it is read.
+    with passing(spark) as keep:
+        found = similar_groups(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        # The rows that bear a component's name are few, whatever its size, unless ids repeat; counting comes first.
+        counted = found.groupBy("root", "doc_id", "text_hash").count()
+        keep.append(scratch(spark))
+        one = settled(counted.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "count")).alias("s")).select("s.doc_id", "s.text_hash", "s.count"), path=keep[0])
     # Every text goes with its hash, and null texts with one of their own, so a row of docs has one (id, hash).
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     match = lambda ids: rows.join(ids.hint("merge"), rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["text_hash"] == ids["text_hash"]), "left_semi")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import portions, scratch, settled
+from .common import passing, portions, scratch, settled
 
 #: Folder of the vocabulary files; any other path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -186,6 +186,12 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
     spark = ship(docs.sparkSession)
     _, end = encoder(vocabulary)
     kind = "<u2" if end < 1 << 16 else "<u4"
+    with passing(spark) as keep:  # tokens and places are read by the shards' tasks alone
+        return _shards(docs, folder, key, vocabulary, length, shard, end, kind, keep)
+
+
+def _shards(docs: DataFrame, folder: str, key: str, vocabulary: str, length: int, shard: int, end: int, kind: str, keep: list[str]) -> DataFrame:
+    spark = docs.sparkSession
     wide = np.dtype(kind).itemsize
     rows = settled(tokenized(docs, vocabulary), level=9)
     index = scratch(spark)
@@ -269,7 +275,8 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
     # Whole shards go to a task: range partitions of slots, which end where shards do.
     parts = max(1, min(shards, 100_000))
     dealt = pieces.repartitionById(parts, F.floor(F.col("shard") * parts / F.lit(max(1, shards))).cast("int")).sortWithinPartitions("shard", "slot", "at")
-    return settled(dealt.mapInArrow(put, "slot long, shard long, position int, path string, sequence long, n_tokens long, doc_ids array<long>, sha256 string"))
+    keep.append(scratch(spark))
+    return settled(dealt.mapInArrow(put, "slot long, shard long, position int, path string, sequence long, n_tokens long, doc_ids array<long>, sha256 string"), path=keep[0])
 
 
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, portions, row_and_text, sample_labelled
+from .common import fold, one_per_id, portions, row_and_text, sample_labelled
 from .qda import _platt
 
 #: Letters are a to z (1 to 26); characters outside ASCII share 27 to 31.
@@ -252,7 +252,11 @@ def _give_back() -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 20_000) -> InsultMachine:
-    """Of labelled documents whose crc32 of the id is not 2 modulo 4: at most per_class of either class, of at most most_chars, so the one task that fits on them holds a bounded sample."""
+    """Of labelled documents whose crc32 of the id is not 2 modulo 4: one text of each of at most per_class ids of either class, of at most most_chars.
+
+    So the one task that fits on them holds 2 * per_class texts at most, however often an id is repeated (of its texts that of the smallest hash is taken). Longer texts are scored, but not
+    learnt from. Empty texts are learnt from like others; without documents of both classes the score is the same for all.
+    """
     schema = pa.schema([("weight", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64()), ("odds", pa.float64())])
 
     def work(batches):
@@ -266,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: i
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     # The sample goes to one task, not to the driver, which only gets the weights.
-    found = sample_labelled(docs, labels, "toxic", fold(4) != 2, per_class, most_chars).repartition(1).mapInArrow(work, "weight binary, bias double, slope double, offset double, odds double").collect()
+    rows = sample_labelled(docs, labels, "toxic", fold(4) != 2, per_class, most_chars).withColumn("h", F.xxhash64("text"))
+    found = one_per_id(rows, "text", "h").repartition(1).mapInArrow(work, "weight binary, bias double, slope double, offset double, odds double").collect()
     machine = InsultMachine([], np.zeros(0))
     if found:
         machine.weight, machine.bias, machine.slope, machine.offset = np.frombuffer(found[0].weight), found[0].bias, found[0].slope, found[0].offset
@@ -280,8 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: i
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: list[str] | None = None, **fitting) -> DataFrame:
     """The columns of docs (of keep, if given) as struct `row`, with held_out, score, predicted, for each row.
 
-    Whole texts are scored. Null texts count as empty, whose score is that of a text without insults; empty labels give the
-    score one half; repeated rows are scored alike; the columns of docs are kept in `row`, so no name clashes.
+    Whole texts are scored, a few at a time, however long. Null texts count as empty, whose score is that of a text without insults; empty labels give the
+    score one half; an empty table gives no rows; repeated rows and ids are scored alike; the columns of docs are kept in `row`, so no name clashes.
     """
     machine = fit(docs, labels, **fitting)
     schema = pa.schema([("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

@@ -300,7 +300,7 @@ def test_samples_are_bounded_where_ids_repeat(spark):
 
 def test_a_cluster_must_name_its_folder(spark, monkeypatch):
     class Away:
-        master = "spark://far:7077"
+        master, applicationId = "spark://far:7077", "far"
 
     class Session:
         sparkContext = Away()

@@ -167,3 +167,64 @@ def test_light_edges_are_few(spark):
     known = spelling.settled(spelling.words(spark.createDataFrame(rows, "doc_id long, text string"), least_times=1).withColumn("id", F.monotonically_increasing_id()))
     most = spelling.light_edges(known).groupBy("word").count().agg(F.max("count")).first()[0]
     assert most <= math.log2(known.count())
+
+
+def test_one_text_of_each_id_is_learnt(spark, monkeypatch):
+    """50,000 rows of two labelled ids: two of them reach the task that fits."""
+    from affinis.llm import toxicity
+
+    rows = spark.range(50_000).selectExpr("id % 2 AS doc_id", "concat('you are ', id, if(id % 2 = 1, ' worthless', ' kind')) AS text")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, 1), (None, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fold", lambda n, key="doc_id": F.lit(0))
+    took = []
+    real = toxicity.one_per_id
+    monkeypatch.setattr(toxicity, "one_per_id", lambda *a: took.append(real(*a)) or took[-1])
+    machine = toxicity.fit(rows, labels, per_class=5)
+    assert sorted(r.doc_id for r in took[0].collect()) == [0, 1] and machine.slope >= 0
+    assert toxicity.toxicity_scores(rows.limit(10), labels, per_class=5).count() == 10
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def corpus(spark, tmp_path):
+    def say(seed, n):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice(urls.SYLLABLES) for _ in range(3)) for _ in range(n))
+
+    rows = [(i, say(i % 20, 80), "en", f"s{i % 3}", 1) for i in range(40)] + [(50, say(90, 5) + " " + say(99, 60), "en", "s0", 1)]
+    for name, data, schema in (("documents", rows, DOCS), ("labels", [(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, say(99, 60))], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_can_be_read_at_any_time(spark, corpus):
+    """Results of earlier stages stay readable after later ones were built; two chains don't disturb each other."""
+    import corpus_pipeline
+
+    chains = []
+    for _ in range(2):
+        docs, held = spark.read.parquet(f"{corpus}/documents.parquet"), []
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, corpus)
+            held.append(docs)
+        chains.append(held)
+    counts = [[d.count() for d in held] for held in chains]
+    assert counts[0] == counts[1] and counts[0][0] == 41 and counts[0][1] == 21 and counts[0][2] == 20 and counts[0][4] > 0
+
+
+def test_run_leaves_the_shards_and_its_result(spark, corpus, monkeypatch):
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    root = Path(spelling.settled(spark.range(1)).inputFiles()[0].removeprefix("file:")).parent.parent
+    before = set(root.iterdir())
+    out = corpus_pipeline.run(spark, corpus)
+    left = set(root.iterdir())
+    assert out.count() > 0 and len(left - before) == 2 and sum((p / "manifest.json").exists() for p in left - before) == 1
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("broken", lambda *a: 1 / 0), corpus_pipeline.STAGES[-1]])
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, corpus)
+    assert set(root.iterdir()) == left
