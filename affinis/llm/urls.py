@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST, PATH = "://([^/?#]*)", "://[^/?#]*([^?#]*)"
 #: (verdict, rule); a rule is a host and the beginning of a path.
@@ -97,7 +99,10 @@ def fit(labelled: DataFrame) -> LogisticRegressionModel | float:
     if not n or share in (0.0, 1.0):
         return 0.0 if not n else share
     rows = gram_features(rows).coalesce(1).sortWithinPartitions("__host", "__path", "label")
-    return LogisticRegression(featuresCol="__features", labelCol="label", regParam=3e-5, standardization=False, maxIter=60).fit(rows)
+    fitted = LogisticRegression(featuresCol="__features", labelCol="label", regParam=3e-5, standardization=False, maxIter=60).fit(rows)
+    # Written and read back, the model goes to the executors without the summary of its training, and the session that hangs on it.
+    fitted.save(path := scratch(labelled.sparkSession))
+    return LogisticRegressionModel.load(path)
 
 
 def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
