@@ -7,9 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+from . import places
+from .places import finite
 
 
 def ppm_error(observed: Column, expected: Column) -> Column:
@@ -24,10 +23,10 @@ def _window(queries: DataFrame, library: DataFrame, low: Column, high: Column, b
     broadcasts a side below its threshold, else merges, and splits hot buckets.
     """
     q = queries.filter(finite(F.col("mass"))).withColumnRenamed("mass", "query_mass")
-    q = q.withColumn("low", low).withColumn("high", high)
-    q = q.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
-    c = library.filter(finite(F.col("mass")) & (F.col("mass") > 0)).withColumn("bucket", bucket(F.col("mass")))
-    return q.join(c, "bucket").filter(F.col("mass").between(F.col("low"), F.col("high"))).drop("bucket", "low", "high")
+    q = q.withColumn("__low", low).withColumn("__high", high)
+    q = q.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__low")), bucket(F.col("__high")))))
+    c = library.filter(finite(F.col("mass")) & (F.col("mass") > 0)).withColumn("__bucket", bucket(F.col("mass")))
+    return q.join(c, "__bucket").filter(F.col("mass").between(F.col("__low"), F.col("__high"))).drop("__bucket", "__low", "__high")
 
 
 def library_window(queries: DataFrame, library: DataFrame, ppm: float) -> DataFrame:
@@ -35,11 +34,11 @@ def library_window(queries: DataFrame, library: DataFrame, ppm: float) -> DataFr
     if ppm < 0:
         raise ValueError("ppm must not be negative")
     width = math.log1p(4e-6 * ppm) or 1e-9
-    sided = lambda df: df.filter(finite(F.col("mass")) & (F.col("mass") != 0)).withColumn("side", F.signum("mass")).withColumn("mass", F.abs("mass"))
+    sided = lambda df: df.filter(finite(F.col("mass")) & (F.col("mass") != 0)).withColumn("__side", F.signum("mass")).withColumn("mass", F.abs("mass"))
     half = F.col("query_mass") * ppm * 1e-6
-    q = sided(queries).withColumnRenamed("side", "query_side")
+    q = sided(queries).withColumnRenamed("__side", "__query_side")
     pairs = _window(q, sided(library), F.col("query_mass") - half, F.col("query_mass") + half, lambda m: F.floor(F.log(m) / width))
-    return pairs.filter("side = query_side").withColumn("mass", F.col("side") * F.col("mass")).withColumn("query_mass", F.col("side") * F.col("query_mass")).drop("side", "query_side")
+    return pairs.filter("__side = __query_side").withColumn("mass", F.col("__side") * F.col("mass")).withColumn("query_mass", F.col("__side") * F.col("query_mass")).drop("__side", "__query_side")
 
 
 def mass_window(queries: DataFrame, library: DataFrame, ppm: float) -> DataFrame:
@@ -81,55 +80,19 @@ def channels(queries: DataFrame, library: DataFrame, tolerances: list[float]) ->
 def widened(queries: DataFrame, library: DataFrame, narrow: float, wide: float, query: str = "qid") -> DataFrame:
     """The narrow window's pairs; for queries without any, those of the wide one. fallback tells which. One join at the wide tolerance gives both."""
     inside = F.abs(F.col("mass") - F.col("query_mass")) <= F.col("query_mass") * narrow * 1e-6
-    pairs = mass_window(queries, library, max(narrow, wide)).withColumn("inside", inside)
-    return _any(pairs, F.col("inside"), query).filter(F.col("inside") | ~F.col("some")).withColumn("fallback", ~F.col("some")).drop("inside", "some")
+    pairs = mass_window(queries, library, max(narrow, wide)).withColumn("__inside", inside)
+    return _any(pairs, F.col("__inside"), query).filter(F.col("__inside") | ~F.col("__some")).withColumn("fallback", ~F.col("__some")).drop("__inside", "__some")
 
 
 def _any(pairs: DataFrame, holds: Column, query: str) -> DataFrame:
-    """pairs with `some`: whether any pair of the query holds. The flag is combined at the map side and joined back, so a query's pairs need not meet."""
-    some = pairs.groupBy(query).agg(F.max(F.coalesce(holds, F.lit(False))).alias("some"))
+    """pairs with `__some`: whether any pair of the query holds. The flag is combined at the map side and joined back, so a query's pairs need not meet."""
+    some = pairs.groupBy(query).agg(F.max(F.coalesce(holds, F.lit(False))).alias("__some"))
     return pairs.join(some, query)
 
 
-#: Distinct masses whose places one task counts.
-RANGE_MASSES = 1 << 20
-
-
-def nearest_positions(queries: DataFrame, library: DataFrame, k: int, range_masses: int = RANGE_MASSES) -> DataFrame:
-    """For each query the k library rows around its place in the order of (mass, cid), k // 2 before it, moved in at the ends.
-
-    The distinct masses are counted in ranges, whose sums come to the driver (a number for each range_masses masses); a query finds its
-    place inside its range. Of a mass only the first and the last k rows can be wanted, so no mass, however common, is ordered
-    whole; a join on places follows. Queries without a finite mass have no place.
-    """
-    library = library.filter(finite(F.col("mass")))
-    masses = library.groupBy("mass").agg(F.count(F.lit(1)).alias("n"))
-    number = masses.count()
-    parts = -(-number // range_masses)
-    cuts = sorted(set(masses.approxQuantile("mass", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    range_of = lambda c: F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, x: acc + (c >= x).cast("int")) if cuts else F.lit(0)
-    masses = masses.withColumn("range", range_of(F.col("mass")))
-    sums = dict(masses.groupBy("range").agg(F.sum("n").alias("n")).collect())
-    total = sum(sums.values())
-    starts = [sum(sums.get(j, 0) for j in range(i)) for i in range(len(cuts) + 2)]
-    start = lambda c: F.element_at(F.array(*[F.lit(x) for x in starts]), c + 1)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("mass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = masses.withColumn("first", start(F.col("range")) + before)
-    # A query stands before the first mass that is not below its own; where its range has none, before the next range.
-    marks = queries.filter(finite(F.col("mass"))).select("mass").distinct().select("mass", range_of(F.col("mass")).alias("range"), F.lit(None).cast("long").alias("first"))
-    after = Window.partitionBy("range").orderBy(F.col("mass").desc(), F.col("first").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    centre = F.coalesce(F.last("first", ignorenulls=True).over(after), start(F.col("range") + 1))
-    centres = marks.unionByName(placed.select("mass", "range", "first")).withColumn("centre", centre).filter("first is null").select(F.col("mass").alias("query_mass"), "centre")
-    left = F.greatest(F.lit(0), F.col("centre") - max(1, k // 2))
-    left = F.greatest(F.lit(0), F.least(left + k, F.lit(total)) - k)
-    wanted = queries.withColumnRenamed("mass", "query_mass").join(centres, "query_mass").withColumn("left", left).filter(F.lit(total > 0))
-    wanted = wanted.withColumn("place", F.explode(F.sequence("left", F.least(F.col("left") + k, F.lit(total)) - 1))).drop("left", "centre")
-    numbered = lambda *order: F.row_number().over(Window.partitionBy("mass").orderBy(*order))
-    ends = library.withColumn("at", numbered("cid")).filter(F.col("at") <= k).unionByName(library.withColumn("back", numbered(F.col("cid").desc())).filter(F.col("back") <= k).withColumn("at", -F.col("back")).drop("back"))
-    ends = ends.join(placed.select("mass", "first", "n"), "mass").withColumn("at", F.when(F.col("at") < 0, F.col("n") + F.col("at")).otherwise(F.col("at") - 1))
-    # A row among the first and the last of a mass comes once.
-    ends = ends.withColumn("place", F.col("first") + F.col("at")).drop("first", "n", "at").dropDuplicates(["place"])
-    return wanted.join(ends, "place").drop("place")
+def nearest_positions(queries: DataFrame, library: DataFrame, k: int, size: int = places.BLOCK) -> DataFrame:
+    """For each query the k library rows around its place in the order of (mass, cid), k // 2 before it, moved in at the ends. Queries without a finite mass have no place."""
+    return places.nearest(queries, library, k, size)
 
 
 def mass_and_formula(queries: DataFrame, library: DataFrame, ppm: float) -> DataFrame:
@@ -150,7 +113,7 @@ def polarity(mode: Column, adduct: Column) -> Column:
 def same_or_any(pairs: DataFrame, same: Column, query: str = "qid") -> DataFrame:
     """Of each query the pairs for which `same` holds; all its pairs where it holds for none. A comparison with null doesn't hold."""
     holds = F.coalesce(same, F.lit(False))
-    return _any(pairs, holds, query).filter(holds | ~F.col("some")).drop("some")
+    return _any(pairs, holds, query).filter(holds | ~F.col("__some")).drop("__some")
 
 
 def analogs_of(candidates: DataFrame, analogs: DataFrame, most: int = 100, query: str = "query") -> DataFrame:

@@ -119,11 +119,13 @@ def pruned(rows: DataFrame, primary: Column, wide_rank: str, n: int, order: list
 
 def systematic(rows: DataFrame, k: int, group: list[str], *order: Column) -> DataFrame:
     """k rows of each group at equal steps of its order: places floor(i (n - 1) / (k - 1)), i from 0 to k - 1; all rows of a group of k or fewer."""
-    w = Window.partitionBy(*group)
-    rows = ranked(rows, group, *order, name="place").withColumn("n", F.count(F.lit(1)).over(w))
-    at, n = F.col("place") - 1, F.col("n")
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    rows = ranked(rows, group, *order, name="__place").withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    at, n = F.col("__place") - 1, F.col("__n")
     i = F.ceil(at * (k - 1) / F.greatest(n - 1, F.lit(1)))
-    return rows.filter((n <= k) | ((i < k) & (F.floor(i * (n - 1) / (k - 1)) == at))).drop("place", "n")
+    drawn = (i < k) & (F.floor(i * (n - 1) / (k - 1)) == at) if k > 1 else at == 0
+    return rows.filter((n <= k) | drawn).drop("__place", "__n")
 
 
 def draw(key: str, seed: int) -> Column:
