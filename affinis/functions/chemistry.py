@@ -1,8 +1,7 @@
-"""Structure chemistry behind a protocol: precomputed columns, or a toolkit if one can be imported; else an error, never a guess."""
+"""Structure chemistry behind a protocol: what a table of precomputed structures says, or another backend of the caller; never a guess."""
 
 from __future__ import annotations
 
-import importlib.util
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -15,8 +14,6 @@ MORE = {
     "words": "array<bigint>", "candidate_heteroatom_count": "double", "candidate_ring_count": "double", "candidate_aromatic_fraction": "double", "candidate_logp": "double",
     "fragments": "array<double>", "losses": "array<double>", "plain_smiles": "string",
 }
-# Common neutral losses NH3, H2O, CO, CH2O, CO2, CH2O2.
-LOSSES = (17.026549101, 18.010564684, 27.994914620, 30.010564684, 43.989829240, 46.005479304)
 
 
 class Backend(Protocol):
@@ -40,73 +37,6 @@ class Precomputed:
         return structures.join(self.known.select("smiles", *MORE), "smiles", "left")
 
 
-class Toolkit:
-    """The cheminformatics toolkit of the workers; raises at once where it is not installed."""
-
-    def __init__(self):
-        if importlib.util.find_spec("rdkit") is None:
-            raise RuntimeError("no chemistry toolkit is installed; give a table of precomputed structures instead")
-
-    def describe(self, structures: DataFrame) -> DataFrame:
-        import pandas as pd
-
-        def work(batches):
-            from rdkit import Chem
-            from rdkit.Chem import Descriptors, rdMolDescriptors
-            from rdkit.Chem.Scaffolds import MurckoScaffold
-
-            for pdf in batches:
-                rows = []
-                for s in pdf["smiles"]:
-                    m = Chem.MolFromSmiles(s) if s else None
-                    rows.append((s, *([None] * 5)) if m is None else (s, Chem.MolToSmiles(m), Chem.MolToInchiKey(m)[:14], rdMolDescriptors.CalcMolFormula(m), Descriptors.ExactMolWt(m), MurckoScaffold.MurckoScaffoldSmiles(mol=m)))
-                yield pd.DataFrame(rows, columns=["smiles", *COLUMNS])
-
-        return structures.mapInPandas(work, "smiles string, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
-
-    def more(self, structures: DataFrame, radius: int = 2, bits: int = 2048, bonds: int = 32, least: float = 15.0) -> DataFrame:
-        import pandas as pd
-
-        def work(batches):
-            from rdkit import Chem
-
-            for pdf in batches:
-                rows = []
-                for s in pdf["smiles"]:
-                    m = Chem.MolFromSmiles(s) if s else None
-                    rows.append((s, *([None] * len(MORE))) if m is None else (s, *_properties(m, radius, bits, bonds, least)))
-                yield pd.DataFrame(rows, columns=["smiles", *MORE])
-
-        return structures.mapInPandas(work, "smiles string, " + ", ".join(f"{k} {v}" for k, v in MORE.items()))
-
-
-def _properties(m, radius: int, bits: int, bonds: int, least: float) -> tuple:
-    """The values of MORE for a molecule of the toolkit."""
-    import numpy as np
-    from rdkit import Chem
-    from rdkit.Chem import Descriptors, Lipinski, rdFingerprintGenerator, rdMolDescriptors
-
-    on = np.zeros(bits, np.uint8)
-    on[list(rdFingerprintGenerator.GetMorganGenerator(radius=radius, fpSize=bits).GetFingerprint(m).GetOnBits())] = 1
-    words = np.packbits(on, bitorder="little").view("<i8").tolist()
-    aromatic = sum(a.GetIsAromatic() for a in m.GetAtoms()) / max(1, m.GetNumHeavyAtoms())
-    whole = rdMolDescriptors.CalcExactMolWt(m)
-    pieces = {whole - x for x in LOSSES}
-    cuts = [b.GetIdx() for b in m.GetBonds() if b.GetBondType() == Chem.BondType.SINGLE and not b.IsInRing()]
-    for cut in cuts[:bonds]:
-        try:
-            parts = Chem.GetMolFrags(Chem.FragmentOnBonds(m, [cut], addDummies=False), asMols=True)
-        except Chem.rdchem.MolSanitizeException:
-            continue  # a bond whose halves are no molecules gives no fragment
-        pieces.update(x for x in map(rdMolDescriptors.CalcExactMolWt, parts) if x < whole - 0.5)
-    fragments = sorted({round(x, 6) for x in pieces if x >= least})
-    losses = sorted({*LOSSES, *(whole - x for x in fragments if x < whole)})
-    bare = Chem.Mol(m)
-    for atom in bare.GetAtoms():
-        atom.SetIsotope(0)
-    return words, float(Lipinski.NumHeteroatoms(m)), float(Lipinski.RingCount(m)), aromatic, Descriptors.MolLogP(m), fragments, losses, Chem.MolToSmiles(bare)
-
-
 def described(rows: DataFrame, backend: Backend, column: str = "smiles") -> DataFrame:
     """rows with COLUMNS of their structure; each distinct structure is worked on once. An acyclic scaffold is named after the key."""
     once = backend.describe(rows.select(F.col(column).alias("smiles")).filter("smiles is not null").distinct())

@@ -41,7 +41,7 @@ _FOLDED = ", ".join(f"round({f}({n}), 6) AS fragment_{n}_{how}" for n in kernels
 
 @query(f"WITH {_FLAGGED} SELECT o_custkey, 1::DOUBLE AS fragment_scored, max(theoretical)::DOUBLE AS fragment_theoretical_count, {_FOLDED} FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY a) AS r FROM g) WHERE r <= 8 GROUP BY o_custkey")
 def fragment_features(spark, d):
-    """14 features of the first eight spectra of a customer."""
+    """14 features of eight spectra of a customer, the first by key."""
     owner = t(spark, d, "orders").select(F.col("o_orderkey").alias("a"), "o_custkey")
     rows = features.fragment_features(_scores(spark, d).join(owner, "a").withColumnRenamed("a", "spectrum"), ["o_custkey"])
     return rows.select("o_custkey", *[F.round(c, 6).alias(c) for c in features.FRAGMENT_FEATURES])
@@ -263,7 +263,7 @@ def richest_three(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber)::INTEGER AS rank FROM lineitem")
 def first_ranks(spark, d):
-    """Ranks whose ties go by the order of the input, of which the line number tells."""
+    """Ranks whose ties go by the line number, a column that stands for the order of the input."""
     return ranking.ranked(t(spark, d, "lineitem"), ["l_orderkey"], F.col("l_quantity").desc(), F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "rank")
 
 
@@ -333,7 +333,7 @@ def preprocessed_spectra(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN p_partkey % 5 > 0 THEN 'C' || p_partkey END AS canonical_smiles, CASE WHEN p_partkey % 5 > 0 THEN 'K' || lpad(p_partkey::VARCHAR, 13, '0') END AS inchikey14, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS exact_mass, CASE WHEN p_partkey % 5 = 1 THEN 'ACYCLIC:K' || lpad(p_partkey::VARCHAR, 13, '0') WHEN p_partkey % 5 > 1 THEN p_brand END AS scaffold FROM orders LEFT JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part) + 1")
 def described_structures(spark, d):
-    """Structures looked up in a table of known ones, each once; a fifth is not valid, a fifth has no scaffold."""
+    """Structures looked up in a made-up table of known ones, each once (no structure is read); a fifth is not valid, a fifth has no scaffold."""
     part = t(spark, d, "part")
     smiles = F.concat(F.lit("S"), F.col("p_partkey").cast("string"))
     key = F.concat(F.lit("K"), F.lpad(F.col("p_partkey").cast("string"), 13, "0"))

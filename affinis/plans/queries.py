@@ -346,7 +346,7 @@ def profile_nulls(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def frequency(spark, d):
-    """The most frequent first."""
+    """How often each value comes."""
     return metrics.frequencies(t(spark, d, "events"), "event_type")
 
 

@@ -181,12 +181,7 @@ def test_sources(spark, tmp_path):
     assert [tuple(x) for x in faults] == [("n", "missing")]
 
 
-def test_chemistry_needs_a_backend(spark):
-    try:
-        import rdkit  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError):
-            chemistry.Toolkit()
+def test_structures_come_from_a_table(spark):
     known = spark.createDataFrame([("CCO", "CCO", "AAAAAAAAAAAAAA", "C2H6O", 46.04, "")], "smiles string, canonical_smiles string, inchikey14 string, formula string, exact_mass double, scaffold string")
     rows = spark.createDataFrame([("1", "CCO"), ("2", "CC"), ("3", None)], "id string, smiles string")
     got = {r.id: r.scaffold for r in chemistry.described(rows, chemistry.Precomputed(known)).collect()}
