@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,47 +220,3 @@ def pointwise_ranker(train: DataFrame, features: list[str], target: str = "targe
 
     steps = [VectorAssembler(inputCols=features, outputCol="features"), GBTRegressor(labelCol=target, featuresCol="features", predictionCol="ranker_score", maxIter=trees, maxDepth=depth, seed=1)]
     return Pipeline(stages=steps).fit(train)
-
-
-class Perceptron:
-    """One hidden layer with sigmoid outputs for each bit, fitted by Adam on weighted cross entropy over a bounded sample."""
-
-    def __init__(self, hidden: int = 64, epochs: int = 30, rate: float = 0.01, seed: int = 0):
-        self.hidden, self.epochs, self.rate, self.seed = hidden, epochs, rate, seed
-        self.layers: list[np.ndarray] = []
-
-    def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, c, d = self.layers
-        h = np.maximum(x @ a + b, 0)
-        return h, 1 / (1 + np.exp(-np.clip(h @ c + d, -30, 30)))
-
-    def fit(self, x: np.ndarray, y: np.ndarray, batch: int = 256) -> Perceptron:
-        r = np.random.default_rng(self.seed)
-        self.layers = [r.standard_normal((x.shape[1], self.hidden)) / np.sqrt(x.shape[1]), np.zeros(self.hidden), r.standard_normal((self.hidden, y.shape[1])) / np.sqrt(self.hidden), np.zeros(y.shape[1])]
-        first, second, step = [np.zeros_like(w) for w in self.layers], [np.zeros_like(w) for w in self.layers], 0
-        weight = np.clip((1 - y.mean(0)) / np.maximum(y.mean(0), 1e-3), 1, 10)
-        for _ in range(self.epochs):
-            order = r.permutation(len(x))
-            for k in range(0, len(x), batch):
-                i = order[k : k + batch]
-                h, p = self._forward(x[i])
-                g = (p - y[i]) * np.where(y[i] > 0, weight, 1) / len(i)
-                back = (g @ self.layers[2].T) * (h > 0)
-                step += 1
-                for n, grad in enumerate((x[i].T @ back, back.sum(0), h.T @ g, g.sum(0))):
-                    first[n] = 0.9 * first[n] + 0.1 * grad
-                    second[n] = 0.999 * second[n] + 0.001 * grad**2
-                    self.layers[n] -= self.rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
-        return self
-
-    def predict(self, rows: DataFrame, key: str, vector: str) -> DataFrame:
-        """key and probability vector p, in Arrow batches on the executors."""
-
-        def work(batches):
-            for pdf in batches:
-                p = self._forward(np.stack(pdf[vector]).astype(float))[1] if len(pdf) else []
-                yield pd.DataFrame({key: pdf[key], "p": list(p)})
-
-        return rows.select(key, vector).mapInPandas(work, f"{key} {rows.schema[key].dataType.simpleString()}, p array<double>")
-
-

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import features, listwise, metrics, ranking, retrieval
+from ..operators import evidence, features, listwise, metrics, network, ranking, retrieval
 from ..store import settled
 from . import spectral_sql as sql
 from .queries import _CANDIDATES, _CHANNELS, _RANKED, _TRUTH, candidates_of, channels_of, r6, ranked_of, spectra_of, t, truth_of
@@ -224,10 +223,22 @@ def ranker_importance(spark, d):
     return model.importance(spark).select("feature", F.round("gain", 6).alias("gain"), "splits")
 
 
+def _bit_network(spark: SparkSession, d: str) -> tuple[DataFrame, network.Network]:
+    rows = t(spark, d, "embeddings")
+    known = rows.withColumn("bits", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int")))
+    return rows, network.fit(known, "vec_id", "embedding", "bits", hidden=(32,), epochs=6, batches=2, rate=0.02)
+
+
 @query()
 def bit_perceptron(spark, d):
-    """M1, M2: embeddings predict a one-hot of their label; fitted on at most 2000 rows by hash."""
-    rows = t(spark, d, "embeddings")
-    sample = ranking.hash_sample(rows.select("vec_id", "embedding", "label"), 2000, "vec_id").toPandas()
-    net = features.Perceptron(hidden=32, epochs=10).fit(np.stack(sample.embedding).astype(float), np.eye(10)[sample.label])
+    """M1, M2: embeddings predict a one-hot of their label; fitted on all rows but those held out to end the training."""
+    rows, net = _bit_network(spark, d)
     return net.predict(rows, "vec_id", "embedding").select("vec_id", F.transform("p", lambda x: F.round(x, 4)).alias("p"))
+
+
+@query()
+def pooled_network(spark, d):
+    """The probabilities of four vectors at a time, pooled by confidence."""
+    rows, net = _bit_network(spark, d)
+    p = net.predict(rows.withColumn("molecule", F.floor(F.col("vec_id") / 4)), "molecule", "embedding")
+    return evidence.pooled(p, "molecule", "p", weighted=True).select("molecule", "bit", F.round("p", 4).alias("p"))

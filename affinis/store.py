@@ -72,10 +72,10 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
                     discard(spark, path)
 
 
-def settled(df: DataFrame, level: int = 3, path: str | None = None) -> DataFrame:
-    """df, written to the shared folder (to path, if given) and read back: computed once, and safe from lost executors. level: of the compression."""
+def settled(df: DataFrame, level: int = 3, path: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """df, written to the shared folder (to path, if given; in a folder for each value of the columns `by`) and read back: computed once, and safe from lost executors. level: of the compression."""
     path = path or scratch(df.sparkSession)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
