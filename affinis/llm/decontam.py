@@ -62,6 +62,8 @@ class Items:
         self.edits = np.maximum(0, np.minimum((EDITS * size).astype(np.int64), (size - Q) // Q))
         self.least = size + 1 - Q * (self.edits + 1)
         self.step = 2 * self.edits + 1
+        #: What the least demanding item of a gram or more needs; a text that shares fewer grams with all items together holds none of these.
+        self.needed = int(self.least[self.least > 0].min()) if (self.least > 0).any() else 1
         all_grams = [grams(t) for t in self.texts]
         lengths = np.array([len(g) for g in all_grams], np.int64)
         where = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
@@ -93,7 +95,7 @@ class Items:
         at, k = at[same], k[same]
         text = np.searchsorted(starts, at, side="right") - 1
         shared = np.bincount(text, weights=self.count[k], minlength=len(starts))
-        some = shared[text] >= self.least[self.least > 0].min(initial=1)
+        some = shared[text] >= self.needed
         return at[some], k[some], text[some]
 
     def bands(self, data: bytes, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:

@@ -19,6 +19,8 @@ from ..shipping import ship
 from .common import scratch, settled
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Fields for page ids, which readers of other archives pass over.
+PAGE, REFERS = "X-Page-ID", "X-Page-Refers-To"
 #: Equal payloads shorter than this are stored each time.
 LEAST_SHARED = 1000
 #: An archive is closed when it has so many bytes, so that a lost task costs little.
@@ -31,15 +33,24 @@ class WarcError(ValueError):
     """A record that is cut short, wrongly framed, or whose digest does not match."""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A gzip member with one response, or with a revisit that leaves the payload out."""
+def name_of(page_id: int | None, digest: str) -> str:
+    """The record id of the one response that revisits of a payload name."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, named: bool = False) -> bytes:
+    """A gzip member with one response, or with a revisit that leaves the payload out.
+
+    Record ids are unique, however often a page id comes: a random one for each record, but for the one response that others refer to, whose id they can tell; named says that there is
+    one such response, of a revisit as of the response itself. Page ids are in fields of their own.
+    """
     clean = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {name_of(page_id, digest) if named and refers_to is None else f'<urn:uuid:{uuid.uuid4()}>'}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -48,7 +59,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[3:3] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head[3:3] = [f"WARC-Profile: {REVISIT_PROFILE}", *([f"WARC-Refers-To: {name_of(refers_to, digest)}"] if named else []), f"{REFERS}: {refers_to}"]
+    if page_id is not None:
+        head.append(f"{PAGE}: {page_id}")
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
@@ -141,7 +154,7 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
 def page_of(fields: dict[str, str], block: bytes) -> tuple:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in a revisit), record_id.
 
-    Page ids are those of record ids of this writer; others are null, and the record ids tell. The bytes of a revisit's payload are what its HTTP
+    Page ids are those of this writer's fields; those of other writers' records are null, and the record ids tell. The bytes of a revisit's payload are what its HTTP
     head says, null where that says nothing.
     """
     kind, payload = fields["warc-type"], payload_of(fields, block)
@@ -151,28 +164,29 @@ def page_of(fields: dict[str, str], block: bytes) -> tuple:
         size = next((int(x) for x in lengths if x.isdigit()), None)
     digest = fields.get("warc-payload-digest", "")
     digest = _plain(digest.partition(":")[2]) if digest else hashlib.sha1(payload).hexdigest() if kind != "revisit" else None
-    return _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, digest, kind, _number(fields.get("warc-refers-to")), None if kind == "revisit" else payload, fields.get("warc-record-id")
+    return _number(fields.get(PAGE.lower())), fields.get("warc-target-uri"), size, digest, kind, _number(fields.get(REFERS.lower())), None if kind == "revisit" else payload, fields.get("warc-record-id")
 
 
-def _number(name: str | None) -> int | None:
-    number = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if (name or "").startswith("<urn:page:") and number.lstrip("-").isdigit() else None
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.removeprefix("-").isdecimal() else None
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """path, records, bytes of the archives written to folder (a URI that the executors reach), one row each.
 
     Of rows with equal payloads of LEAST_SHARED bytes or more that with the largest page_id is a response, the others revisit
-    it; rows that share that id as well are all responses, as are all rows of a group without ids. Null html is empty. The
+    it, by its record id; rows that share that id as well are all responses (the revisits then name the page alone), as are all rows of a group without ids. Null html is empty. The
     groups are found by digest and size alone, with map-side maxima and a join that can be split, so no group meets in one task.
     An archive is written under another name and then renamed, so a lost or repeated task leaves no half archive.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
-    last = rows.filter(F.col("size") >= LEAST_SHARED).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    each = rows.filter(F.col("size") >= LEAST_SHARED).groupBy("digest", "size", "page_id").agg(F.count(F.lit(1)).alias("times"))
+    last = each.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.sum("times").alias("n"), F.max_by("times", "page_id").alias("times")).filter("n > 1").drop("n")
     rows = rows.join(last, ["digest", "size"], "left")
     rows = rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")))
+    rows = rows.withColumn("named", F.coalesce(F.col("times") == 1, F.lit(False)))
     schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def work(batches):
@@ -187,7 +201,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             done.append((name, f"{folder}/{name.rpartition('/')[2]}.warc.gz", out[1], out[0].tell()))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "named")), strict=True):
                 out = out or [io.BytesIO(), 0]
                 out[0].write(record(*row))
                 out[1] += 1
@@ -201,7 +215,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*done, strict=True))[1:], schema, strict=True)], schema=schema)
 
-    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(work, "path string, records long, bytes long")
+    return rows.select("page_id", "url", "payload", "digest", "refers_to", "named").mapInArrow(work, "path string, records long, bytes long")
 
 
 _PAGE = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string"

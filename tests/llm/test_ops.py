@@ -351,7 +351,8 @@ def test_foreign_warc(spark, tmp_path):
     good += warc.record(7, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
     (tmp_path / "a.warc.gz").write_bytes(good)
     rows = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}").collect()}
-    assert set(rows) == {"<urn:uuid:response>", "<urn:uuid:revisit>", "<urn:page:7>"} and rows["<urn:page:7>"].page_id == 7
+    own = set(rows) - {"<urn:uuid:response>", "<urn:uuid:revisit>"}
+    assert len(rows) == 3 and [rows[i].page_id for i in own] == [7]
     r = rows["<urn:uuid:response>"]
     assert r.page_id is None and bytes(r.payload) == body and r.payload_digest == hashlib.sha1(body).hexdigest() and r.payload_bytes == len(body)
     assert rows["<urn:uuid:revisit>"].payload_bytes is None and rows["<urn:uuid:revisit>"].payload is None

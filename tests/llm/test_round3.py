@@ -228,3 +228,31 @@ def test_run_leaves_the_shards_and_its_result(spark, corpus, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         corpus_pipeline.run(spark, corpus)
     assert set(root.iterdir()) == left
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    """Repeated and null page ids: no two records share an id, and a revisit names the one response of its payload."""
+    from affinis.llm import warc
+
+    page, other = "<p>" + "x" * 1000, "<p>" + "y" * 1000
+    rows = [(7, "u", page), (9, "u", page), (9, "v", "short"), (None, "u", page), (None, "u", page), (7, "u", page), (3, "u", other), (4, "u", other), (4, "u", other), (-2, "u", "z")]
+    written = spelling.settled(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), f"file://{tmp_path}"))
+    got = warc.read(spark, written).collect()
+    assert len(got) == 10 and len({r.record_id for r in got}) == 10
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == sorted([(7, "revisit", 9), (9, "response", 0), (9, "response", 0), (0, "revisit", 9), (0, "revisit", 9), (7, "revisit", 9), (3, "revisit", 4), (4, "response", 0), (4, "response", 0), (-2, "response", 0)])
+    heads = [f for p in tmp_path.glob("*.warc.gz") for f, _ in warc.records(p.open("rb"))]
+    nine = next(f["warc-record-id"] for f in heads if f.get("x-page-id") == "9" and f["warc-target-uri"] == "u")
+    assert {f["warc-refers-to"] for f in heads if f.get("x-page-refers-to") == "9"} == {nine}
+    assert [f.get("warc-refers-to") for f in heads if f.get("x-page-refers-to") == "4"] == [None]
+
+
+def test_texts_with_too_few_grams_are_left_out_early():
+    from affinis.llm import decontam
+
+    item = " ".join("".join(random.Random(i).choice("abcdefgh") for _ in range(7)) for i in range(12)).encode()
+    items = decontam.Items([(1, item), (2, b"abc")])
+    assert items.needed == items.least[0] > 1
+    part, whole = item[:20], b"x " + item + b" y"
+    data = part + b"\0" * 9 + whole
+    _, _, text = items.hits(data, decontam.np.array([0, len(part) + 9]))
+    assert set(text.tolist()) == {1} and decontam.Items([(2, b"abc")]).needed == 1
