@@ -61,6 +61,28 @@ def support(hits: DataFrame, group: list[str], spectrum: str = "spectrum", libra
     return hits.groupBy(*group).agg(F.max(score).alias("max_score"), F.count_distinct(spectrum).alias("spectra"), F.count_distinct(library).alias("libraries"), F.min(library).alias("first_library"), F.max_by(library, F.struct(F.col(score), -F.col(library))).alias("best_library"))
 
 
+def hit_support(hits: DataFrame, group: list[str], k: int = 3) -> DataFrame:
+    """What the hits of a search say of each group: max and mean of the k highest direct cosines, max modified and neutral-loss cosines, query and library spectra, most matched peaks and
+    explained intensity, least absolute ppm (null where no hit has one), and the library spectrum of the best score, the smallest of equals."""
+    top = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("direct").desc(), "cid", "qid"))
+    rows = hits.withColumn("__r", top)
+    best = F.max_by("cid", F.struct(F.round("score", 9), -F.col("cid")))
+    return rows.groupBy(*group).agg(
+        F.max("direct").alias("max_direct"), F.avg(F.when(F.col("__r") <= k, F.col("direct"))).alias("top_direct"), F.max("modified").alias("max_modified"), F.max("loss").alias("max_loss"), F.count_distinct("qid").alias("spectra"),
+        F.count_distinct("cid").alias("libraries"), F.max("matched").alias("matched"), F.max("explained").alias("explained"), F.min(F.abs("ppm")).alias("least_ppm"), best.alias("best"),
+    )
+
+
+def neutral_mass(spectra: DataFrame, group: str, mass: str = "mass", exact: str | None = None) -> DataFrame:
+    """group and mass: the exact mass where a spectrum tells one (the smallest of several), else the median of the masses that are finite and positive; a group without any is an error that names some."""
+    good = lambda c: F.when(~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < float("inf")), F.col(c))
+    median = F.median(good(mass))
+    found = spectra.groupBy(group).agg((F.coalesce(F.min(good(exact)), median) if exact else median).alias("mass"))
+    if without := [r[0] for r in found.filter("mass IS NULL").select(group).limit(5).collect()]:
+        raise ValueError(f"no usable mass: {without}")
+    return found
+
+
 def context(spectra: DataFrame, group: str, mass: str, adduct: str, positive: Column, energy: str | None = None) -> DataFrame:
     """What is known of a query from its spectra: median mass, how many spectra and different adducts, the share of positive ones, the mean of the finite energies (0 if there is none)."""
     more = []

@@ -212,6 +212,11 @@ def blend_grid(rows: DataFrame, manifest: DataFrame, steps: int = 21, k: int = 2
     return wide.select(parts.alias("x")).select("x.*")
 
 
+def best_weight(grid: DataFrame) -> DataFrame:
+    """The row of blend_grid with the highest mrr (in nine digits); of equal ones that of the largest weight."""
+    return grid.orderBy(F.round("mrr", 9).desc(), F.col("weight").desc()).limit(1)
+
+
 def pointwise_ranker(train: DataFrame, features: list[str], target: str = "target", trees: int = 20, depth: int = 4):
     """Boosted trees on single candidates. A labelled substitute: the reference's list-wise LambdaRank has no counterpart in Spark's library."""
     from pyspark.ml import Pipeline

@@ -66,15 +66,18 @@ def nearest_first(pairs: DataFrame, limit: int, query: str = "qid", tie: str = "
     return pairs.withColumn("mass_rank", F.row_number().over(w)).filter(F.col("mass_rank") <= limit)
 
 
-def channels(queries: DataFrame, library: DataFrame, tolerances: list[float]) -> DataFrame:
-    """One join at the widest tolerance; each pair lists all the tolerances it satisfies, and the least."""
+def channels(queries: DataFrame, library: DataFrame, tolerances: list[float], limit: int | None = None, query: str = "qid", tie: str = "cid") -> DataFrame:
+    """One join at the widest tolerance; each pair lists all the tolerances it satisfies, and the least. limit: of a query's pairs in all channels together only so many are kept, the nearest."""
     if not tolerances or min(tolerances) < 0:
         raise ValueError("tolerances must be given, and not negative")
     pairs = mass_window(queries, library, max(tolerances))
     inside = F.filter(F.array(*[F.lit(float(t)) for t in sorted(tolerances)]), lambda t: F.abs(F.col("mass") - F.col("query_mass")) <= F.col("query_mass") * t * 1e-6)
     # The widest tolerance tells whether any holds. A filter on the list itself, which has a lambda, the optimiser may push below the join.
     widest = F.abs(F.col("mass") - F.col("query_mass")) <= F.col("query_mass") * float(max(tolerances)) * 1e-6
-    return pairs.filter(widest).withColumn("tolerances", inside).withColumn("least_ppm", F.array_min("tolerances"))
+    pairs = pairs.filter(widest)
+    if limit is not None:
+        pairs = nearest_first(pairs, limit, query, tie).drop("mass_rank")
+    return pairs.withColumn("tolerances", inside).withColumn("least_ppm", F.array_min("tolerances"))
 
 
 def widened(queries: DataFrame, library: DataFrame, narrow: float, wide: float, query: str = "qid") -> DataFrame:

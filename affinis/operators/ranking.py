@@ -111,6 +111,11 @@ def gated(ranking: DataFrame, spectral: DataFrame, gate: Column) -> DataFrame:
     return ranked(once, ["query"], F.col("old"), F.col("key")).drop("old")
 
 
+def confident(cosine: str = "max_direct", explained: str = "explained", matched: str = "matched", least: tuple[float, float, int] = (0.90, 0.70, 6)) -> Column:
+    """The threefold gate of a spectral hit: cosine, explained intensity and matched peaks all reach their least; what is null doesn't."""
+    return F.coalesce((F.col(cosine) >= least[0]) & (F.col(explained) >= least[1]) & (F.col(matched) >= least[2]), F.lit(False))
+
+
 def pruned(rows: DataFrame, primary: Column, wide_rank: str, n: int, order: list[Column]) -> DataFrame:
     """Rows that are primary, or among the n best of the wide ranking; ranks and counts made anew."""
     kept = rows.filter(primary | (F.col(wide_rank) <= n))

@@ -33,6 +33,35 @@ def library_search(spark, d):
     return hits.select("qid", "cid", "key", r6(F.col("direct"), "direct"), "matched", r6(F.col("score"), "score"))
 
 
+_SUPPORT = f"""(SELECT query, key, max(direct) AS max_direct, avg(direct) FILTER (r <= 3) AS top_direct, max(modified) AS max_modified, max(loss) AS max_loss, count(DISTINCT qid) AS spectra, count(DISTINCT cid) AS libraries, max(matched)::INTEGER AS matched,
+    max(explained) AS explained, min(ppm) AS least_ppm, arg_max(cid, (round(score, 9), -cid)) AS best FROM (SELECT h.*, abs(1e6 * (a.o_totalprice / 100 - b.o_totalprice / 100) / (b.o_totalprice / 100)) AS ppm, row_number() OVER (PARTITION BY query, key ORDER BY direct DESC, cid, qid) AS r
+    FROM {_HITS} h JOIN orders a ON a.o_orderkey = h.qid JOIN orders b ON b.o_orderkey = h.cid WHERE place <= 10) GROUP BY query, key)"""
+
+
+def supported(spark: SparkSession, d: str) -> DataFrame:
+    """The support of customers by the ten best hits of their orders."""
+    hits = retrieval.search(query_spectra(spark, d), library_spectra(spark, d), ppm=2000.0, tolerance=5.0, top_n=10)
+    return evidence.hit_support(hits, ["query", "key"])
+
+
+@query(f"SELECT query, key, {', '.join(f'round({c}, 6) AS {c}' for c in ('max_direct', 'top_direct', 'max_modified', 'max_loss', 'explained', 'least_ppm'))}, spectra, libraries, matched, best FROM {_SUPPORT}")
+def hit_support(spark, d):
+    """G1: what all hits of a customer's orders say of another one."""
+    digits = ("max_direct", "top_direct", "max_modified", "max_loss", "explained", "least_ppm")
+    return supported(spark, d).select("query", "key", *[r6(F.col(c), c) for c in digits], "spectra", "libraries", "matched", "best")
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(max_direct, 9) DESC, key) AS r FROM {_SUPPORT}), g AS (SELECT query, key FROM s WHERE r = 1 AND max_direct >= 0.5 AND explained >= 0.25 AND matched >= 1),
+    k AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY least_ppm, key) AS rank FROM s), b AS (SELECT query, key, rank, 'ranker' AS source FROM k UNION ALL SELECT query, key, 0, 'gate' FROM g), o AS (SELECT query, key, min((rank, source)) AS b FROM b GROUP BY ALL)
+    SELECT query, key, CAST(row_number() OVER (PARTITION BY query ORDER BY b[1], key) AS INTEGER) AS rank, b[2] AS source FROM o""")
+def threefold_gate(spark, d):
+    """The best spectral hit goes before a ranking by mass where cosine, explained intensity and matched peaks all suffice."""
+    found = settled(supported(spark, d))  # ranked twice
+    spectral = ranking.ranked(found, ["query"], F.round("max_direct", 9).desc(), F.col("key"))
+    by_mass = ranking.ranked(found.select("query", "key", "least_ppm"), ["query"], F.col("least_ppm"), F.col("key"))
+    return ranking.gated(by_mass, spectral, ranking.confident(least=(0.5, 0.25, 1))).select("query", "key", "rank", "source")
+
+
 _ANALOG_HITS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS place FROM {sql.hits('c.mass BETWEEN q.mass - 200 AND q.mass + 200', 5000, 'cid % 100 = 1')}))"
 
 
@@ -160,6 +189,15 @@ def blend_grid(spark, d):
     return features.blend_grid(c.withColumn("mass_score", F.col("s2")).withColumn("score", F.col("s3")), manifest).select(r6(F.col("weight"), "weight"), r6(F.col("mrr"), "mrr"))
 
 
+@query(f"""WITH g AS (WITH r AS (SELECT c.query, w.w, c.key, m.truth, row_number() OVER (PARTITION BY c.query, w.w ORDER BY w.w * s2 + (1 - w.w) * s3 DESC, c.key) AS r FROM {_CANDIDATES} c JOIN {_TRUE} m USING (query), (SELECT i / 20 AS w FROM range(21) x(i)) w)
+    SELECT w AS weight, avg(CASE WHEN r <= 25 THEN 1.0 / r ELSE 0 END) AS mrr FROM r WHERE key = truth GROUP BY w) SELECT round(weight, 6) AS weight, round(mrr, 6) AS mrr FROM g ORDER BY round(mrr, 9) DESC, weight DESC LIMIT 1""")
+def best_blend(spark, d):
+    """the weight of the best MRR, the larger of equals."""
+    c = candidates_of(spark, d)
+    manifest = c.filter("n > 1 OR key % 5 = 0").groupBy("query").agg(F.min("key").alias("truth"))
+    return features.best_weight(features.blend_grid(c.withColumn("mass_score", F.col("s2")).withColumn("score", F.col("s3")), manifest)).select(r6(F.col("weight"), "weight"), r6(F.col("mrr"), "mrr"))
+
+
 @query(f"""WITH h AS (SELECT query, channel, key % 200 AS key, min(rank) AS rank FROM {_CHANNELS} GROUP BY ALL), u AS (SELECT query, 'rrf_union' AS channel, key, row_number() OVER (PARTITION BY query ORDER BY round(sum(1 / (60 + rank)), 12) DESC, key) AS rank FROM h GROUP BY query, key),
     b AS (SELECT * FROM h UNION ALL SELECT * FROM u)
     SELECT channel, k::INTEGER AS cutoff, count(*) AS queries, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END), 6) AS recall FROM (SELECT t.query, c.channel, min(r.rank) AS rank FROM {_TRUTH} t CROSS JOIN (SELECT unnest(['a', 'b', 'c', 'rrf_union']) AS channel) c

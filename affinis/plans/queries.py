@@ -92,6 +92,13 @@ def mass_channels(spark, d):
     return joins.channels(queries_of(spark, d), library_of(spark, d), [20.0, 50.0, 100.0]).select("qid", "cid", "least_ppm", F.size("tolerances").alias("n_tolerances"))
 
 
+@query(f"""SELECT qid, cid, least_ppm FROM (SELECT q.qid, q.mass, c.cid, CASE WHEN {_PPM.format(20)} THEN 20.0 WHEN {_PPM.format(50)} THEN 50.0 ELSE 100.0 END::DOUBLE AS least_ppm, row_number() OVER (PARTITION BY q.qid ORDER BY abs(c.mass - q.mass), c.cid) AS r FROM (SELECT DISTINCT ON (qid) * FROM {_QUERIES} ORDER BY qid, mass) q JOIN {_LIBRARY} c ON {_PPM.format(100)}) WHERE r <= 2""")
+def limited_channels(spark, d):
+    """Of all channels together the two nearest of each query; of line items of one number the cheapest."""
+    q = queries_of(spark, d).groupBy("qid").agg(F.min("mass").alias("mass"))
+    return joins.channels(q, library_of(spark, d).select("cid", "mass"), [20.0, 50.0, 100.0], limit=2).select("qid", "cid", "least_ppm")
+
+
 @query(f"""WITH p AS (SELECT q.qid, c.cid, abs(c.mass - q.mass) <= q.mass * 5 * 1e-6 AS inside FROM {_QUERIES} q JOIN {_LIBRARY} c ON c.mass BETWEEN q.mass - q.mass * 40 * 1e-6 AND q.mass + q.mass * 40 * 1e-6),
     a AS (SELECT *, max(inside) OVER (PARTITION BY qid) AS found FROM p) SELECT qid, cid, NOT found AS fallback FROM a WHERE inside OR NOT found""")
 def wider_fallback(spark, d):
@@ -370,6 +377,21 @@ def submission_strings(spark, d):
     return tables.submission(rows)
 
 
+@query(f"""WITH s AS (SELECT query AS molecule_id, string_agg('P' || key, ';' ORDER BY rank) AS smiles FROM {_RANKED} WHERE rank <= 25 GROUP BY query),
+    b AS (SELECT molecule_id, CASE molecule_id % 5 WHEN 0 THEN smiles || ';' || split_part(smiles, ';', 1) WHEN 1 THEN smiles || '; ' WHEN 2 THEN NULL ELSE smiles END AS smiles FROM s WHERE molecule_id % 7 > 0 UNION ALL SELECT -1, 'P1' UNION ALL SELECT molecule_id, smiles FROM s WHERE molecule_id % 7 = 1)
+    SELECT molecule_id, CASE WHEN smiles IS NULL OR list_contains(list_transform(string_split(smiles, ';'), lambda x: trim(x)), '') THEN 'blank' WHEN len(string_split(smiles, ';')) > 25 THEN 'too_many' ELSE 'repeated_structure' END AS fault FROM b
+    WHERE smiles IS NULL OR list_contains(list_transform(string_split(smiles, ';'), lambda x: trim(x)), '') OR len(string_split(smiles, ';')) > 25 OR len(list_distinct(string_split(smiles, ';'))) < len(string_split(smiles, ';'))
+    UNION ALL SELECT molecule_id, 'missing' FROM s WHERE molecule_id % 7 = 0 UNION ALL SELECT -1, 'unknown' UNION ALL SELECT molecule_id, 'repeated_id' FROM b GROUP BY molecule_id HAVING count(*) > 1""")
+def submission_faults(spark, d):
+    """What is wrong with a submission whose ids are missing, unknown and repeated, and whose lists repeat, are blank or too long."""
+    rows = ranked_of(spark, d).select(F.col("query").alias("molecule_id"), "rank", F.concat(F.lit("P"), F.col("key").cast("string")).alias("smiles"), F.col("key").alias("inchikey14"))
+    good = tables.submission(rows)
+    kind = F.col("molecule_id") % 5
+    text = F.when(kind == 0, F.concat_ws(";", "smiles", F.substring_index("smiles", ";", 1))).when(kind == 1, F.concat("smiles", F.lit("; "))).when(kind == 2, F.lit(None)).otherwise(F.col("smiles"))
+    bad = good.filter("molecule_id % 7 > 0").withColumn("smiles", text).unionByName(good.filter("molecule_id % 7 = 1")).unionByName(good.limit(1).select(F.lit(-1).cast("long").alias("molecule_id"), F.lit("P1").alias("smiles")))
+    return tables.check_submission(bad, good.select("molecule_id"))
+
+
 @query("SELECT vec_id, other, round(CASE WHEN u > 0 THEN i / u ELSE 1 END, 6) AS tanimoto FROM (SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(range(1, 65), lambda k: (a.embedding[k] > 0 AND b.embedding[k] > 0)::INT)) AS i, list_sum(list_transform(range(1, 65), lambda k: (a.embedding[k] > 0 OR b.embedding[k] > 0)::INT)) AS u FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
 def tanimoto(spark, d):
     """Signs of embeddings are bits."""

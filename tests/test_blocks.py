@@ -125,3 +125,19 @@ def test_columns_of_the_caller_stay(spark, sides):
         rows = spark.range(10).selectExpr("id", "1 AS g", "7 AS n", "8 AS place")
         got = ranking.systematic(rows, k, ["g"], F.col("id")).collect()
         assert sorted(r.id for r in got) == places_ and all((r.n, r.place) == (7, 8) for r in got)
+
+
+def test_masses_of_queries(spark):
+    from affinis.operators import evidence
+
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("a", nan, nan), ("b", 5.0, 9.5), ("b", 7.0, 9.0), ("c", -1.0, 2.0)], "query string, mass double, exact double")
+    assert dict(map(tuple, evidence.neutral_mass(rows, "query", exact="exact").collect())) == {"a": 2.0, "b": 9.0, "c": 2.0}
+    for bad in ([("x", None, None)], [("x", nan, inf)], [("x", -3.0, 0.0)]):
+        with pytest.raises(ValueError, match="no usable mass: .'x'"):
+            evidence.neutral_mass(spark.createDataFrame(bad, rows.schema), "query", exact="exact")
+
+
+def test_the_threefold_gate(spark):
+    rows = spark.createDataFrame([(0.9, 0.7, 6), (0.89, 0.7, 6), (0.9, 0.69, 6), (0.9, 0.7, 5), (None, 0.9, 9)], "max_direct double, explained double, matched int")
+    assert [r[0] for r in rows.select(ranking.confident()).collect()] == [True, False, False, False, False]
