@@ -201,7 +201,9 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     holds = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
     base = F.concat(kind(F.filter(found(text, ASSIGN), lambda x: holds(x["m"])), 0), kind(found(text, ACCESS), 1), kind(found(text, HEX), 2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("base", F.array_sort(base))
-    free = rows.select("doc_id", "base", masked(masked(masked(text, ASSIGN, holds), ACCESS), HEX).alias("text"))
+    # Without a base span no pattern has anything to take out; with one, each step's text is made once for the next.
+    free = let(masked(text, ASSIGN, holds), lambda t: let(masked(t, ACCESS), lambda u: masked(u, HEX)))
+    free = rows.select("doc_id", "base", F.when(F.size("base") > 0, free).otherwise(text).alias("text"))
     return free.select("doc_id", "base", F.array_sort(F.concat("base", kind(random_spans(text), 3))).alias("spans"))
 
 
