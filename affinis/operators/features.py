@@ -132,20 +132,20 @@ def by_expected_tanimoto(rows: DataFrame, n: int = 100) -> DataFrame:
     return top_n(scored, ["query"], n, F.round("similarity", 12).desc(), F.col("key")).withColumnRenamed("top_rank", "similarity_rank")
 
 
-def fragment_features(scores: DataFrame, group: list[str], most: int = 8) -> DataFrame:
-    """group and the 14 FRAGMENT_FEATURES: maximum and mean of each score over the first `most` spectra. scores: group, spectrum, theoretical (how many masses), and FRAGMENT_SCORES."""
-    kept = top_n(scores, group, most, F.col("spectrum"))
+def fragment_features(scores: DataFrame, group: list[str], most: int = 8, order: str = "spectrum") -> DataFrame:
+    """group and the 14 FRAGMENT_FEATURES: maximum and mean of each score over the first `most` spectra by `order`. scores: group, spectrum (or another order), theoretical (how many masses), and FRAGMENT_SCORES."""
+    kept = top_n(scores, group, most, F.col(order))
     some = F.max("theoretical") > 0
     values = [F.lit(1.0), F.max("theoretical").cast("double"), *(f(n) for n in FRAGMENT_SCORES for f in (F.max, F.avg))]
     return kept.groupBy(*group).agg(*[F.when(some, v).otherwise(0.0).alias(c) for v, c in zip(values, FRAGMENT_FEATURES, strict=True)])
 
 
-def analog_features(rows: DataFrame) -> DataFrame:
-    """rows (molecule_id, rank, ANALOG_FEATURES) with the 12 ANALOG_RANKING_FEATURES: rank, percentile from zero, z-score, and distance from a query's best; all finite. Ties keep the order of rank."""
-    missing(rows, ("molecule_id", "rank", *ANALOG_FEATURES))
+def analog_features(rows: DataFrame, ties: str = "rank") -> DataFrame:
+    """rows (molecule_id, rank, ANALOG_FEATURES) with the 12 ANALOG_RANKING_FEATURES: rank, percentile from zero, z-score, and distance from a query's best; all finite. Ties keep the order of rank, or of another column."""
+    missing(rows, ("molecule_id", ties, *ANALOG_FEATURES))
     w = Window.partitionBy("molecule_id")
     score = "analog_score_power4"
-    rows = ranked(rows, ["molecule_id"], F.col(score).desc(), F.col("rank"), name="analog_rank")
+    rows = ranked(rows, ["molecule_id"], F.col(score).desc(), F.col(ties), name="analog_rank")
     r, top = F.col("analog_rank"), F.max(score).over(w)
     new = {
         "reciprocal_analog_rank": 1.0 / r, "analog_rank_percentile": percentile_from_zero(r, F.count(F.lit(1)).over(w)), "analog_score_max": top,

@@ -84,20 +84,20 @@ def predict_evaluate(spark, d):
     return m.select(*[F.col(c) if c in ("queries", "median_rank") else F.round(c, 6).alias(c) for c in m.columns])
 
 
-_REPRESENTATIVES = sql.weighted_rows(f"(SELECT key, arg_max(mass, (len(p), -cid)) AS mass, arg_max(mode, (len(p), -cid)) AS mode, arg_max(p, (len(p), -cid)) AS p FROM {sql.LIBRARY} GROUP BY key)", "p", "key, mass, mode", "r")
+_REPRESENTATIVES = sql.weighted_rows(f"(SELECT key, arg_max(mass, (len(p), -cid)) AS mass, arg_max(mode, (len(p), -cid)) AS mode, arg_max(p, (len(p), -cid)) AS p, arg_max(cid, (len(p), -cid)) AS cid FROM {sql.LIBRARY} GROUP BY key)", "p", "key, mass, mode, cid", "r")
 _SEARCHED = sql.weighted_rows(f"(SELECT c.key AS query, m.mass, c.mode, c.p FROM {sql.LIBRARY} c JOIN (SELECT key, median(mass) AS mass FROM {sql.LIBRARY} GROUP BY key) m ON m.key = c.key)", "p", "query, mass, mode", "q")
 
 
-@query(f"""WITH x AS MATERIALIZED (SELECT * FROM {_REPRESENTATIVES}), y AS MATERIALIZED (SELECT * FROM {_SEARCHED}), s AS (SELECT query, key, greatest({sql.similarity('q', 'r', 5, '0')}, CASE WHEN abs(d) > 0.001 THEN {sql.similarity('q', 'r', 5, 'd')} ELSE 0 END) AS s
-    FROM (SELECT y.query, y.q, x.key, x.r, y.mass - x.mass AS d FROM y JOIN x ON x.mass BETWEEN y.mass - 200 AND y.mass + 200 AND x.mode = y.mode AND x.key <> y.query)), b AS (SELECT query, key, max(s) AS s FROM s GROUP BY query, key HAVING round(max(s), 9) > 0)
-    SELECT query, key, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, key) AS place FROM b) WHERE place <= 25""")
+@query(f"""WITH x AS MATERIALIZED (SELECT * FROM {_REPRESENTATIVES}), y AS MATERIALIZED (SELECT * FROM {_SEARCHED}), s AS (SELECT query, key, cid, d, greatest({sql.similarity('q', 'r', 5, '0')}, CASE WHEN abs(d) > 0.001 THEN {sql.similarity('q', 'r', 5, 'd')} ELSE 0 END) AS s
+    FROM (SELECT y.query, y.q, x.key, x.cid, x.r, y.mass - x.mass AS d FROM y JOIN x ON x.mass BETWEEN y.mass - 200 AND y.mass + 200 AND x.mode = y.mode AND x.key <> y.query)), b AS (SELECT query, key, max(s) AS s, any_value(cid) AS cid, any_value(d) AS d FROM s GROUP BY query, key HAVING round(max(s), 9) > 0)
+    SELECT query, key, round(s, 6) AS similarity, cid, round(d, 6) AS mass_delta FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, key) AS place FROM b) WHERE place <= 25""")
 def entropy_search(spark, d):
-    """Customers against richest representatives, themselves excluded."""
+    """Customers against richest representatives, themselves excluded."""
     # Read three times, so made once.
     q = settled(query_spectra(spark, d))
     index = settled(retrieval.representatives(q.withColumnRenamed("qid", "cid").withColumnRenamed("query", "key")))
     own = q.select("query", F.col("query").alias("key")).distinct()
-    return retrieval.entropy_search(q, index, tolerance=5.0, excluded=own).select("query", "key", r6(F.col("similarity"), "similarity"))
+    return retrieval.entropy_search(q, index, tolerance=5.0, excluded=own).select("query", "key", r6(F.col("similarity"), "similarity"), "cid", r6(F.col("mass_delta"), "mass_delta"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), g AS (SELECT n, row_number() OVER (ORDER BY n DESC, o_custkey) AS i FROM s),

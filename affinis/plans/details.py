@@ -267,6 +267,41 @@ def first_ranks(spark, d):
     return ranking.ranked(t(spark, d, "lineitem"), ["l_orderkey"], F.col("l_quantity").desc(), F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "rank")
 
 
+_PLACED = "(SELECT *, row_number() OVER () AS place FROM lineitem)"
+
+
+def ordered_lines(spark, d):
+    """Line items with their place in the input."""
+    return tables.in_input_order(spark, f"{d}/lineitem.parquet")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, place)::INTEGER AS rank FROM {_PLACED}")
+def input_order_ranks(spark, d):
+    """Ranks in a supplier, the first in the input of equals first."""
+    return ranking.ranked(ordered_lines(spark, d), ["l_suppkey"], F.col("l_quantity").desc(), F.col("input_order")).select("l_orderkey", "l_linenumber", "rank")
+
+
+@query(f"SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, place) AS r FROM {_PLACED}) WHERE r = 1")
+def input_order_richest(spark, d):
+    """Of each supplier the row with most, the first in the input of equals."""
+    return ranking.first_of(ordered_lines(spark, d), ["l_suppkey"], F.col("l_quantity").desc(), F.col("input_order")).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_partkey, round(max(l_quantity), 6) AS most, round(avg(l_quantity), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY place) AS r FROM {_PLACED}) WHERE r <= 8 GROUP BY l_partkey")
+def input_order_fragments(spark, d):
+    """Maximum and mean over the first eight rows of each part in the input."""
+    rows = ordered_lines(spark, d).select("l_partkey", "input_order", F.lit(3).alias("theoretical"), *[F.col("l_quantity").cast("double").alias(c) for c in features.FRAGMENT_SCORES])
+    most, mean = features.FRAGMENT_FEATURES[2:4]
+    return features.fragment_features(rows, ["l_partkey"], order="input_order").select("l_partkey", F.round(most, 6).alias("most"), F.round(mean, 6).alias("mean"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, place)::INTEGER AS analog_rank FROM {_PLACED}")
+def input_order_analogs(spark, d):
+    """Analog ranks whose ties keep the order of the input."""
+    rows = ordered_lines(spark, d).select(F.col("l_suppkey").alias("molecule_id"), "l_orderkey", "l_linenumber", "input_order", *[F.col("l_quantity").cast("double").alias(c) for c in features.ANALOG_FEATURES])
+    return features.analog_features(rows, ties="input_order").select("l_orderkey", "l_linenumber", F.col("analog_rank").cast("int").alias("analog_rank"))
+
+
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_type || '; ;' || p_brand || ' ;', ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM part")
 def candidate_list(spark, d):
     """C14."""

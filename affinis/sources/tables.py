@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import json
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import finite
@@ -34,6 +36,25 @@ def read_spectra(spark: SparkSession, path: str, aliases: dict[str, list[str]],
     return rows if molecules is None else rows.filter(F.col(molecule).isin(list(molecules)))
 
 
+def in_input_order(spark: SparkSession, path: str, name: str = "input_order") -> DataFrame:
+    """A Parquet table with `name`, a struct of file and row that sorts as its rows were written: ties go by it where the first of equals is to win. It comes from the files' metadata,
+    so it costs no sort, and any partitioning and any cluster give the same. Files count by their name."""
+    rows = spark.read.parquet(path)
+    if name in rows.columns:
+        raise ValueError(f"the table has a column {name}")
+    return rows.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")).alias(name))
+
+
+def iterated(rows: DataFrame, batch_size: int = 4096, prefetch: bool = True) -> Iterator[list[Row]]:
+    """Lists of batch_size rows, the last one shorter, for a caller who works through a table outside Spark: a partition at a time comes to the driver (with prefetch the next one
+    too), in the order of the partitions, so memory is that of one or two partitions, whatever the table's size. Column pruning and filters of `rows` hold as ever."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    arriving = rows.toLocalIterator(prefetchPartitions=prefetch)
+    while batch := list(islice(arriving, batch_size)):
+        yield batch
+
+
 def read_manifest(spark: SparkSession, path: str, required: list[str] = ("molecule_id",)) -> DataFrame:
     """A CSV of one row for each molecule; required columns that lack are an error, as are repeated ids."""
     rows = spark.read.csv(path, header=True, inferSchema=True)
