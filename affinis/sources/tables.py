@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
+import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import finite
 from ..operators.kernels import cleaned
 from ..operators.ranking import first_of, top_n
+from ..shipping import ship
 
 CANDIDATE = ("candidate_id", "smiles", "canonical_smiles", "inchikey14", "formula", "exact_mass", "source")
 
@@ -113,24 +116,71 @@ def read_sdf(spark: SparkSession, path: str, most: int | None = None) -> DataFra
     return rows if most is None else rows.limit(most)
 
 
-def read_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of .npz files, whose arrays are the columns of schema; arrays of other shapes or lengths are an error. Nothing in them is executed."""
-    empty = spark.createDataFrame([], schema)
+@contextmanager
+def _archive(path: str) -> Iterator[zipfile.ZipFile]:
+    """A zip file on any file system that Arrow knows; only what is asked for is read."""
+    if path.startswith("file:"):
+        system, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_file(at) as file, zipfile.ZipFile(file) as z:
+        yield z
+
+
+def _array_in(z: zipfile.ZipFile, name: str) -> tuple[zipfile.ZipExtFile, int, np.dtype, int]:
+    """A one-dimensional array of an archive as a stream, where its values begin, their type and how many there are."""
+    stream = z.open(f"{name}.npy")
+    version = np.lib.format.read_magic(stream)
+    shape, _, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(stream)
+    if len(shape) != 1:
+        raise ValueError("not one-dimensional arrays of equal length")
+    if kind.hasobject:
+        raise ValueError(f"{name} holds objects, which are not read (allow_pickle is off)")
+    return stream, stream.tell(), kind, shape[0]
+
+
+def read_arrays(spark: SparkSession, path: str, schema: str, rows_per_task: int = 1 << 22, batch_size: int = 1 << 16) -> DataFrame:
+    """Rows of .npz files, whose arrays are the columns of schema; arrays of other shapes or lengths are an error. Nothing in them is executed.
+
+    A file is read in ranges of rows_per_task rows by several tasks, and a range in batches, so that files may be larger than any memory. Where an array is
+    compressed its file is one range, still in batches, as what lies in the middle can't be reached without what comes before.
+    """
+    if rows_per_task < 1 or batch_size < 1:
+        raise ValueError("rows_per_task and batch_size must be at least 1")
+    empty = ship(spark).createDataFrame([], schema)
     names = empty.columns
 
-    def work(batches):
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as arrays:
-                    if missing := sorted(set(names) - set(arrays.files)):
+            for file in batch.column("path").to_pylist():
+                with _archive(file) as z:
+                    if missing := sorted(set(names) - {n.removesuffix(".npy") for n in z.namelist()}):
                         raise ValueError(f"arrays are missing: {missing}")
-                    columns = [arrays[n] for n in names]
-                if any(a.ndim != 1 for a in columns) or len({len(a) for a in columns}) > 1:
+                    rows = {_array_in(z, n)[3] for n in names}
+                    packed = any(z.getinfo(f"{n}.npy").compress_type != zipfile.ZIP_STORED for n in names)
+                if len(rows) > 1:
                     raise ValueError("not one-dimensional arrays of equal length")
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in columns], names=names)
+                (n,) = rows
+                first = np.arange(0, n, n if packed else rows_per_task) if n else np.zeros(0, np.int64)
+                last = np.minimum(first + (n if packed else rows_per_task), n)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(first), pa.string()), pa.array(first), pa.array(last)], names=["path", "first", "last"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(work, empty.schema)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with ExitStack() as held:
+                    # Each array has the file opened for itself, as streams of one archive would share a position.
+                    arrays = [_array_in(held.enter_context(_archive(r["path"])), n) for n in names]
+                    for stream, start, kind, _ in arrays:
+                        stream.seek(start + r["first"] * kind.itemsize)
+                    for at in range(r["first"], r["last"], batch_size):
+                        n = min(batch_size, r["last"] - at)
+                        parts = [np.frombuffer(stream.read(n * kind.itemsize), kind) for stream, _, kind, _ in arrays]
+                        yield pa.RecordBatch.from_arrays([pa.array(a.astype(a.dtype.newbyteorder("="))) for a in parts], names=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path").mapInArrow(ranges, "path string, first long, last long")
+    # A range is a row: spread over tasks by their number, which isn't made smaller because the rows are.
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "first").mapInArrow(work, empty.schema)
 
 
 def save_index(rows: DataFrame, path: str, kind: str, order: str | None = None, **about) -> None:

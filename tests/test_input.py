@@ -1,5 +1,6 @@
 """Order of the input, and iteration in bounded batches."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +35,23 @@ def test_iterated(spark):
     assert len(next(tables.iterated(rows, 5))) == 5
     with pytest.raises(ValueError):
         next(tables.iterated(rows, 0))
+
+
+def test_arrays_in_ranges(spark, tmp_path):
+    n = 1003
+    columns = {"mass": np.arange(n) / 7, "id": np.arange(n), "name": np.array([f"n{i % 11}" for i in range(n)]), "big": np.arange(n, dtype=">i4")}
+    (tmp_path / "a").mkdir()
+    np.savez(tmp_path / "a" / "plain.npz", **columns)
+    np.savez_compressed(tmp_path / "a" / "packed.npz", **{k: v[:200] for k, v in columns.items()})
+    np.savez(tmp_path / "a" / "none.npz", **{k: v[:0] for k, v in columns.items()})
+    rows = tables.read_arrays(spark, str(tmp_path / "a"), "id long, mass double, name string, big int", rows_per_task=100, batch_size=33)
+    want = sorted([(i, i / 7, f"n{i % 11}", i) for i in range(n)] + [(i, i / 7, f"n{i % 11}", i) for i in range(200)])
+    assert sorted(tuple(r) for r in rows.collect()) == want
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r.id for r in tables.read_arrays(spark, str(tmp_path / "a"), "id long").collect()) == [w[0] for w in want]
+    for name, arrays in (("short", {"id": np.arange(3), "mass": np.arange(2.0)}), ("flat", {"id": np.zeros((2, 2), int), "mass": np.arange(2.0)}), ("object", {"id": np.array([{}, 1], object), "mass": np.arange(2.0)}), ("lacks", {"id": np.arange(2)})):
+        np.savez(tmp_path / f"{name}.npz", **arrays)
+        with pytest.raises(Exception, match="equal length|objects|missing"):
+            tables.read_arrays(spark, str(tmp_path / f"{name}.npz"), "id long, mass double").collect()
+    with pytest.raises(ValueError):
+        tables.read_arrays(spark, str(tmp_path), "id long", rows_per_task=0)
