@@ -33,7 +33,9 @@ def screened(queries: DataFrame, library: DataFrame, config: dict) -> DataFrame:
     known = library.select(F.col(c["id"]).alias("cid"), F.col(c["source"]).alias("source"), F.expr(c["mass"]).cast("double").alias("mass"))
     # Rows of one id with different masses are queries of their own.
     asked = asked.select(F.struct("qid", "mass").alias("query"), "mass")
-    pairs = joins.nearest_first(joins.widened(asked, known, config["narrow_ppm"], config["wide_ppm"], query="query"), config["top"], query="query")
+    # A query is its ids and mass, so what is near goes by the mass alone.
+    near = lambda q, c: joins.widened(q.withColumn("at", F.col("mass")), c, config["narrow_ppm"], config["wide_ppm"], query="at")
+    pairs = joins.nearest_in(asked, known, config["top"], near, query=None)
     found = pairs.select("query", F.col("cid").alias("candidate"), "source", F.col("mass").alias("candidate_mass"), joins.ppm_error(F.col("query_mass"), F.col("mass")).alias("ppm"), F.col("mass_rank").cast("int").alias("mass_rank"), F.when(F.col("fallback"), "wide").otherwise("narrow").alias("channel"))
     bare = asked.select("query").join(found.select("query").distinct(), "query", "left_anti").withColumn("channel", F.lit("none"))
     return found.unionByName(bare, allowMissingColumns=True).select("query.qid.*", "query.mass", "candidate", "source", "candidate_mass", "ppm", "mass_rank", "channel")

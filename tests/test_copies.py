@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.operators import blocks, retrieval
+from affinis.operators import blocks, joins, retrieval
 from affinis.operators.places import placed
 
 SPECTRUM = "mass double, peaks array<struct<mz:double,intensity:double>>, mode string"
@@ -50,3 +50,55 @@ def test_blocks_fit_the_windows(spark):
     assert 200 <= places.size <= 800 and len(places.lows) == -(-4000 // places.size)
     assert places.masses.count() == len(places.lows)
     assert [r[0] for r in places.masses.orderBy("__block").selectExpr("__masses[0]").collect()] == places.lows.tolist()
+
+
+def _masses(spark, queries: int = 40, copies: int = 30):
+    """Queries of several copies, one id with two masses, against library rows that repeat each of 20 masses."""
+    q = spark.createDataFrame([(c * 100 + i, 100 + i * 0.003 + 1e-4 * (i % 3)) for c in range(copies) for i in range(queries)] + [(3, 100.05), (4, float("nan")), (5, None), (6, -1.0)], "qid long, mass double")
+    lib = spark.createDataFrame([(c * 100 + i, 100 + i * 0.006, "ab"[i % 2] if i % 5 else None) for c in range(copies) for i in range(20)], "cid long, mass double, formula string")
+    return q, lib
+
+
+def test_nearest_make_few_pairs(spark):
+    q, lib = _masses(spark)
+    made = []
+
+    def window(a, b):
+        made.append(joins.mass_window(a, b, 60.0))
+        return made[-1]
+
+    got = joins.nearest_in(q, lib, 3, window).select("qid", "query_mass", "cid", "mass_rank")
+    want = joins.nearest_first(joins.mass_window(q, lib, 60.0), 3).select("qid", "query_mass", "cid", "mass_rank")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count()
+    assert made[0].count() <= 3 * 41 * 20 < joins.mass_window(q, lib, 60.0).count()
+
+
+def test_lists_of_equal_masses(spark, monkeypatch):
+    q, lib = _masses(spark)
+    monkeypatch.setattr(joins, "ALIKE", 4)  # lists are divided
+    pairs = joins.mass_window(q, lib, 60.0)
+    plain = q.withColumnRenamed("mass", "query_mass").join(lib, (F.col("query_mass") > 0) & F.expr("mass BETWEEN query_mass - query_mass * 60e-6 AND query_mass + query_mass * 60e-6"))
+    assert sorted(pairs.select("qid", "cid").collect()) == sorted(plain.select("qid", "cid").collect())
+    assert max(r[0] for r in joins._listed(lib.drop("formula"), ["mass"]).select(F.size("__alike")).collect()) < 30
+    same = joins.mass_and_formula(lib.withColumnRenamed("cid", "qid"), lib, 60.0)
+    a = lib.select(F.col("cid").alias("qid"), F.col("mass").alias("query_mass"), F.col("formula").alias("f"))
+    want = a.join(lib, F.expr("f = formula AND mass BETWEEN query_mass - query_mass * 60e-6 AND query_mass + query_mass * 60e-6"))
+    assert sorted(same.select("qid", "cid").collect()) == sorted(want.select("qid", "cid").collect())
+    near = joins.formula_near(a.withColumnRenamed("f", "formula"), lib, F.col("query_mass") * (1 - 60e-6), F.col("query_mass") * (1 + 60e-6))
+    assert near.count() == want.count()
+
+
+def test_screening_ranks_before_pairs(spark, monkeypatch):
+    from jobs import screening
+
+    held = []
+    widened = joins.widened
+    monkeypatch.setattr(joins, "widened", lambda q, c, *more, **named: held.append((q.count(), c.count())) or widened(q, c, *more, **named))
+    q, lib = _masses(spark)
+    config = {"query": {"id": ["qid"], "mass": "mass"}, "library": {"id": "cid", "mass": "mass", "source": "formula"}, "narrow_ppm": 5.0, "wide_ppm": 60.0, "top": 2}
+    rows = screening.screened(q, lib, config)
+    assert held and held[0][0] <= 44 and held[0][1] <= 2 * 20
+    asked = q.distinct().withColumn("row", F.struct("qid", "mass"))
+    want = joins.nearest_first(widened(asked.drop("qid"), lib, 5.0, 60.0, query="row"), 2, query="row")
+    assert sorted(rows.filter("channel <> 'none'").select("qid", "mass", "candidate", "mass_rank").collect()) == sorted(want.select("row.qid", "row.mass", "cid", "mass_rank").collect())
+    assert rows.filter("channel = 'none'").count() == asked.count() - want.select("row").distinct().count()
