@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from affinis.operators import metrics, ranking
 from affinis.plans import queries
+from affinis.store import settled
 
 DIR = "/root/testdata/sf0.001"
 
@@ -37,3 +38,11 @@ def test_ranks_of_dealt_channels_feed_the_recall(spark, monkeypatch):
     plain = sorted(map(tuple, metrics.channel_recall(queries.truth_of(spark, DIR).select("query", "truth"), queries.channels_of(spark, DIR), [1, 25]).collect()))
     monkeypatch.setattr(ranking, "TASK_ROWS", 100)
     assert sorted(map(tuple, metrics.channel_recall(queries.truth_of(spark, DIR).select("query", "truth"), queries.channels_of(spark, DIR), [1, 25]).collect())) == plain
+
+
+def test_a_submission_is_made_once_for_all_its_faults(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "settled", lambda rows: made.append(rows) or settled(rows))
+    rows = queries.submission_faults(spark, DIR)
+    assert len(made) == 1
+    assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in rows.inputFiles())
