@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import joins
 from .kernels import FRAGMENT_SCORES, tanimoto
 from .ranking import percentile, percentile_from_zero, ranked, top_n, z_score
@@ -132,6 +135,45 @@ def by_expected_tanimoto(rows: DataFrame, n: int = 100) -> DataFrame:
     return top_n(scored, ["query"], n, F.round("similarity", 12).desc(), F.col("key")).withColumnRenamed("top_rank", "similarity_rank")
 
 
+#: Queries and candidates that a task compares at once.
+COMPARED = (1024, 4096)
+
+
+def nearest_by_expected_tanimoto(queries: DataFrame, candidates: DataFrame, n: int = 100, group: str = "group") -> DataFrame:
+    """by_expected_tanimoto of the pairs with an equal `group`, which never are rows: parts of a group's queries (query, p) meet parts of its candidates (key, bits), and of each the n best go on.
+
+    All pairs are compared, in products of matrices of at most about COMPARED. p and bits have one length and no nulls; rows without a group have no pair.
+    """
+    ship(queries.sparkSession)
+    parts = lambda rows, most, name: rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    of = parts(queries, COMPARED[0], "__m").join(parts(candidates, COMPARED[1], "__k"), group)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+    left = queries.join(of, group).select(F.col(group).alias("__g"), one("query", "__m").alias("__q"), every("__k").alias("__c"), "query", F.col("p").cast("array<double>").alias("p"))
+    right = candidates.join(of, group).select(F.col(group).alias("__g"), every("__m").alias("__q"), one("key", "__k").alias("__c"), "key", F.col("bits").cast("array<double>").alias("bits"))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c, rows in (("query", queries), ("key", candidates))) + ", similarity double"
+
+    def matrix(rows: pa.Table, name: str) -> np.ndarray:
+        return rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+    def work(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            return pa.table({"query": q["query"].slice(0, 0), "key": c["key"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+        c = c.sort_by("key")
+        p, b = matrix(q, "p"), matrix(c, "bits")
+        inter = p @ b.T
+        either = p.sum(axis=1)[:, None] + b.sum(axis=1) - inter
+        similarity = np.divide(inter, either, out=np.ones_like(inter), where=either > 0)
+        # Candidates are in the order of their keys, so a stable sort leaves equal ones in it.
+        best = np.argsort(-np.round(similarity, 12), axis=1, kind="stable")[:, :n]
+        at = np.repeat(np.arange(len(p)), best.shape[1])
+        return pa.table({"query": q["query"].combine_chunks().take(pa.array(at)), "key": c["key"].combine_chunks().take(pa.array(best.ravel())), "similarity": pa.array(similarity[at, best.ravel()])})
+
+    keys = ("__g", "__q", "__c")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+    return top_n(best, ["query"], n, F.round("similarity", 12).desc(), F.col("key")).withColumnRenamed("top_rank", "similarity_rank")
+
+
 def fragment_features(scores: DataFrame, group: list[str], most: int = 8, order: str = "spectrum") -> DataFrame:
     """group and the 14 FRAGMENT_FEATURES: maximum and mean of each score over the first `most` spectra by `order`. scores: group, spectrum (or another order), theoretical (how many masses), and FRAGMENT_SCORES."""
     kept = top_n(scores, group, most, F.col(order))

@@ -94,8 +94,7 @@ def expected_tanimoto_rank(spark, d):
     e = t(spark, d, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label", F.transform("embedding", lambda x: 1 / (1 + F.exp(-x.cast("double")))).alias("p"))
     c = e.select(F.col("vec_id").alias("key"), "label", kernels.unpacked(kernels.packed(F.transform("embedding", lambda x: x > 0)), 64).alias("bits"))
-    rows = q.join(c, "label").withColumn("bits", F.transform("bits", lambda b: b.cast("int")))
-    return features.by_expected_tanimoto(rows, 10).select("query", "key", "similarity_rank", r6(F.col("similarity"), "similarity"))
+    return features.nearest_by_expected_tanimoto(q, c.withColumn("bits", F.transform("bits", lambda b: b.cast("int"))), 10, "label").select("query", "key", "similarity_rank", r6(F.col("similarity"), "similarity"))
 
 
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: (x > 0)::INT)[:50], '') AS bits FROM embeddings")
