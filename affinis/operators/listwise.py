@@ -12,11 +12,12 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..store import passing, settled
+from ..store import passing
 from . import ranking
 
 #: NDCG is measured at these ranks; the last but one ends the training.
@@ -141,41 +142,64 @@ def fit(rows: DataFrame, features: list[str], trees: int = 50, depth: int = 4, r
     _require(rows, ["query", "key", "target", *features])
     if not 2 <= bins <= 256:
         raise ValueError("bins must be 2 to 256")
-    counts = rows.groupBy("query").agg(F.sum(F.col("target").cast("long")).alias("n"), F.max(F.coalesce(~F.col("target").isin(0, 1), F.lit(True))).alias("odd"))
-    seen = counts.agg(F.coalesce(F.max("odd"), F.lit(False)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = rows.groupBy("query").agg(F.sum(F.col("target").cast("long")).alias("n"), F.count(F.lit(1)).alias("size"), F.max(F.coalesce(~F.col("target").isin(0, 1), F.lit(True))).alias("odd"))
+    seen = counts.agg(F.coalesce(F.max("odd"), F.lit(False)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.when(F.col("n") == 1, F.col("size")))).first()
     if seen[0] or seen[1] > 1:
         raise ValueError("targets must be 0 or 1, with one positive in a query at most")
     if seen[2] < 2:
         raise ValueError("at least two queries with a positive are needed")
     with passing(spark):
-        return _fit(rows.join(counts.filter("n = 1").select("query"), "query", "left_semi"), Ranker(list(features)), trees, depth, rate, bins, ridge, least, patience, holdout)
+        return _fit(rows.join(counts.filter("n = 1").select("query"), "query", "left_semi"), Ranker(list(features)), trees, depth, rate, bins, ridge, least, patience, holdout, seen[3])
 
 
-def _fit(rows: DataFrame, model: Ranker, trees: int, depth: int, rate: float, bins: int, ridge: float, least: int, patience: int, holdout: int) -> Ranker:
+def _value(tree: Tree, i: int = 0) -> Column:
+    """A row's value by the tree, from its columns __b0, __b1, ..."""
+    if tree.feature[i] < 0:
+        return F.lit(tree.value[i])
+    return F.when(F.col(f"__b{tree.feature[i]}") > tree.cut[i], _value(tree, 2 * i + 2)).otherwise(_value(tree, 2 * i + 1))
+
+
+def _fit(rows: DataFrame, model: Ranker, trees: int, depth: int, rate: float, bins: int, ridge: float, least: int, patience: int, holdout: int, size: int) -> Ranker:
     n = len(model.features)
     given = rows.select("query", "key", F.col("target").cast("int").alias("target"), (F.pmod(F.xxhash64("query"), F.lit(holdout)) == 0).alias("held"), *_features(model.features))
     finite = given.select("query", "key", "target", "held", *[F.when(F.abs(f"__f{i}") < float("inf"), F.col(f"__f{i}")).otherwise(0.0).alias(f"__f{i}") for i in range(n)])
     cuts = finite.approxQuantile([f"__f{i}" for i in range(n)], [i / bins for i in range(1, bins)], 0.1 / bins) if n else []
     model.cuts = [sorted(set(c)) for c in cuts]
     model.gain, model.splits = [0.0] * n, [0] * n
+    names = ["query", "key", "target", "held", "bins", *[f"__b{i}" for i in range(n)]]
     kinds = "`query` {0}, `key` {1}, target int, held boolean, bins binary".format(*(rows.schema[c].dataType.simpleString() for c in ("query", "key")))
 
     def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = model.binned(_matrix(batch, n))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in made], pa.binary())], names=["query", "key", "target", "held", "bins"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in made], pa.binary()), *(pa.array(c, pa.int16()) for c in made.T)], names=names)
+
+    binned = finite.mapInArrow(bin_rows, ", ".join([kinds, *(f"__b{i} smallint" for i in range(n))]))
+    # Dealt by query once: the windows of all trees find their queries where they lie, and only sort.
+    base = ranking.dealt(binned, size, "query").persist(StorageLevel.DISK_ONLY)
+    try:
+        base.count()
+        return _boosted(base, model, trees, depth, rate, bins, ridge, least, patience)
+    finally:
+        base.unpersist()
 
-    base = settled(finite.mapInArrow(bin_rows, kinds))
-    best = 0
+
+def _boosted(base: DataFrame, model: Ranker, trees: int, depth: int, rate: float, bins: int, ridge: float, least: int, patience: int) -> Ranker:
+    n, best = len(model.features), 0
     while True:
-        with passing(rows.sparkSession):
-            now = settled(lambdas(_scored(base, model, kinds)).select("held", "target", "place", "g", "h", "bins"))
+        score = F.lit(0.0)
+        for t in model.trees:
+            score = score + _value(t)
+        now = lambdas(base.withColumn("score", score)).select("held", "target", "place", "g", "h", "bins").persist(StorageLevel.DISK_ONLY)
+        try:
             model.ndcg.append(_ndcg(now))
             if model.ndcg[-1][-2] > model.ndcg[best][-2]:
                 best = len(model.trees)
             if len(model.trees) == trees or len(model.trees) - best >= patience:
                 break
             grown = _grow(now.filter("NOT held"), model, depth, rate, bins, ridge, least)
+        finally:
+            now.unpersist()
         if grown is None:
             break
         tree, gain, splits, drop = grown
@@ -199,15 +223,6 @@ def _cut_back(model: Ranker, best: int) -> Ranker:
     return model
 
 
-def _scored(base: DataFrame, model: Ranker, kinds: str) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(batch), -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(made))], names=[*batch.schema.names, "score"])
-
-    return base.mapInArrow(work, kinds + ", score double")
-
-
 def _ndcg(now: DataFrame) -> list[float]:
     """Of the held-out queries at CUTOFFS, 0 where there are none. Each has one positive, so its NDCG is 1 / log2(1 + place)."""
     at = [F.avg(F.when(F.col("place") <= c, F.lit(np.log(2.0)) / F.log1p("place")).otherwise(0.0)) for c in CUTOFFS]

@@ -113,3 +113,18 @@ def test_odd_input(spark, tmp_path):
         listwise.Ranker.load(spark, str(tmp_path / "m"), ["b", "a"])
     with pytest.raises(ValueError, match="missing columns"):
         model.score(of(rows).drop("b"))
+
+
+def test_queries_are_dealt_once(spark, monkeypatch):
+    """Trees need no shuffle of the rows: the windows of each find the queries where they lie."""
+    plans, given = [], listwise.lambdas
+
+    def kept(rows, *a):
+        out = given(rows, *a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(listwise, "lambdas", kept)
+    model = listwise.fit(spark.createDataFrame(candidates(3, 60), ROWS), ["a", "b"], trees=3, depth=2, least=2)
+    assert model.trees and len(plans) > 1 and all("Exchange" not in p.split("InMemoryTableScan")[0] for p in plans)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
