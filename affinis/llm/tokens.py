@@ -23,7 +23,10 @@ from .common import passing, portions, scratch, settled
 
 #: Folder of the vocabulary files; any other path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Splits as 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+ does, in less time.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+$|\s+(?!\S)|\s"
+#: Of zstd, for tokens on disk and in the shuffle: higher ones take half as much time again and save half a percent.
+LEVEL = 6
 LENGTH, SHARD = 2048, 1024
 #: Documents, and bytes of each, from which a dictionary for the shuffled pieces is made; bytes of the dictionary.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 << 10
@@ -193,7 +196,7 @@ def materialise(docs: DataFrame, folder: str, key: str = "order", vocabulary: st
 def _shards(docs: DataFrame, folder: str, key: str, vocabulary: str, length: int, shard: int, end: int, kind: str, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     wide = np.dtype(kind).itemsize
-    rows = settled(tokenized(docs, vocabulary), level=9)
+    rows = settled(tokenized(docs, vocabulary), level=LEVEL)
     index = scratch(spark)
     count = rows.count()
     total = places(rows.drop("tokens"), index, count)
@@ -209,7 +212,7 @@ def _shards(docs: DataFrame, folder: str, key: str, vocabulary: str, length: int
 
     def cut(batches):
         fs, base = pyarrow.fs.FileSystem.from_uri(index)
-        pack = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(common) if common else None)
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(common) if common else None)
         now, place = None, {}
         for batch in batches:
             out: list[tuple[int, int, int | None, bytes]] = []

@@ -256,3 +256,18 @@ def test_texts_with_too_few_grams_are_left_out_early():
     data = part + b"\0" * 9 + whole
     _, _, text = items.hits(data, decontam.np.array([0, len(part) + 9]))
     assert set(text.tolist()) == {1} and decontam.Items([(2, b"abc")]).needed == 1
+
+
+def test_pattern_splits_as_the_published_one():
+    """Tokens of odd texts are those of the pattern as published."""
+    import tiktoken
+
+    from affinis.llm import tokens
+
+    ours, end = tokens.encoder(tokens.VOCABULARY)
+    published = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    plain = tiktoken.Encoding("published", pat_str=published, mergeable_ranks=ours._mergeable_ranks, special_tokens={})
+    r = random.Random(4)
+    parts = [" ", "  ", "\n", "\t", "\r\n", " ", " ", "\x0b", "\x85", "'", "'s", "'ll", "'re", "'l", "'D", "''m", "a", "Ünï", "日本", "é", "12", "٣", "½", "...", "-", "_", "\U0001f600", "\x00", "​"]
+    texts = ["", " ", "\n\n", " a ", "it's  we'll \n", *("".join(r.choices(parts, k=r.randrange(1, 40))) for _ in range(5000))]
+    assert [ours.encode_ordinary(t) for t in texts] == [plain.encode_ordinary(t) for t in texts]
