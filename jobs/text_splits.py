@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +22,26 @@ LOG = logging.getLogger("text_splits")
 KEYS = {"folds", "seed", "labels"}
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source, key, first: key names the text, A-Z lower-cased, with single spaces; first marks the smallest doc_id of a key, a null one where there is no other. A null text is an empty one; of repeated rows one stays."""
+def named(documents: DataFrame) -> DataFrame:
+    """The different doc_id, lang, source, key of keyed()."""
     text = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " "))
-    rows = documents.select("doc_id", "lang", "source", F.md5(F.encode(text, "utf-8")).alias("key")).distinct()
+    return documents.select("doc_id", "lang", "source", F.md5(F.encode(text, "utf-8")).alias("key")).distinct()
+
+
+def keyed(documents: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, source, key, first: key names the text, A-Z lower-cased, with single spaces; first marks the smallest doc_id of a key, a null one where there is no other. A null text is an empty one; of repeated rows one stays."""
+    rows = named(documents) if rows is None else rows
     # The smallest of a key is combined at the map side and joined back: a text that many share is no hot group.
     least = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "key").withColumn("first", F.col("doc_id").eqNullSafe(F.col("least"))).drop("least")
 
 
-def splits(documents: DataFrame, labels: DataFrame, config: dict) -> DataFrame:
-    """keyed() with fold and the wanted labels. Groups go by size to the smallest fold; the digest of the seed and the key decides between equal ones. A document with several labels has the largest; without one it has null."""
-    rows = keyed(documents)
+def splits(documents: DataFrame, labels: DataFrame, config: dict, rows: DataFrame | None = None) -> DataFrame:
+    """keyed() with fold and the wanted labels. Groups go by size to the smallest fold; the digest of the seed and the key decides between equal ones. A document with several labels has the largest; without one it has null.
+
+    rows: named() of the documents, where the caller keeps it, as it is read several times.
+    """
+    rows = keyed(documents, rows)
     dealt = retrieval.folds_by_size(rows, "key", config["folds"], config["seed"], order=ranking.draw("key", config["seed"]))
     given = labels.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in config["labels"]])
     return dealt.join(given, "doc_id", "left").select("doc_id", "lang", "source", "key", "first", *config["labels"], "fold")
@@ -42,8 +51,13 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, config: dict
     """Writes splits and report, each replacing the last run's, and returns the splits read back. A key in two folds, or a document that is not written, is an error."""
     ship(spark)
     docs = spark.read.parquet(documents)
-    made = splits(docs, spark.read.parquet(labels), config)
-    made.write.mode("overwrite").partitionBy("fold").parquet(f"{out}/splits")
+    # Texts are read once; what is made of them, without the text, is kept on the executors' disks while folds are dealt.
+    rows = named(docs).persist(StorageLevel.DISK_ONLY)
+    try:
+        made = splits(docs, spark.read.parquet(labels), config, rows)
+        made.write.mode("overwrite").partitionBy("fold").parquet(f"{out}/splits")
+    finally:
+        rows.unpersist()
     back = spark.read.schema(made.schema).parquet(f"{out}/splits")
     if leaks := metrics.in_several_folds(back, "key", "fold").limit(5).collect():
         raise ValueError(f"keys in several folds: {[r[0] for r in leaks]}")

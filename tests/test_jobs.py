@@ -126,6 +126,14 @@ def test_a_leak_is_an_error(spark, tmp_path, monkeypatch):
         text_splits.run(spark, f"{DATA}/documents.parquet", f"{DATA}/labels.parquet", f"file://{tmp_path}/out", SPLIT)
 
 
+def test_texts_are_read_once(spark, tmp_path, monkeypatch):
+    """What is dealt into folds comes from rows that are kept, and they are let go."""
+    real, kept = text_splits.splits, []
+    monkeypatch.setattr(text_splits, "splits", lambda *a: kept.append(a[3].storageLevel.useDisk) or real(*a))
+    text_splits.run(spark, f"{DATA}/documents.parquet", f"{DATA}/labels.parquet", f"file://{tmp_path}/out", SPLIT)
+    assert kept == [True] and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_command_lines(tmp_path):
     shutil.copy(f"{REPO}/jobs/text_splits.json", tmp_path / "c.json")
     call = [sys.executable, "-m", "jobs.text_splits", "--config", str(tmp_path / "c.json"), "--documents", f"{DATA}/documents.parquet", "--labels", f"{DATA}/labels.parquet", "--out", f"file://{tmp_path}/out"]
