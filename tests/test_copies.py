@@ -102,3 +102,25 @@ def test_screening_ranks_before_pairs(spark, monkeypatch):
     want = joins.nearest_first(widened(asked.drop("qid"), lib, 5.0, 60.0, query="row"), 2, query="row")
     assert sorted(rows.filter("channel <> 'none'").select("qid", "mass", "candidate", "mass_rank").collect()) == sorted(want.select("row.qid", "row.mass", "cid", "mass_rank").collect())
     assert rows.filter("channel = 'none'").count() == asked.count() - want.select("row").distinct().count()
+
+
+@pytest.mark.parametrize("more", [[], ["size"]])
+def test_pairs_of_copies_are_dealt_by_rows_made(spark, more):
+    """Rows alike are compared once on either side, and what takes the lists apart has many tasks, though the lists are a few bytes."""
+    lib = spark.range(150).select(F.col("id").alias("cid"), (100.0 + F.col("id") % 3 * 0.001).alias("mass"), F.lit("f").alias("formula"), (F.col("id") % 7).alias("size"))
+    lib = lib.withColumn("cid", F.when(F.col("cid") != 5, F.col("cid"))).select("cid", "mass", "formula", *more)
+    q = lib.withColumnRenamed("cid", "qid").withColumnsRenamed({c: f"q_{c}" for c in more})
+    a = q.withColumnRenamed("mass", "query_mass")
+    near = F.abs(F.col("mass") - F.col("query_mass")) <= F.col("query_mass") * 11e-6
+    want = sorted(map(str, a.join(lib.drop("formula"), near).select("qid", "cid", *more).collect()))
+    assert len(want) == 150 * 150 - 2 * 50 * 50
+    made = {
+        "channels": joins.channels(q.drop("formula"), lib.drop("formula"), [5.0, 11.0]),
+        "formula": joins.mass_and_formula(q, lib, 11.0),
+        "near": joins.formula_near(a, lib, F.col("query_mass") * (1 - 11e-6), F.col("query_mass") * (1 + 11e-6)),
+    }
+    for name, pairs in made.items():
+        assert sorted(map(str, pairs.select("qid", "cid", *more).collect())) == want, name
+        assert pairs.rdd.getNumPartitions() >= joins.DEALT, name
+    told = {(r.mass == r.query_mass, tuple(r.tolerances), r.least_ppm) for r in made["channels"].collect()}
+    assert told == {(True, (5.0, 11.0), 5.0), (False, (11.0,), 11.0)}
