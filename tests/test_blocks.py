@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,38 @@ def test_masses_of_queries(spark):
 def test_the_threefold_gate(spark):
     rows = spark.createDataFrame([(0.9, 0.7, 6), (0.89, 0.7, 6), (0.9, 0.69, 6), (0.9, 0.7, 5), (None, 0.9, 9)], "max_direct double, explained double, matched int")
     assert [r[0] for r in rows.select(ranking.confident()).collect()] == [True, False, False, False, False]
+
+
+def test_blocks_grow_with_windows_that_are_drawn_from(spark, monkeypatch):
+    """A query is moved to a bounded number of blocks however many rows its window has, and the hits are those of small blocks."""
+    lib = spark.range(4000).select(F.col("id").alias("cid"), (F.col("id") % 50).alias("key"), (100 + F.col("id") / 100).alias("mass"), F.array(F.struct((F.col("id") % 9 + 10.0).alias("mz"), (F.col("id") % 4 + 1.0).alias("intensity"))).alias("peaks"), F.lit("p").alias("mode"))
+    q = lib.filter("cid % 400 = 7").drop("key").withColumnRenamed("cid", "qid")
+    sent, plain = [], blocks.met
+    monkeypatch.setattr(blocks, "met", lambda *a: sent.append(a[0].count()) or plain(*a))
+    rows = []
+    for across in (1 << 20, 4):
+        monkeypatch.setattr(blocks, "ACROSS", across)
+        found = blocks.hits(q, places.placed(lib, 16), F.lit(5.0), 0.5, 40, 0, 300).select("qid", "cid", "score").collect()
+        best = {}
+        for r in sorted(found, key=lambda r: (-round(r.score, 9), r.cid)):
+            best.setdefault(r.qid, []).append((r.cid, round(r.score, 9)))
+        rows.append({k: v[:40] for k, v in best.items()})
+    assert rows[0] == rows[1] and len(rows[0]) == 10
+    assert sent[1] <= 6 * 10 < sent[0] / 5
+
+
+def test_drawn_pairs_compare_their_own_peaks():
+    """Where few spectra of a block are drawn, the pairs' peaks alone give the scores of the look-ups."""
+    rng = np.random.default_rng(5)
+
+    def made(n):
+        size = rng.integers(0, 5, n)
+        start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        mz = np.concatenate([np.sort(rng.uniform(0, 60, k)) for k in size])
+        return blocks.Peaks(matching.Spectra(start, mz, rng.uniform(0.1, 1, len(mz))), np.sort(rng.uniform(50, 90, n)))
+
+    block, q = blocks.Block(made(400), 1000, 2.0, "Da"), made(30)
+    first, n = rng.integers(900, 1100, 30), rng.integers(1, 500, 30)
+    for most in (1, 7, 40):
+        for a, b in zip(block.scores(q, first, n, most), block.scores(q, first, n, most, cross=True), strict=True):
+            assert np.array_equal(a, b) if a.dtype.kind == "i" else np.allclose(a, b, rtol=0, atol=1e-12)
