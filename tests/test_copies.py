@@ -44,6 +44,29 @@ def test_copies_are_searched_once(spark, monkeypatch):
     assert max(asked) <= 24 and max(held) <= 24
 
 
+def test_peaks_with_nulls_and_names(spark):
+    """Spectra whose peaks are the same without those that hold a null share a name; a null in another place makes no name alike."""
+    of = [[(1.0, 2.0)], [(1.0, 2.0), (3.0, None)], [(1.0, None), (None, 2.0)], [], None, [(2.0, 1.0)]]
+    rows = spark.createDataFrame([(i, 100.0, p, "p") for i, p in enumerate(of)], "cid long, " + SPECTRUM)
+    names = {r["cid"]: tuple(r[c] for c in retrieval.NAME) for r in retrieval.named(rows).collect()}
+    assert names[0] == names[1] and names[2] == names[3] == names[4] and len(set(names.values())) == 3
+
+
+def test_peaks_meet_few_rows(spark, monkeypatch):
+    """Only one row of each kind takes its peaks along: what is named goes without them."""
+    wide = []
+    join = type(spark.range(1)).join
+
+    def seen(self, other, *more, **how):
+        wide.append("peaks" in self.columns and "peaks" in other.columns)
+        return join(self, other, *more, **how)
+
+    monkeypatch.setattr(type(spark.range(1)), "join", seen)
+    library = _spectra(spark, 3).filter("mass < 500")
+    retrieval.search(library.drop("key").withColumnRenamed("cid", "qid"), library, ppm=20000.0, tolerance=0.5, top_n=3).count()
+    assert wide and not any(wide)
+
+
 def test_blocks_fit_the_windows(spark):
     library = spark.range(4000).select(F.col("id").alias("cid"), (1000 + F.col("id") / 100).alias("mass"), F.expr("array(named_struct('mz', 1D, 'intensity', 1D))").alias("peaks"))
     places = blocks.fitted(placed(library, 10), lambda mass: 2 + 0 * mass)
