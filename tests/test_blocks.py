@@ -106,6 +106,16 @@ def test_counts_below_values(spark, size):
     assert all((x.below, x.upto) == (sum(m < x.v for m in masses), sum(m <= x.v for m in masses)) for x in got) and len(got) == 9
 
 
+def test_counts_go_in_two_steps(spark, monkeypatch):
+    """Inside a block only every STEP-th mass and those of one step are compared."""
+    monkeypatch.setattr(places, "STEP", 4)
+    masses = sorted(float(i // 3) for i in range(100))
+    p = places.placed(spark.createDataFrame([(i, m) for i, m in enumerate(masses)], "cid int, mass double"), 30)
+    values = spark.createDataFrame([(v / 2,) for v in range(-3, 75)], "v double")
+    got = places.counted(places.counted(values, p, "below", F.col("v")), p, "upto", F.col("v"), inclusive=True)
+    assert all((r.below, r.upto) == (sum(m < r.v for m in masses), sum(m <= r.v for m in masses)) for r in got.collect())
+
+
 def test_no_pair_is_a_row_with_a_spectrum(spark, sides):
     """The plan of a search: no window and no sort over pairs with spectra, one meeting of blocks and queries."""
     queries, library = sides
