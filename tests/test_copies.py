@@ -44,6 +44,24 @@ def test_copies_are_searched_once(spark, monkeypatch):
     assert max(asked) <= 24 and max(held) <= 24
 
 
+@pytest.mark.parametrize(("method", "copies", "top_n", "limit"), [("topk", 4, 5, 4), ("mean", 3, 60, 25), ("max", 1, 3, 2)])
+@pytest.mark.parametrize("how", [{"ppm": 20000.0}, {"da": 2.5}])
+def test_queries_of_equal_spectra_share_lists(spark, monkeypatch, method, copies, top_n, limit, how):
+    """Evidence inside the tasks is that of the hits as rows, also where queries have neighbours by place, and many tasks and parts."""
+    monkeypatch.setattr(retrieval, "LISTS", 5)
+    monkeypatch.setattr(retrieval, "SHARERS", 2)
+    monkeypatch.setattr(blocks, "HELD", 50)
+    library = _spectra(spark, copies)
+    more = spark.createDataFrame([(-1, 300.0, [(10.0, 2.0)], "p", 90), (-2, 101.5, [(20.0, 2.0)], "x", 91), (-3, 103.0, [(20.0, 2.0)], "n", 90)], "qid long, " + SPECTRUM + ", query long")
+    queries = library.select(F.col("cid").alias("qid"), "mass", "peaks", "mode", (F.col("cid") / 3).cast("long").alias("query")).unionByName(more)
+    rows = lambda: sorted((r.query, r["rank"], r.key, round(r.evidence, 9)) for r in retrieval.predict(queries, library, method, limit, tolerance=0.5, top_n=top_n, **how).collect())
+    shared, made = retrieval._shared, []
+    monkeypatch.setattr(retrieval, "_shared", lambda *a: made.append(1) or shared(*a))
+    got = rows()
+    monkeypatch.setattr(retrieval, "SHARED", ())
+    assert got == rows() and got and made == [1]
+
+
 def test_peaks_with_nulls_and_names(spark):
     """Spectra whose peaks are the same without those that hold a null share a name; a null in another place makes no name alike."""
     of = [[(1.0, 2.0)], [(1.0, 2.0), (3.0, None)], [(1.0, None), (None, 2.0)], [], None, [(2.0, 1.0)]]
